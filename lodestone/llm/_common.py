@@ -50,9 +50,32 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ARROW = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _split(ddl: str) -> list[str]:
+    """Parts between the commas outside of angle brackets."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(ddl):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(ddl[at:i])
+            at = i + 1
+    return [x.strip() for x in [*out, ddl[at:]]]
+
+
+def _arrow_type(kind: str) -> pa.DataType:
+    if kind.startswith("array<"):
+        return pa.list_(_arrow_type(kind[6:-1].strip()))
+    if kind.startswith("struct<"):
+        return pa.struct([(n.strip(), _arrow_type(k.strip())) for n, k in (x.split(":", 1) for x in _split(kind[7:-1]))])
+    return _ARROW[kind]
+
+
 def arrow_schema(schema: T.StructType | str) -> pa.Schema:
+    """The Arrow schema of a Spark one, or of a DDL string; the latter needs no session, so it works on executors."""
     if isinstance(schema, str):
-        schema = T._parse_datatype_string(schema)
+        return pa.schema([(n, _arrow_type(k.strip())) for n, k in (x.split(" ", 1) for x in _split(schema))])
     return to_arrow_schema(schema)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, mixing, quality
+from lodestone.llm import bpe, jaccard, mixing, quality
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, *where).drop("text"), *where)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op9_weighted_fair_mix, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard, op9_weighted_fair_mix, op10_byte_bpe)}
 
 SQL = {"op9_weighted_fair_mix": mixing.SQL}
