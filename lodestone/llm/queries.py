@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, jaccard, mixing, quality
+from lodestone.llm import bpe, jaccard, mixing, pii, quality, warc
 
+#: Key of the pseudonyms; a deployment passes its own.
+KEY = b"lodestone example key"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -26,6 +28,25 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests are of the payloads read back; a revisit's are those it states, as its payload is not stored."""
+    got = warc.round_trip(read(spark, sf_dir, "pages"))
+    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).try_cast("bigint")
+    stored = F.col("warc_type") == "response"
+    return got.select(
+        page("record_id").alias("page_id"),
+        F.when(stored, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(stored, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
+
+
+def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, KEY).select("doc_id", "text", F.size("findings").alias("n_found"), "findings")
+
+
 def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -36,6 +57,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, *where).drop("text"), *where)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard, op9_weighted_fair_mix, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe)}
 
-SQL = {"op9_weighted_fair_mix": mixing.SQL}
+SQL = {"op7_zip_warc": warc.SQL, "op9_weighted_fair_mix": mixing.SQL}
