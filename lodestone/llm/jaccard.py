@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm._common import Bounded, arrow_schema, batch, grouped_arrow, table
 from lodestone.llm.components import connected, forest
+from lodestone.llm.vectors import blocked
 
 BANDS, BAND = 30, 4
 HASHES = BANDS * BAND
@@ -171,14 +172,6 @@ def intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048)
     return out
 
 
-def _blocked(df: DataFrame, group: str, blocks: str, member: str) -> DataFrame:
-    """Each row once for each pair of blocks that its own block is in; side says in which place."""
-    own = F.pmod(F.xxhash64(member, F.lit("block")), F.col(blocks)).cast("int")
-    df = df.withColumn("own", F.when(F.col(blocks) > 1, own).otherwise(F.lit(0)))
-    df = df.withColumn("other", F.explode(F.when(F.col(blocks) > 1, F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)).otherwise(F.array(F.lit(0)))))
-    return df.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
-
-
 def _buckets(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Edges (a, b) between classes: a spanning forest of the pairs of each bucket that survive pruning."""
     rules = least_matches(threshold, tolerance)
@@ -197,7 +190,7 @@ def _buckets(classes: DataFrame, threshold: float, tolerance: float) -> DataFram
     rows = classes.select("class_key", "sig").mapInArrow(bands, "class_key binary, band int, bucket bigint")
     full = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     full = full.withColumn("blocks", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int"))
-    met = _blocked(rows.join(full, ["band", "bucket"]), "bucket", "blocks", "class_key")
+    met = blocked(rows.join(full, ["band", "bucket"]), "blocks", "class_key")
     met = met.join(classes.select("class_key", "sig"), "class_key").select("band", "bucket", "lo", "hi", "own", "class_key", "sig")
 
     def prune(key, rows):
@@ -237,7 +230,7 @@ def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold:
     held = table(_same_class(own, width).mapInArrow(sets, schema).dropDuplicates(["class_key"]), "shingles")
     size = held.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     size = size.filter("members > 1").select("component", F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    met = _blocked(held.join(size, "component"), "component", "blocks", "class_key").select("component", "lo", "hi", "own", "class_key", "copies", "n", "shingles")
+    met = blocked(held.join(size, "component"), "blocks", "class_key").select("component", "lo", "hi", "own", "class_key", "copies", "n", "shingles")
     result = "a binary, b binary, links bigint"
 
     def verify(key, rows):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, jaccard, mixing, pii, quality, warc
+from lodestone.llm import ann, bpe, jaccard, mixing, pii, quality, vector_dedup, warc
 
 #: Key of the pseudonyms; a deployment passes its own.
 KEY = b"lodestone example key"
@@ -28,6 +28,14 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests are of the payloads read back; a revisit's are those it states, as its payload is not stored."""
     got = warc.round_trip(read(spark, sf_dir, "pages"))
@@ -57,6 +65,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, *where).drop("text"), *where)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe)}
 
 SQL = {"op7_zip_warc": warc.SQL, "op9_weighted_fair_mix": mixing.SQL}
