@@ -1,13 +1,78 @@
-"""From documents to token ids: five stages, each one operator of lodestone.llm."""
+"""From documents to token ids: five stages, each one operator of lodestone.llm.
+
+Every stage takes what its predecessor wrote. All but the last return the columns of documents; rows
+with a null id or text go through as the operators state.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, jaccard, mixing, pii, quality
+from lodestone.llm._common import table
+from lodestone.llm.queries import KEY, RANKS
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble scores at 0.5 or more."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs.select(*COLUMNS), model).filter("score >= 0.5").select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies. Rows that repeat an id are one document; rows
+    without an id cannot be told apart and all stay."""
+    found = jaccard.near_duplicates(docs)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"))
+    once = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_anti")
+    repeated = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
+    return once.unionByName(repeated.select("doc_id", "d.*"))
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms; n_chars is that of the new text."""
+    done = pii.pseudonymise(docs.select(*COLUMNS), KEY)
+    return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, or up to three times."""
+    docs = docs.select(*COLUMNS)
+    rounds = mixing.mix(docs).filter("rounds > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("rounds").alias("rounds"))
+    mixed = docs.join(rounds, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    return mixed.withColumn("round", F.explode(F.sequence(F.lit(1), "rounds"))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and digests of the ids and of the bytes they decode to."""
+    where = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), *where).drop("text")
+    return bpe.digests(coded, *where)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
+    ("PII", pseudonymise),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", encode),
+]
+
+#: SQL can express neither the classifier nor the permutations nor the merges.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all stages over documents, each stage's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = table(docs, f"stage{i}")
     return docs
