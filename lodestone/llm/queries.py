@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, jaccard, mixing, pii, quality, vector_dedup, warc
+from lodestone.llm import ann, bpe, jaccard, mixing, pii, quality, secrets, url_lists, vector_dedup, warc
 
 #: Key of the pseudonyms; a deployment passes its own.
 KEY = b"lodestone example key"
@@ -17,6 +17,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(secrets.example_findings(), "text string, start_at int, end_at int, path string, label int")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs, secrets.train(labelled))
+    return found.select("doc_id", "n_candidates", F.size("secrets").alias("n_secrets"), "secrets")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, read(spark, sf_dir, "labels"))
@@ -36,6 +43,10 @@ def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def op6_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lists.example(read(spark, sf_dir, "pages"))
+
+
 def op7_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests are of the payloads read back; a revisit's are those it states, as its payload is not stored."""
     got = warc.round_trip(read(spark, sf_dir, "pages"))
@@ -65,6 +76,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, *where).drop("text"), *where)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op6_temporal_url_list, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe)}
 
-SQL = {"op7_zip_warc": warc.SQL, "op9_weighted_fair_mix": mixing.SQL}
+SQL = {"op6_temporal_url_list": url_lists.SQL, "op7_zip_warc": warc.SQL, "op9_weighted_fair_mix": mixing.SQL}
