@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm._common import free
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -62,9 +64,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     best = F.max(F.struct(F.length("key").alias("n"), "key", "valid_from")).alias("best")
     hits = met.groupBy("url_", "fetched_").agg(best, F.count(F.lit(1)).alias("n"))
     out = captures.drop("blocked", "matched_key", "listed_from", "n_matches")
-    own = [c for c in out.columns]
-    out = out.join(hits, (out[url] == hits["url_"]) & (out[fetched] == hits["fetched_"]), "left")
-    return out.select(*[out[c] for c in own], F.col("best").isNotNull().alias("blocked"), F.col("best.key").alias("matched_key"), F.col("best.valid_from").alias("listed_from"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"))
+    hit = free(out, "hit")
+    hits = hits.select(F.struct("url_", "fetched_", "best", "n").alias(hit))
+    h = lambda name: F.col(f"{hit}.{name}")
+    out = out.join(hits, (F.col(f"`{url}`") == h("url_")) & (F.col(f"`{fetched}`") == h("fetched_")), "left")
+    return out.withColumns({"blocked": h("best").isNotNull(), "matched_key": h("best.key"), "listed_from": h("best.valid_from"), "n_matches": F.coalesce(h("n"), F.lit(0)).cast("bigint")}).drop(hit)
 
 
 # ---- the registered query: a synthetic list over the hosts of pages

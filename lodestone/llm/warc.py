@@ -87,7 +87,7 @@ def directory(f, size: int) -> list[Member]:
     tail_at = max(0, size - 65536 - 22 - 20)
     tail = f.read_at(size - tail_at, tail_at)
     at = tail.rfind(EOCD)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):  # the mark may be in the comment
+    while at >= 0 and tail[at + 20 : at + 22] != struct.pack("<H", max(0, len(tail) - at - 22) & 0xFFFF):  # the mark may be in the comment
         at = tail.rfind(EOCD, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
