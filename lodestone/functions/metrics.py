@@ -69,8 +69,17 @@ def late_decay(step: Column, steps: int, share: float = 0.7, slope: float = 0.7)
 
 
 def training_steps(tokens_per_parameter: float, parameters: int, tokens_per_step: int) -> int:
-    """Steps that a data ratio asks for."""
-    return -(-int(tokens_per_parameter * parameters) // tokens_per_step)
+    """Steps that a data ratio asks for, and one more."""
+    return -(-int(tokens_per_parameter * parameters) // tokens_per_step) + 1
+
+
+def linear_decay(step: Column, steps: int) -> Column:
+    return 1 - step / F.lit(float(steps))
+
+
+def throughput(tokens: Column, seconds: Column) -> Column:
+    """Whole tokens a second."""
+    return F.floor(tokens / seconds)
 
 
 def flops_per_token(parameters: int, embedding: int, layers: int, heads: int, head_dim: int, sequence: int) -> int:

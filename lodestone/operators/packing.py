@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import arrays as A
+
 
 class _Buffer:
     """Waiting sequences by length; of equal lengths the first come goes first."""
@@ -154,6 +156,12 @@ def preference_batches(df: DataFrame, batch: int, minibatch: int, devices: int =
     return sides.withColumn("slot", F.col("place_") + F.when(F.col("side") == "rejected", minibatch).otherwise(0)).drop("mini_", "in_", "place_", "n_")
 
 
+def fixed_batch(df: DataFrame, size: int, length: int, pad: int, pos: str = "pos") -> DataFrame:
+    """(inputs, targets) of the first `size` conversations by place, padded; the batch that every step evaluates."""
+    rows = df.filter(F.col(pos) < size).withColumn("s_", A.shift(F.slice("ids", 1, length + 1), F.slice("mask", 1, length + 1)))
+    return rows.select(pos, A.pad(F.col("s_.inputs"), F.lit(length), pad).alias("inputs"), A.pad(F.col("s_.targets"), F.lit(length), A.IGNORE).alias("targets"))
+
+
 def global_rows(df: DataFrame, per_device: int, devices: int, world: int, rank: str = "rank", row: str = "row_id") -> DataFrame:
     """df with step, and device of each packed row: the assembly of a global batch from its ranks' rows."""
     own = per_device * devices

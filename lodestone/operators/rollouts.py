@@ -168,11 +168,6 @@ def resolve_attempts(attempts: DataFrame, key: str = "id", attempt: str = "attem
     return rows.groupBy(key).agg(F.first("chosen_at").alias("chosen_at"), F.min(F.when(failed, F.col(attempt))).alias("rejected_at"), F.count(F.lit(1)).alias("attempts"), F.max_by(kind, F.when(~F.coalesce(F.col(passed), F.lit(False)), F.col(attempt))).alias("last_failure"))
 
 
-def scenario_prompt(prompt: Column, notes: Column) -> Column:
-    """The request made of a generator for a scenario, with its notes if it has any."""
-    return F.concat(F.lit("Scenario: "), prompt, F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("\n\nNotes: "), notes)).otherwise(F.lit("")))
-
-
 def with_model(df: DataFrame, call, prompt: str = "prompt", answer: str = "answer") -> DataFrame:
     """df with the answers of a callable from a list of prompts to a list of answers, batch by batch."""
     schema = df.withColumn(answer, F.lit("")).schema
