@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import conversations as C
-from lodestone.operators.sampling import head_fraction, shuffled
+from lodestone.operators.sampling import head_fraction, running_sum, shuffled
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
@@ -71,10 +71,17 @@ def preferences(spark: SparkSession, path: str, seed: int, frac: float = 1.0, sy
 
 
 def instructions(spark: SparkSession, path: str, most: int | None = None, fmt: str = "parquet") -> DataFrame:
-    """A table of instructions with _source_idx, its place; the first most rows if given."""
+    """A table of instructions with _source_idx, its 0-based place in the files' order; the first most rows if given."""
     df = spark.read.format(fmt).load(path)
-    df = df.withColumn("_source_idx", F.col("_metadata.row_index")) if fmt == "parquet" else df.withColumn("_source_idx", F.monotonically_increasing_id())
-    return df if most is None else df.orderBy("_source_idx").limit(most)
+    if fmt == "parquet":  # places within files, and what the files before hold: one small row a file
+        rows = df.withColumns({"file_": F.col("_metadata.file_path"), "row_": F.col("_metadata.row_index")})
+        held = rows.groupBy("file_").agg(F.count(F.lit(1)).alias("n_"))
+        w = Window.partitionBy(F.lit(0)).orderBy("file_").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.select(F.col("file_").alias("f_"), F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("before_"))
+        df = rows.join(F.broadcast(held), F.col("file_") == F.col("f_")).withColumn("_source_idx", F.col("before_") + F.col("row_")).drop("file_", "row_", "f_", "before_")
+    else:
+        df = running_sum(df.withColumn("at_", F.monotonically_increasing_id()), "at_", F.lit(1), "_source_idx", inclusive=False).drop("at_")
+    return df if most is None else df.filter(F.col("_source_idx") < most)
 
 
 def percent_slice(df: DataFrame, percent: int, pos: str = "_source_idx") -> DataFrame:
@@ -119,9 +126,10 @@ def baselines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def eval_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of any shape, with their place in the file."""
-    df = spark.read.schema("query string, choices array<string>, gold int, context_options array<string>, continuation string, context string").json(path)
-    return df.withColumn("pos", F.monotonically_increasing_id())
+    """Items of any shape, with their 0-based place in the file. An item file is split as a whole, to keep its order."""
+    item = "query string, choices array<string>, gold int, context_options array<string>, continuation string, context string"
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    return raw.select(F.col("pos").cast("bigint").alias("pos"), F.from_json("line", item).alias("i")).select("pos", "i.*")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:

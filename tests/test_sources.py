@@ -73,6 +73,18 @@ def test_blobs_logs_repositories(spark, tmp_path):
     assert [r["blob_id"] for r in readers.repository_files(repos, 1, 10, 1000, budget=100).orderBy("pos").collect()] == ["1", "5"]
 
 
+def test_places(spark, tmp_path):
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).withColumnRenamed("id", "x").coalesce(1).write.parquet(str(tmp_path / "t" / f"{i}"))
+        next((tmp_path / "t" / f"{i}").glob("*.parquet")).rename(tmp_path / "t" / f"{i}.parquet")
+    files = str(tmp_path / "t" / "*.parquet")
+    assert all(r["x"] == r["_source_idx"] for r in readers.instructions(spark, files).collect()) and readers.instructions(spark, files, 17).count() == 17
+    assert readers.percent_slice(readers.instructions(spark, files), 40).count() == 12
+    (tmp_path / "i.jsonl").write_text('{"query": "a", "choices": ["x"], "gold": 0}\n\n{"context": "c", "continuation": "d"}\n')
+    assert [(r["pos"], r["query"], r["context"]) for r in readers.eval_items(spark, str(tmp_path / "i.jsonl")).orderBy("pos").collect()] == [(0, "a", None), (1, None, "c")]
+    assert sorted(r["_source_idx"] for r in readers.instructions(spark, str(tmp_path / "i.jsonl"), fmt="json").collect()) == [0, 1]
+
+
 def test_tokenizer_tables(spark, tmp_path):
     t = Tokenizer({bytes([i]): i for i in range(256)} | {b"ab": 256})
     sinks.write_tokenizer(t, spark, str(tmp_path / "t"))
