@@ -80,7 +80,7 @@ def instructions(spark: SparkSession, path: str, most: int | None = None, fmt: s
         held = held.select(F.col("file_").alias("f_"), F.coalesce(F.sum("n_").over(w), F.lit(0)).alias("before_"))
         df = rows.join(F.broadcast(held), F.col("file_") == F.col("f_")).withColumn("_source_idx", F.col("before_") + F.col("row_")).drop("file_", "row_", "f_", "before_")
     else:
-        df = running_sum(df.withColumn("at_", F.monotonically_increasing_id()), "at_", F.lit(1), "_source_idx", inclusive=False).drop("at_")
+        df = running_sum(df.withColumn("order_", F.monotonically_increasing_id()), "order_", F.lit(1), "_source_idx", inclusive=False).drop("order_")
     return df if most is None else df.filter(F.col("_source_idx") < most)
 
 
