@@ -1,7 +1,8 @@
 """Conversations: schemas, edits, and the validation rules as arrays of problems.
 
 A message is (role, content, tool_call), a call (name, args), args an ordered array of (arg, val): the
-order of arguments has a meaning that maps lose. An absent and a null call are both null here.
+order of arguments has a meaning that maps lose. An absent and a null call are both null here. The texts
+of the problems that the rules report are fixed values, which counts and reports of them rely on.
 """
 
 from __future__ import annotations
