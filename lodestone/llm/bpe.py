@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,25 @@ from lodestone.llm._common import Bounded, arrow_schema, batch
 _NONE = 1 << 62
 _POS = 32
 _MASK = (1 << _POS) - 1
+#: Bytes of a piece that is merged in a row of an array, and characters of a word that is remembered, at most.
+_ROW_BYTES, _WORD = 33, 48
+
+
+#: A space that white space or nothing follows.
+_SPACES = re.compile(r" (?:\s|\Z)")
+# Fixed value: the pattern of the public rank files. After a space every character that is no white space
+# is taken, with the space, by one of its three runs, and no run goes on over a space.
+_SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class _Words(Bounded):
+    """A memo of short words; long ones are made each time."""
+
+    def __missing__(self, word):
+        return super().__missing__(word) if len(word) <= _WORD else self.make(word)
+
+    def __bool__(self):
+        return True
 
 
 class Codec:
@@ -36,6 +56,8 @@ class Codec:
         self.longest = max(map(len, ranks), default=0)
         self.split = regex.compile(pattern).findall
         self.vocabulary = {i: b for b, i in ranks.items()}
+        self.table = self.single = None
+        self.words = _Words(lambda word: self.pieces(" " + word), memo) if pattern == _SPACED else None
         self.memo = Bounded(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), memo)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -97,11 +119,122 @@ class Codec:
             i = after[i]
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys (left id << 32 | right id) of all pairs that make a token, and the tokens' ids."""
+        get, found = self.ranks.get, {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = get(token[:cut]), get(token[cut:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = rank
+        keys = np.array(sorted(found) or [0], np.int64)
+        return keys, np.array([found.get(k, _NONE) for k in keys.tolist()], np.int64)
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """merge() of many pieces, as packed ids. Those of like length have their trees in the rows of one array,
+        and each step merges once in every piece that still can."""
+        out: list[bytes | None] = [None] * len(pieces)
+        sizes: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            whole = self.ranks.get(p)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(p) > _ROW_BYTES or len(p) < 2:
+                out[i] = np.array(self.merge(p), "<u4").tobytes()
+            else:
+                sizes.setdefault(1 << (len(p) - 2).bit_length(), []).append(i)
+        for size, at in sizes.items():
+            for lo in range(0, len(at), 4096):
+                part = at[lo : lo + 4096]
+                for i, ids in zip(part, self._merge_rows([pieces[i] for i in part], size), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """merge_many() of pieces of 2 to size + 1 bytes: one tree of `size` leaves a row."""
+        if self.table is None:
+            self.table = self._pairs()
+            self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        keys, ids = self.table
+
+        def rank(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+            key = a << 32 | b
+            i = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[i] == key, ids[i] << _POS | at, _NONE)
+
+        count, depth = len(pieces), size.bit_length() - 1
+        n = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(p.ljust(size + 1, b"\0") for p in pieces), np.uint8).reshape(count, size + 1)
+        token = self.single[raw]
+        if (token < 0).any():
+            return [np.array(self.merge(p), "<u4").tobytes() for p in pieces]
+        places = np.arange(size + 2)
+        after, before = np.tile(places + 1, (count, 1)), np.tile(places - 1, (count, 1))
+        live = places[None, : size + 1] < n[:, None]
+        tree = np.full((count, 2 * size), _NONE)
+        tree[:, size:] = np.where(live[:, 1:], rank(token[:, :-1], token[:, 1:], places[None, :size]), _NONE)
+        for level in range(depth - 1, -1, -1):
+            lo = 1 << level
+            tree[:, lo : 2 * lo] = np.minimum(tree[:, 2 * lo : 4 * lo : 2], tree[:, 2 * lo + 1 : 4 * lo : 2])
+        rows = np.flatnonzero(tree[:, 1] != _NONE)
+        while len(rows):
+            top = tree[rows, 1]
+            i = top & _MASK
+            j = after[rows, i]
+            end = after[rows, j]
+            after[rows, i], before[rows, end] = end, i
+            token[rows, i], live[rows, j] = top >> _POS, False
+            k = before[rows, i]
+            ends, first = end >= n[rows], k < 0
+            k = np.where(first, i, k)
+            own = np.where(ends, _NONE, rank(token[rows, i], token[rows, np.minimum(end, size)], i))
+            tree[rows, size + np.minimum(j, size - 1)] = _NONE  # a piece's last byte starts no pair
+            tree[rows, size + np.minimum(k, size - 1)] = rank(token[rows, k], token[rows, i], k)
+            tree[rows, size + np.minimum(i, size - 1)] = own
+            for leaf in (j, k, i):
+                node = (size + np.minimum(leaf, size - 1)) >> 1
+                for _ in range(depth):
+                    tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+                    node >>= 1
+            rows = rows[tree[rows, 1] != _NONE]
+        flat, ends = token[live].astype("<u4").tobytes(), np.cumsum(live.sum(1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def prepare(self, texts: list[str]) -> None:
+        """Merges all pieces of the texts that the memos lack, together."""
+        if not self.words:
+            return
+        new: set[str] = set()
+        for t in texts:
+            new.update(w for w in set(t.split(" ")) if w not in self.words and len(w) <= _WORD)
+        if not new:
+            return
+        if len(self.words) + len(new) > self.words.most:
+            self.words.clear()
+        split, memo = self.split, self.memo
+        parts = {w: split(" " + w) for w in new}
+        lacking = list({p for ps in parts.values() for p in ps if p not in memo})
+        if len(memo) + len(lacking) > memo.most:
+            memo.clear()
+            lacking = list({p for ps in parts.values() for p in ps})
+        memo.update(zip(lacking, self.merge_many([p.encode("utf-8", "surrogatepass") for p in lacking]), strict=True))
+        self.words.update((w, b"".join([memo[p] for p in ps])) for w, ps in parts.items())
+
+    def pieces(self, text: str) -> bytes:
         memo = self.memo
         return b"".join([memo[p] for p in self.split(text)])
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers.
+
+        With a pattern whose matches start anew at a space before a non-space, words are looked up whole: only
+        those not seen before are split. Runs of white space at a space need their context and go the long way.
+        """
+        if not self.words or _SPACES.search(text):
+            return self.pieces(text)
+        first, *rest = text.split(" ")
+        return self.pieces(first) + b"".join(map(self.words.__getitem__, rest))
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
@@ -155,7 +288,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
             at = b.schema.get_field_index(text)
             for lo, hi in _slices(b.column(at)):
                 part = b.slice(lo, hi - lo)
-                coded = [codec.encode(x.as_py() or "") for x in part.column(at)]
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                codec.prepare(texts)
+                coded = [codec.encode(t) for t in texts]
                 offsets = np.zeros(len(coded) + 1, "i4")
                 np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
                 values = pa.array(np.frombuffer(b"".join(coded), "<i4"))

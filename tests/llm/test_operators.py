@@ -365,3 +365,14 @@ def test_encode_frame(spark, reference_encoding):
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert bpe.encode(df.limit(0), *WHERE).count() == 0
     assert json is not None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aebthinr é日🙂1!-\n\t 　'"), max_size=60), max_size=20))
+def test_merges_in_rows_equal_single_ones(reference_encoding, texts):
+    ranks, enc = reference_encoding
+    codec = bpe.Codec(ranks, WHERE[1])
+    codec.prepare(texts)
+    assert [np.frombuffer(codec.encode(t), "<u4").tolist() for t in texts] == [enc.encode_ordinary(t) for t in texts]
+    pieces = [t.encode() for t in texts if t]
+    assert codec.merge_many(pieces) == [np.array(codec.merge(p), "<u4").tobytes() for p in pieces]
