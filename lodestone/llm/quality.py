@@ -124,6 +124,15 @@ def _grow(stats: dict[str, np.ndarray], cuts: dict[str, np.ndarray], g: np.ndarr
         _grow(stats, cuts, g, h, side, depth - 1, to, rules, step, least)
 
 
+def _tight(rule: Rule) -> Rule:
+    """The rule with one bound a statistic and side."""
+    bounds: dict[tuple[str, bool], float] = {}
+    for name, above, threshold in rule:
+        old = bounds.get((name, above), threshold)
+        bounds[name, above] = max(old, threshold) if above else min(old, threshold)
+    return tuple((name, above, threshold) for (name, above), threshold in bounds.items())
+
+
 def _lasso(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[float, np.ndarray]:
     """Logistic regression with an L1 penalty, by accelerated proximal gradient."""
     n, k = x.shape
@@ -161,7 +170,7 @@ def fit(stats: dict[str, np.ndarray], y: np.ndarray, trees: int = 40, depth: int
     for rule in rules:
         if len(unique) < most_rules and (mark := (col := _holds(rule, stats)).tobytes()) not in seen:
             seen.add(mark)
-            unique.append(rule)
+            unique.append(_tight(rule))
             x.append(col)
     if not unique:
         p = float(y.mean())
