@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         base = _OWN[app]
+    if ":" not in base:  # a bare path is on the default file system, which other readers have to be told
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    if base.startswith("file:/") and not base.startswith("file://"):
+        base = "file://" + base[5:]
     return base.rstrip("/")
 
 
