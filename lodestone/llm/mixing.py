@@ -64,7 +64,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (5.0, 2
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
     sizes = table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), key.alias("key")), "sizes")
     n = sizes.count()
-    ranges = max(16, n // RANGE_ROWS)
+    ranges = max(64, n // RANGE_ROWS)
     cut = lambda of: F.floor(F.conv(F.substring(of, 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int")
     sizes = sizes.withColumn("range", cut("key"))
     same = lambda a, b, *on: a.join(b, [a[c].eqNullSafe(b[c + "_"]) for c in on]).drop(*[c + "_" for c in on])
