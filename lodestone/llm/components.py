@@ -29,21 +29,35 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]
     return list(zip(label[at].tolist(), at.tolist(), strict=True))
 
 
+#: Neighbours of one node that a task joins, about.
+HUB = 500
+
+
+def _to_least(rows: DataFrame, least: DataFrame, salts: int) -> DataFrame:
+    """rows (u, v) with the m of their u; where a node has very many neighbours, its rows are dealt by salt."""
+    if salts > 1:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+        return rows.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["u", "salt"]).drop("salt")
+    return rows.join(least, "u")
+
+
 def connected(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, component (its smallest node) of every node of edges (a, b), by alternating large and small
-    stars. Each round is two exchanges of at most as many rows as there are edges; stars with a hot
-    centre are aggregated to its minimum before they are joined, so no node's edges meet in one task's list.
+    stars. A node's neighbours are aggregated to their minimum on the map side, and a hub's rows are salted
+    for the join with it, in proportion to the largest hub, so no node's edges meet in one task.
     """
     stars = table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     before = None
     for _ in range(most):
-        # large star: larger neighbours of a node go to its smallest neighbour
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hub = both.groupBy("u").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        salts = min(256, -(-hub // HUB))
+        # large star: larger neighbours of a node go to its smallest neighbour
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _to_least(both.filter("v > u"), low, salts).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
+        small = _to_least(large, low, salts).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v")))
         stars = table(small.distinct(), "stars")
         now = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == before or not now["n"]:
