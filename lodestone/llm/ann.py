@@ -112,7 +112,7 @@ def visit(forest: list[Tree], x: np.ndarray, leaves: int) -> list[tuple[int, int
     return out
 
 
-def nearest(df: DataFrame, every: int = 100, k: int = 10, trees: int = 8, leaf: int = 128, share: float = 0.13, least_leaves: int = 64, sample_rows: int = SAMPLE_ROWS, seed: int = 11, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, every: int = 100, k: int = 10, trees: int = 4, leaf: int = 128, share: float = 0.4, least_leaves: int = 64, sample_rows: int = SAMPLE_ROWS, seed: int = 11, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by `every`,
     among all other rows. share: of the forest's leaves that a query visits."""
     spark = df.sparkSession
