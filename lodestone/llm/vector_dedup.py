@@ -116,6 +116,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, lines: int = 48, wid
     reached = connected(got.filter("b is not null").select("a", "b"))
     info = classes.join(sums, "node", "left").join(reached, "node", "left")
     info = info.select("label", "length", "embedding", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    info = table(info, "info")  # so that AQE may split a vector of very many copies
     linked = rows.join(info, ["label", "length", "embedding"]).select(F.col("vec_id").alias("id"), "n_links", "component_id")
     every = df.select(F.col(vec_id).alias("vec_id"))
     out = every.join(linked, every["vec_id"] == linked["id"], "left")
