@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import free
+from lodestone.llm._common import free, table
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
@@ -54,15 +54,15 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     """captures with blocked, matched_key, listed_from, n_matches, by the entries in force when fetched.
 
     The distinct (URL, time) pairs are joined, so a repeated capture costs one probe; hot hosts are keys
-    whose side of the join AQE splits, as an entry side has few rows a key.
+    whose side of the join AQE splits: the other side is a table of its own with few rows a key.
     """
     seen = captures.select(F.col(url).alias("url_"), F.col(fetched).alias("fetched_")).filter("url_ is not null and fetched_ is not null").distinct()
     probes = seen.withColumn("key", F.explode(keys(F.col("url_"))))
-    listed = intervals(entries)
+    listed = table(intervals(entries), "intervals")
     day = F.col("fetched_").cast("date")
     met = probes.join(listed, "key").filter((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))))
     best = F.max(F.struct(F.length("key").alias("n"), "key", "valid_from")).alias("best")
-    hits = met.groupBy("url_", "fetched_").agg(best, F.count(F.lit(1)).alias("n"))
+    hits = table(met.groupBy("url_", "fetched_").agg(best, F.count(F.lit(1)).alias("n")), "hits")
     out = captures.drop("blocked", "matched_key", "listed_from", "n_matches")
     hit = free(out, "hit")
     hits = hits.select(F.struct("url_", "fetched_", "best", "n").alias(hit))
