@@ -189,7 +189,8 @@ def _buckets(classes: DataFrame, threshold: float, tolerance: float) -> DataFram
 
     rows = classes.select("class_key", "sig").mapInArrow(bands, "class_key binary, band int, bucket bigint")
     full = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    full = full.withColumn("blocks", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int"))
+    # a table of its own, so that the join below has plain exchanges and AQE may split a hot bucket
+    full = table(full.withColumn("blocks", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")), "buckets")
     met = blocked(rows.join(full, ["band", "bucket"]), "blocks", "class_key")
     met = met.join(classes.select("class_key", "sig"), "class_key").select("band", "bucket", "lo", "hi", "own", "class_key", "sig")
 
@@ -291,6 +292,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tol
     ids = ids.join(ids.groupBy("component").agg(F.min("min_doc").alias("component_id")), "component").select(F.col("node").alias("class_key"), "component_id")
     info = classes.select("class_key", "min_doc", "copies").join(links, "class_key", "left").join(ids, "class_key", "left")
     info = info.select("class_key", "min_doc", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "min_doc").alias("component_id"))
+    info = table(info, "info")  # so that AQE may split a class of very many copies
     out = rows.drop("sig").withColumn("class_key", F.when(F.col("doc_id").isNotNull(), F.col("class_key"))).join(info, "class_key", "left")
     return out.select(
         "doc_id",
