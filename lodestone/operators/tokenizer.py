@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import heapq
+import secrets
+import threading
+import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from multiprocessing import ProcessError
+from multiprocessing.connection import Client, Connection, Listener
 
 import pyarrow as pa
 import regex
 import tiktoken
+from pyspark import BarrierTaskContext, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Up to so many distinct pieces the driver learns the merges; more stay on the executors.
+DRIVER_PIECES = 100_000
+#: Pairs that each task of learn_merges_apart names in a round.
+NAMED = 512
+
 # The pre-split pattern and the special tokens, in the order of their ids after the ranks.
 SPLIT_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
 SPECIAL_TOKENS = (
@@ -83,6 +95,163 @@ def learn_merges(counts: dict[bytes, int], n_merges: int) -> list[tuple[bytes, b
     return out
 
 
+def next_merges(named: list[list[tuple[int, bytes, bytes]]], known: set[bytes], left: int, most: int) -> list[tuple[bytes, bytes]]:
+    """The merges that certainly come next, given the best pairs of each owner as (-count, a, b) in their order.
+
+    A merge of (a, b) lowers only pairs that end in a or begin with b, and a new pair counts at most what such
+    a pair counted. So the pairs in their order are the next merges up to the first one that touches an earlier
+    one so, or that a new pair could tie with; what an owner has not named comes after its last.
+    """
+    full = [own[-1] for own in named if len(own) == most]
+    end = min(full, default=None)
+    order = [x for x in heapq.merge(*named) if end is None or x <= end]
+    starts: dict[int, set[bytes]] = defaultdict(set)
+    for n, a, _ in order:
+        starts[n].add(a)
+    out: list[tuple[bytes, bytes]] = []
+    firsts: set[bytes] = set()
+    seconds: set[bytes] = set()
+    for n, a, b in order[:left]:
+        if out and (b in firsts or a in seconds or seconds & starts[n] or (end is not None and n == end[0])):
+            break
+        out.append((a, b))
+        firsts.add(a)
+        seconds.add(b)
+        if a == b or a + b in known:
+            break
+        known.add(a + b)
+    return out
+
+
+def learn_merges_apart(counts: DataFrame, n_merges: int) -> list[tuple[bytes, bytes]]:
+    """learn_merges of a table (chunk, n) that stays on the executors, as tasks of one barrier stage.
+
+    Each task holds its share of the pieces and the counts of the pairs that hash to it. In a round the tasks
+    send the owners what changed, and the owners name their best pairs; the driver passes this on, picks the
+    merges and holds nothing else. Tasks talk to it by socket, as Spark's own gather waits a second each time.
+    A barrier stage needs all its tasks at once: there are as many as slots, and dynamic allocation must be off.
+    """
+    sc = counts.sparkSession.sparkContext
+    jsc = sc._jsc.sc()
+    tasks = max(1, jsc.maxNumConcurrentTasks(jsc.resourceProfileManager().defaultResourceProfile()) or sc.defaultParallelism)
+    most, secret, host = NAMED, secrets.token_bytes(32), sc.getConf().get("spark.driver.host")
+    listener = Listener((sc.getConf().get("spark.driver.bindAddress", host), 0), backlog=tasks, authkey=secret)
+    address = (host, listener.address[1])
+
+    def rounds(peers: list[Connection]) -> None:
+        known: set[bytes] = set()
+        left = n_merges
+        while True:
+            told = [p.recv() for p in peers]
+            for i, p in enumerate(peers):
+                p.send([parts[i] for parts in told])
+            merges = next_merges([p.recv() for p in peers], known, left, most)
+            left -= len(merges)
+            for p in peers:
+                p.send((merges, left))
+            if not merges or not left:
+                return
+
+    def serve() -> None:
+        while True:  # a stage that lost a task starts anew, and so does this
+            peers: dict[int, Connection] = {}
+            try:
+                while len(peers) < tasks:
+                    peer = listener.accept()
+                    peers[peer.recv()] = peer
+                rounds([peers[i] for i in range(tasks)])
+                return
+            except (EOFError, OSError, ProcessError):
+                if listener._listener is None:  # closed
+                    return
+            finally:
+                for peer in peers.values():
+                    peer.close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me, world = BarrierTaskContext.get().partitionId(), tasks
+        one = [bytes([i]) for i in range(256)]
+        words: list[list[bytes]] = []
+        weight = array("q")
+        where: dict[tuple[bytes, bytes], array] = defaultdict(lambda: array("I"))  # words that had the pair at some time
+        change: Counter = Counter()
+        for batch in batches:
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = [one[c] for c in chunk.encode()]
+                for p in zip(w, w[1:], strict=False):
+                    change[p] += n
+                for p in set(zip(w, w[1:], strict=False)):
+                    where[p].append(len(words))
+                words.append(w)
+                weight.append(n)
+        pairs: Counter = Counter()  # of which this task is the owner
+        heap: list[tuple[int, bytes, bytes]] = []
+        out: list[tuple[bytes, bytes]] = []
+        driver = Client(address, authkey=secret)
+        driver.send(me)
+        while True:
+            parts: list[list] = [[] for _ in range(world)]
+            for (a, b), n in change.items():
+                if n:
+                    parts[zlib.crc32(a + b"|" + b) % world].append((a, b, n))
+            driver.send(parts)
+            touched = set()
+            for part in driver.recv():
+                for a, b, n in part:
+                    pairs[a, b] += n
+                    touched.add((a, b))
+            for p in touched:
+                if pairs[p] > 0:
+                    heapq.heappush(heap, (-pairs[p], *p))
+                else:
+                    del pairs[p]
+            best: list[tuple[int, bytes, bytes]] = []
+            while heap and len(best) < most:
+                x = heapq.heappop(heap)
+                if pairs.get(x[1:]) == -x[0] and (not best or best[-1] != x):
+                    best.append(x)
+            for x in best:
+                heapq.heappush(heap, x)
+            driver.send(best)
+            merges, left = driver.recv()
+            out += merges
+            if not merges or not left:
+                break
+            change = Counter()
+            for p in merges:
+                both = p[0] + p[1]
+                for i in where.pop(p, ()):
+                    w, new, k = words[i], [], 0
+                    while k < len(w):
+                        if k + 1 < len(w) and w[k] == p[0] and w[k + 1] == p[1]:
+                            new.append(both)
+                            k += 2
+                        else:
+                            new.append(w[k])
+                            k += 1
+                    if len(new) == len(w):
+                        continue
+                    old = set(zip(w, w[1:], strict=False))
+                    for q in zip(w, w[1:], strict=False):
+                        change[q] -= weight[i]
+                    for q in zip(new, new[1:], strict=False):
+                        change[q] += weight[i]
+                    for q in set(zip(new, new[1:], strict=False)) - old:
+                        where[q].append(i)
+                    words[i] = new
+        if me == 0:
+            places = list(range(len(out)))
+            yield pa.RecordBatch.from_pydict({"place": places, "a": [a for a, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("place", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]))
+
+    shares = counts.filter("chunk <> ''").select("chunk", "n").repartition(tasks)
+    threading.Thread(target=serve, daemon=True).start()
+    try:
+        got = shares.mapInArrow(run, "place int, a binary, b binary", barrier=True).collect()  # as large as the vocabulary
+    finally:
+        listener.close()
+    return [(bytes(r["a"]), bytes(r["b"])) for r in sorted(got)]
+
+
 @dataclass
 class Tokenizer:
     """Ranks of byte strings, with the special tokens after them."""
@@ -132,15 +301,21 @@ class Tokenizer:
 
 
 def train(docs: DataFrame, vocab_size: int, text: str = "text", doc_cap: int | None = None, specials: tuple[str, ...] = SPECIAL_TOKENS) -> Tokenizer:
-    """A tokenizer of vocab_size tokens, special ones included. Pieces are counted on the cluster; the merges
-    are learned on the driver from the table of distinct pieces, which is what the vocabulary depends on."""
+    """A tokenizer of vocab_size tokens, special ones included, or fewer once no pair is left. Pieces are counted
+    on the cluster; the driver holds DRIVER_PIECES distinct ones at most, beyond that the executors learn the merges."""
     n = vocab_size - len(specials)
     if n < 256:
         raise ValueError(f"a vocabulary without special tokens needs 256 tokens at least, not {n}")
     if doc_cap is not None:
         docs = docs.withColumn(text, F.substring(text, 1, doc_cap))
-    counts = {r["chunk"].encode(): r["n"] for r in chunk_counts(docs, text).orderBy("chunk").toLocalIterator() if r["chunk"]}
-    merges = learn_merges(counts, n - 256)
+    counts = chunk_counts(docs, text).persist(StorageLevel.DISK_ONLY)
+    try:
+        if counts.count() <= DRIVER_PIECES:
+            merges = learn_merges({r["chunk"].encode(): r["n"] for r in counts.orderBy("chunk").toLocalIterator() if r["chunk"]}, n - 256)
+        else:
+            merges = learn_merges_apart(counts, n - 256)
+    finally:
+        counts.unpersist()
     ranks = {bytes([i]): i for i in range(256)}
     for a, b in merges:
         ranks.setdefault(a + b, len(ranks))

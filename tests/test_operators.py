@@ -1,6 +1,7 @@
 """Conversations, rollouts, sampling, tokenizer, packing, evaluation and logs on hand-made inputs."""
 
 import difflib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -167,6 +168,33 @@ def test_merges_take_the_most_frequent_pair():
     assert K.learn_merges({b"aaaa": 1}, 3) == [(b"a", b"a"), (b"aa", b"aa")]
 
 
+@pytest.mark.parametrize("named", [2, 512])
+def test_merges_on_executors_are_those_of_the_driver(spark, monkeypatch, named):
+    monkeypatch.setattr(K, "NAMED", named)
+    rng = random.Random(5)
+    for letters in ("ab", "abcde", "abcdefghijklmnopé"):
+        words = {"".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(80)}
+        counts = {w: rng.randint(1, 6) for w in sorted(words)}
+        df = spark.createDataFrame([*counts.items(), ("", 3)], "chunk string, n long")
+        assert K.learn_merges_apart(df, 150) == K.learn_merges({w.encode(): n for w, n in counts.items()}, 150)
+
+
+def test_training_beyond_the_bound_stays_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(K, "DRIVER_PIECES", 3)
+    docs = spark.createDataFrame([("one two three four five six seven",), ("one three five",)], "text string")
+    monkeypatch.setattr(K, "learn_merges", None)
+    assert b" three" in K.train(docs, 300).ranks
+
+
+def test_registered_tokenizer_learns_from_documents(spark, tmp_path):
+    from lodestone.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, "zyxwv " * 9)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "qqqq " * 9)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    learned = {bytes(r["bytes"]) for r in QUERIES["tok2_train"](spark, str(tmp_path)).collect()}
+    assert b" zyxwv" in learned and b"qq" not in learned
+
+
 @pytest.fixture(scope="module")
 def tok(spark):
     return K.train(spark.createDataFrame([("hello world, hello there " * 4,), ("it's 1234 ok",), (None,)], "text string"), 300)
