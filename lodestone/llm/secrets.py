@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are values after an assignment and long runs of key characters. Each is described by its
+Candidates are values after an assignment, the parts of such values and of URLs between : @ = & and ?, long
+runs of key characters, and every known form of a key. They may lie in each other. Each is described by its
 length, its character transitions, how much of it a dictionary covers, marks of the path that its text
 came from, and the words around it; a forest of randomised trees, trained from labelled findings, says
 how likely it is a secret.
@@ -9,11 +10,13 @@ The forest is fitted on a bounded set of findings (at most `MOST_FINDINGS`, thos
 order). Without labels of both kinds it gives every candidate the share of ones that it saw, or 0.5.
 A null text has no candidates, nor has an empty one; a null path has no marks; texts are scanned whole
 in linear time; rows are independent, so repeated rows and ids need no care. Other columns are kept;
-result columns replace columns of their names. Overlapping candidates fall to the first, then the longest.
+result columns replace columns of their names. All candidates are scored; of overlapping
+ones that reach the threshold the best scored stays, of equal scores the longest, then the first.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import string
 from collections.abc import Iterator
@@ -36,19 +39,38 @@ PATH_CONFIG = re.compile(r"\.(?:env|ya?ml|json|ini|cfg|conf|toml|properties|pem|
 KNOWN = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[opusr]_[A-Za-z0-9]{36}|xox[abprs]-|sk_live_|AIza[0-9A-Za-z_-]{35}$|eyJ[A-Za-z0-9_-]+")
 _ASSIGNED = re.compile(r"(?<=[:=])[ \t]*([\"'`]?)([^\s\"'`,;<>{}()]{8,})")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_PART = re.compile(r"[^:@=&?]{8,}")
+#: The forms of KNOWN, wherever they stand, with or without digits.
+_FORM = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|gh[opusr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]*|sk_live_[A-Za-z0-9]*|AIza[0-9A-Za-z_-]{35}(?![A-Za-z0-9_-])|eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*)")
 AROUND = 40
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans that could be secrets, apart from each other, in their order."""
-    found = [m.span(2) for m in _ASSIGNED.finditer(text)]
+    """Spans that could be secrets, in their order; they may overlap."""
+    found = [m.span() for m in _FORM.finditer(text)]
     found += [m.span() for m in _RUN.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])]
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(found, key=lambda s: (s[0], -s[1])):
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span(2)
+        found.append((start, end))
+        for part in _PART.finditer(text, start, end):
+            if part.span() != (start, end):
+                found.append((part.start() + len(part[0]) - len(part[0].lstrip("/")), part.end()))
+    out = set()
+    for start, end in found:
         while end > start and text[end - 1] in "!#$%&*.?|":  # marks that follow the value
             end -= 1
-        if end - start >= 8 and (not out or start >= out[-1][1]):
-            out.append((start, end))
+        if end - start >= 8:
+            out.add((start, end))
+    return sorted(out, key=lambda s: (s[0], -s[1]))
+
+
+def settled(found: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Of overlapping spans (start, end, score) the best, apart from each other and in their order."""
+    out: list[tuple[int, int, float]] = []
+    for f in sorted(found, key=lambda f: (-f[2], f[0] - f[1], f[0])):
+        at = bisect.bisect(out, f)
+        if (at == 0 or out[at - 1][1] <= f[0]) and (at == len(out) or f[1] <= out[at][0]):
+            out.insert(at, f)
     return out
 
 
@@ -171,7 +193,8 @@ def scan(df: DataFrame, forest: Forest, threshold: float = 0.5, text: str = "tex
             spans = [candidates(t) if t else [] for t in texts]
             x = np.array([features(t, s, e, p) for t, p, each in zip(texts, paths, spans, strict=True) for s, e in each], float).reshape(-1, len(FEATURES))
             scores = iter(model.value.predict(x).tolist())
-            found = [[{"start": s, "end": e, "score": v} for s, e in each if (v := next(scores)) >= threshold] for each in spans]
+            scored = [[(s, e, next(scores)) for s, e in each] for each in spans]
+            found = [[{"start": s, "end": e, "score": v} for s, e, v in settled([x for x in each if x[2] >= threshold])] for each in scored]
             cols = {f.name: b.column(b.schema.get_field_index(f.name)) for f in schema if f.name not in (secrets, n_candidates)}
             yield batch(out, **cols, **{n_candidates: [len(s) for s in spans], secrets: found})
 
@@ -180,7 +203,8 @@ def scan(df: DataFrame, forest: Forest, threshold: float = 0.5, text: str = "tex
 
 def example_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, int, int, str | None, int]]:
     """Labelled findings in the forms that scanners report, drawn at random: keys and passwords in assignments,
-    and what is mistaken for them (digests, names, placeholders, paths, identifiers)."""
+    and what is mistaken for them (digests, names, placeholders, paths, identifiers). An eighth as many are in
+    addresses: the password or key alone is the secret, the address around it and its other parts are not."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     draw = lambda chars, k: "".join(pick(chars) for _ in range(int(k)))
@@ -211,4 +235,22 @@ def example_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, int, int,
             quote = ""
         before = prose() + pick([" ", "\n"]) + head
         out.append((before + value + quote + pick([" ", "\n", "### ", "!! "]) + prose(), len(before), len(before) + len(value), path, label))
+    for _ in range(n // 8):
+        host = word() + "." + word() + pick([".com", ".example.com", ".net", ".org"])
+        value, path = pick(real)(), pick(paths)
+        if rng.integers(2):
+            user = word() + word()
+            parts = [pick(["postgres", "mysql", "https", "redis", "amqp"]) + "://", user, ":", value, "@", host, "/" + word() + word()]
+            plain = [parts[5] + parts[6], user]
+        else:
+            parts = ["https://", host, "/" + word() + "?" + pick(["id", "page", "q"]) + "=" + word() + "&", pick(names) + "=", value, "", ""]
+            plain = [host + parts[2].partition("?")[0]]
+        before = prose() + pick([" ", " url=", ": "])
+        address = "".join(parts)
+        text, at = before + address + pick([" ", "\n"]) + prose(), len(before)
+        spans = [(address.index(value), value, 1), (0, address, 0), *((address.index(x), x, 0) for x in plain)]
+        if "://" in address:
+            rest = address[address.index("://") + 1 :]
+            spans.append((address.index("://") + 1, rest, 0))
+        out += [(text, at + i, at + i + len(x), path, label) for i, x, label in spans if len(x) >= 8]
     return out

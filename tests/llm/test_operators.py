@@ -72,6 +72,19 @@ def test_scan(spark, secret_forest):
     assert secrets.fit(np.zeros((0, 3)), np.zeros(0)).predict(np.zeros((2, 3))).tolist() == [0.5, 0.5]
 
 
+def test_scan_finds_secrets_inside_of_addresses(spark, secret_forest):
+    token, key = "ghp_" + hashlib.sha256(b"t").hexdigest()[:36], "AKIA" + "QWXZPLMKVBTRGHJD"
+    password = "Zx9kQ7vT2mLp4Rw8"
+    texts = [(f"see https://api.example.com/v1?access_token={token} for it", token), (f"at postgres://admin:{password}@db.host.net/main now", password), (f"use {key} there", key), (f"a token = {key}, here", key)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = [[r["text"][s["start"] : s["end"]] for s in r["secrets"]] for r in secrets.scan(df, secret_forest, path=None).orderBy("doc_id").collect()]
+    assert all((t.index(want), t.index(want) + len(want)) in secrets.candidates(t) for t, want in texts)
+    assert got == [[want] for _, want in texts]
+    for form in (key, token, "xoxb-abcdefgh", "sk_live_abcdefgh", "AIza" + "b" * 35, "eyJabcdefgh"):
+        assert (4, 4 + len(form)) in secrets.candidates(f"is ({form})")
+    assert secrets.settled([(0, 50, 0.8), (10, 30, 0.9), (30, 50, 0.6), (60, 70, 0.7)]) == [(10, 30, 0.9), (30, 50, 0.6), (60, 70, 0.7)]
+
+
 # ---- 2 quality
 
 
