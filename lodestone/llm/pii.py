@@ -6,8 +6,15 @@ format. The replacement is a keyed permutation of the values of the format, so e
 and different ones stay different in all documents, and the holder of the key can undo it.
 
 Values that do not validate (a card number with a wrong check digit, a 31st of February) stay as they are.
-A null text stays null with no findings, as does an empty one; spans count code points of the text given;
-overlapping candidates fall to the leftmost, then to the kind listed first; any length of text is taken
+A null text stays null with no findings, as does an empty one; spans count code points of the text given.
+Phone numbers are: `+` with 8 to 15 digits in a row or in groups apart by blank, . - / or parentheses (E.164
+and national groupings, `+49 (0)30 ...` too); 3-3-4 digits apart by blank, . or -, area code in parentheses or
+not; and those that start with a trunk 0, as pairs (06 12 34 56 78) or as an area code of 3 to 5 digits and
+one or two groups. Bare digits without +, trunk 0 or such groups (5551234567, 612 345 678) are not told from
+counts and stay. Dates are year first with - or /, or day or month first with . / or -, with a year of four
+digits, padded or not, also before the T of a timestamp; names of months and years of two digits are not read.
+A number or date moves among those of its own format, so a padded date and an unpadded one are not linked.
+Overlapping candidates fall to the leftmost, then to the kind listed first; any length of text is taken
 whole. Rows are independent of each other, so repeated rows and null ids need no care. Other columns
 are kept; result columns replace columns of their names.
 """
@@ -81,23 +88,32 @@ FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1,
 
 
 @cache
-def _past_twelve() -> list[int]:
-    """Ordinals of the days after the twelfth of their month."""
-    return [i for i in range(FIRST_DAY, FIRST_DAY + DAYS) if datetime.date.fromordinal(i).day > 12]
+def _days(past_twelve: bool, short_day: bool, short_month: bool) -> list[int]:
+    """Ordinals of the days after the twelfth of their month, or of those whose day or month has one digit."""
+    each = ((i, datetime.date.fromordinal(i)) for i in range(FIRST_DAY, FIRST_DAY + DAYS))
+    return [i for i, d in each if (d.day > 12 or not past_twelve) and (d.day < 10 or not short_day) and (d.month < 10 or not short_month)]
+
+
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])")
 _RUN = re.compile(r"\d+", re.ASCII)
 #: Tried where a run of digits starts, or up to two characters before. In order of preference.
 _NUMBERS = re.compile(
-    r"(?P<phone>(?<![\w+(])(?:\+\d{1,3}[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w-]))"
+    r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-]))"
+    # four numbers of an IP address after a + are one still, as its new value may have another number of digits
+    r"|(?P<phone_abroad>(?<![\w+])\+(?!(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d))(?:\d{1,3} ?\(0\)|\d{1,15})(?:(?:(?<=\)) ?|[ ./-])\d{1,14}|[ .-]?\(\d{2,5}\)(?: ?\d{1,14})){0,7}(?!\w|[./-]\d))"
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{4}-\d{4}-\d{4}(?:-\d{3})?|\d{4}-\d{6}-\d{5})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d))"
-    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
+    r"|(?P<date>(?<![\w./-])(?:\d{4}(?P<ymd>[/-])\d{1,2}(?P=ymd)\d{1,2}|\d{1,2}(?P<dmy>[./-])\d{1,2}(?P=dmy)\d{4})(?:(?=T\d{2}:?\d{2})|(?![\w/-]|\.\d)))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<phone_trunk>(?<![\w+./-])(?:0\d(?:[ .-]\d{2}){4}|(?:\(0\d{2,4}\) ?|0\d{2,4}[ /-])(?:\d{5,8}|\d{3,4}[ -]\d{3,5}))(?![\w-]|[./]\d))",
     re.ASCII,
 )
+_KINDS = [k for k in _NUMBERS.groupindex if k not in ("ymd", "dmy")]
 
 
 class Pseudonyms:
@@ -131,9 +147,16 @@ class Pseudonyms:
         new = self._digits("card", d[:-1])
         return self._fill(s, new + luhn_digit(new))
 
-    def _phone(self, s: str) -> str:
-        head, body = re.fullmatch(r"(\+\d{1,3}[ .-])?(.*)", s, re.S).groups()
-        return (head or "") + self._fill(body, self._digits("phone", re.sub(r"\D", "", body)))
+    def _phone(self, s: str) -> str | None:
+        """The country code or trunk 0 stays, and with it the form that the number is read by."""
+        if s[0] == "+":
+            if not 8 <= sum(c.isdigit() for c in s) <= 15:
+                return None
+            at = (re.compile(r"\d{1,3}(?!\d)").match(s, 1) or _COUNTRY.match(s, 1)).end()
+            at = m.end() if (m := re.compile(r" ?\(0\)").match(s, at)) else at
+        else:
+            at = m.end() if (m := re.match(r"\(?0(?!\d{2}\)? ?[ .-]?\d{3}[ .-]\d{4}$)", s)) else 0
+        return s[:at] + self._fill(s[at:], self._digits("phone", re.sub(r"\D", "", s[at:])))
 
     def _ssn(self, s: str) -> str | None:
         # areas 001-665 and 667-899, groups 01-99, serials 0001-9999 are valid
@@ -156,7 +179,7 @@ class Pseudonyms:
     def _date(self, s: str) -> str | None:
         sep = re.search(r"\D", s)[0]
         p = list(map(int, s.split(sep)))
-        orders = ("ymd",) if s[4] == sep else ("dmy",) if sep == "." else ("dmy", "mdy")
+        orders = ("ymd",) if s.index(sep) == 4 else ("dmy",) if sep == "." else ("dmy", "mdy")
         for order in orders:
             at = dict(zip(order, p, strict=True))
             try:
@@ -165,13 +188,16 @@ class Pseudonyms:
                 continue
             if not 0 <= x < DAYS:
                 return None
-            if order == "mdy":  # only where the day is past 12; it moves among those, and so is read alike again
-                past = _past_twelve()
-                new = past[self._move("mdy", len(past), bisect.bisect_left(past, x + FIRST_DAY))]
+            width = dict(zip(order, map(len, s.split(sep)), strict=True))
+            short = width["d"] == 1, width["m"] == 1
+            if order == "mdy" or any(short):  # mdy only where the day is past 12; moved among their like, they are read alike again
+                like = _days(order == "mdy", *short)
+                domain = "mdy" if order == "mdy" and not any(short) else f"{order}{width['d']}{width['m']}"
+                new = like[self._move(domain, len(like), bisect.bisect_left(like, x + FIRST_DAY))]
             else:
                 new = FIRST_DAY + self._move("date", DAYS, x)
             new = datetime.date.fromordinal(new)
-            return sep.join(f"{getattr(new, {'y': 'year', 'm': 'month', 'd': 'day'}[c]):0{4 if c == 'y' else 2}d}" for c in order)
+            return sep.join(f"{getattr(new, {'y': 'year', 'm': 'month', 'd': 'day'}[c]):0{width[c]}d}" for c in order)
         return None
 
     def _iban(self, s: str) -> str | None:
@@ -209,9 +235,9 @@ class Pseudonyms:
         return "".join(reversed(out)) + "@" + host
 
     def _valid(self, kind: str, text: str) -> str | None:
-        """The text, or for an account number its longest first groups, that validates."""
+        """The text, or for an account or phone number its longest first groups, that validates."""
         while self.value(kind, text) is None:
-            if kind != "iban" or " " not in text:
+            if kind not in ("iban", "phone") or " " not in text:
                 return None
             text = text.rpartition(" ")[0]
         return text
@@ -226,8 +252,11 @@ class Pseudonyms:
             start, at = run.span()
             for begin in range(max(start - 2, 0), start + 1):
                 m = _NUMBERS.match(text, begin)
-                if m and (value := self._valid(m.lastgroup, m[0])):
-                    found.append((begin, begin + len(value), m.lastgroup, value))
+                if not m:
+                    continue
+                kind = next(k for k in _KINDS if m[k]).partition("_")[0]
+                if value := self._valid(kind, m[0]):
+                    found.append((begin, begin + len(value), kind, value))
                     at = begin + len(value)
                     break
         if not found:

@@ -44,6 +44,46 @@ def test_formats_and_validation():
     assert text[spans[1][1] : spans[1][2]] == "+1 (476) 555-6291"
 
 
+PHONES = ["+49 30 12345678", "+33.6.12.34.56.78", "+493012345678", "+33 6 12 34 56 78", "+34 612 345 678", "+1 555 123 4567", "+1-555-123-4567", "555 123 4567", "+49 (0)30 1234567", "+49 (30) 1234-5678", "+44 20 7946 0958", "+15551234567", "06 12 34 56 78", "030 12345678", "(030) 1234567", "0171/1234567", "0171 123 4567", "030 123 4567", "+9 (999) 999-9999"]
+DATES = ["3.5.2024", "1/2/2024", "13.5.2024", "3.12.2024", "03.5.2024", "3.05.2024", "2/28/2024", "2024-5-6", "2024/5/16", "03-05-2024", "2024-05-06", "06.05.2024"]
+
+
+@pytest.mark.parametrize("kind, value", [*(("phone", v) for v in PHONES), *(("date", v) for v in DATES)])
+@pytest.mark.parametrize("around", ["{}", "call {}, now", "({})", "{}. So", "am {} 7 x"])
+def test_every_form_moves_and_comes_back(kind, value, around):
+    for key in (KEY, b"a", b"b", b"c"):
+        text = around.format(value)
+        out, spans = Pseudonyms(key).rewrite(text)
+        at = text.index(value)
+        if around.startswith("am") and value[0] == "+":  # a group after a blank may belong to the number
+            assert [(k, s) for k, s, _ in spans] == [(kind, at)]
+        else:
+            assert spans == [(kind, at, at + len(value))]
+        assert out != text and len(out) == len(text) and Pseudonyms(key, undo=True).rewrite(out)[0] == text
+
+
+def test_timestamps_and_linked_phones():
+    p = Pseudonyms(KEY)
+    out, spans = p.rewrite("at 2024-05-06T10:00:00Z and 2024-05-06")
+    assert spans == [("date", 3, 13), ("date", 28, 38)] and out[13:23] == "T10:00:00Z" and out[3:13] == out[-10:] != "2024-05-06"
+    a, b, c = (p.rewrite(x)[0] for x in ("+33 6 12 34 56 78", "+33612345678", "06 12 34 56 78"))
+    assert a.replace(" ", "") == b and c.replace(" ", "")[1:] == b[3:]
+
+
+@pytest.mark.parametrize("text", ["9 +73.4.2.62)879", "+1.555.123.4567", "+49 30 12345678 3.5.2024"])
+def test_neighbours_of_a_plus_come_back(text):
+    assert Pseudonyms(KEY, undo=True).rewrite(Pseudonyms(KEY).rewrite(text)[0])[0] == text != Pseudonyms(KEY).rewrite(text)[0]
+
+
+def test_round_trip_of_every_unpadded_day():
+    day, there, back = datetime.date(2023, 12, 25), Pseudonyms(KEY), Pseudonyms(KEY, undo=True)
+    for i in range(400):
+        d = day + datetime.timedelta(i)
+        for text in (f"{d.day}.{d.month}.{d.year}", f"{d.month}/{d.day}/{d.year}", f"{d.year}-{d.month}-{d.day}", f"{d.day:02}/{d.month}/{d.year}"):
+            out = there.rewrite(text)[0]
+            assert back.rewrite(out)[0] == text
+
+
 def test_equal_numbers_stay_linked_across_formats():
     p = Pseudonyms(KEY)
     a, b = (p.rewrite(x)[0] for x in ("4111 1111 1111 1111", "4111-1111-1111-1111"))
