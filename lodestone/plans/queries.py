@@ -415,7 +415,7 @@ def tok6_render(spark, d):
 @query()
 def pck1_packed_rows(spark, d):
     docs = K.encoded(read(spark, d, "documents").select(F.col("doc_id").alias("pos"), "text"), tokenizer(spark, d), prepend="<|bos|>").select("pos", "ids")
-    return P.packed_rows(docs, 513, world=8, buffer=200)
+    return P.packed_rows(docs, 513, world=8)
 
 
 @query()

@@ -233,6 +233,19 @@ def test_render(spark, tok):
 # ---- packing
 
 
+def test_registered_packer_holds_the_default_buffer(spark, monkeypatch):
+    from lodestone.plans import queries
+
+    held = []
+    monkeypatch.setattr(P, "pack_cropped", lambda docs, capacity, buffer=1000, finish=True: held.append(buffer) or iter(()))
+    monkeypatch.setattr(P, "_kernel", lambda df, pos, world, columns, schema, of: list(of(iter(()))))
+    monkeypatch.setattr(queries.K, "encoded", lambda df, *a, **k: df.withColumnRenamed("text", "ids"))
+    monkeypatch.setattr(queries, "tokenizer", lambda spark, d: None)
+    monkeypatch.setattr(queries, "read", lambda spark, d, name: spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    queries.QUERIES["pck1_packed_rows"](spark, "")
+    assert held == [1000]
+
+
 def slow_crop(docs, capacity, buffer):
     docs, wait, rows = list(docs), [], []
     while True:
