@@ -15,7 +15,8 @@ similarity of at least `threshold` are linked.
 Buckets and groups above a fixed size are dealt into blocks by hash, and each pair of blocks is a task
 unit of bounded size, so no bucket, group or class is held by one task. Nothing is capped or dropped.
 
-Null texts and texts without words have no shingles: they link with nothing and are their own component.
+The words of a text of nothing but punctuation are its tokens as they are, so that exact copies link. Null,
+empty and blank texts have no shingles: they link with nothing and are their own component.
 Rows with a null id are returned unlinked with a null component; rows that repeat an id and text count as one;
 rows that repeat an id with another text are rows of their own. An empty table gives no rows.
 """
@@ -60,7 +61,10 @@ _words = Bounded(_word)
 
 def _shingled(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All words and the start of each text's; all shingles and the start of each text's."""
-    each = [list(filter(None, map(_words.__getitem__, t.split()))) if t else [] for t in texts]
+    each = []
+    for t in texts:
+        tokens = t.split() if t else []
+        each.append(list(filter(None, map(_words.__getitem__, tokens))) or [xxhash.xxh3_64_intdigest(x) | 1 for x in tokens])
     counts = np.array([len(e) for e in each], np.int64)
     starts = np.concatenate(([0], np.cumsum(counts)))
     words = np.fromiter((w for e in each for w in e), np.uint64, int(starts[-1]))

@@ -146,6 +146,12 @@ def test_jaccard(spark, monkeypatch, block):
     assert got == brute_jaccard(docs)
 
 
+def test_jaccard_links_copies_of_symbols(spark):
+    docs = [(1, "*** --- ***"), (2, " ***  --- ***"), (3, "| | |"), (4, "*** === ***"), (5, "   "), (6, "   ")]
+    got = {r["doc_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True)}
+
+
 def test_jaccard_odd(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "something else altogether here now ok"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     rows = jaccard.near_duplicates(df).collect()
