@@ -24,15 +24,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies. Rows that repeat an id are one document; rows
-    without an id cannot be told apart and all stay."""
-    found = jaccard.near_duplicates(docs)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("again_id"))
-    once = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_anti")
-    repeated = kept.join(again, F.col("doc_id") == F.col("again_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
-    return once.unionByName(repeated.select("doc_id", "d.*"))
+    """One document of each component of near copies. Rows that repeat an id are told apart by their words, and
+    by their texts where they have none; rows without an id cannot be told apart and all stay."""
+    found = table(jaccard.near_duplicates(docs, keys=True).filter("doc_id is not null and class_key is not null").select("doc_id", "class_key", "component_key", "kept"), "found")
+    # several classes of a component may share the id that stays: the first of them stays
+    first = found.filter("kept").groupBy("doc_id", "component_key").agg(F.min("class_key").alias("class_key"))
+    key = ["doc_id", "class_key"]
+    gone = found.select(*key).distinct().join(first.select(*key), key, "left_anti")
+    keyed = jaccard.with_class_key(docs.select(*COLUMNS))
+    kept = keyed.join(gone, key, "left_anti")
+    again = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    known = F.col("doc_id").isNotNull() & F.col("class_key").isNotNull()
+    once = kept.filter(known).join(again, key, "left_anti").select(*COLUMNS)
+    repeated = kept.join(again, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
+    blank = keyed.filter("doc_id is not null and class_key is null").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated).unionByName(blank).unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

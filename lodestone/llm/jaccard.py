@@ -278,8 +278,9 @@ def _same_class(own: DataFrame, width: int) -> DataFrame:
     return own.mapInArrow(run, own.schema)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links, component_id, kept of every row of docs.
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, doc_id: str = "doc_id", text: str = "text", keys: bool = False) -> DataFrame:
+    """doc_id, class_id, n_links, component_id, kept of every row of docs; with keys also class_key and component_key,
+    which tell rows apart that share an id.
 
     class_id is the smallest id with the same words, n_links the number of other documents that are
     linked directly (copies included), component_id the smallest id that links reach, and kept says
@@ -293,9 +294,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tol
     links, edges = _verified(docs, classes, groups, threshold, width)
     reached = connected(edges)
     ids = reached.join(classes.select(F.col("class_key").alias("node"), "min_doc"), "node")
-    ids = ids.join(ids.groupBy("component").agg(F.min("min_doc").alias("component_id")), "component").select(F.col("node").alias("class_key"), "component_id")
+    ids = ids.join(ids.groupBy("component").agg(F.min("min_doc").alias("component_id")), "component").select(F.col("node").alias("class_key"), "component_id", F.col("component").alias("component_key"))
     info = classes.select("class_key", "min_doc", "copies").join(links, "class_key", "left").join(ids, "class_key", "left")
-    info = info.select("class_key", "min_doc", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "min_doc").alias("component_id"))
+    info = info.select("class_key", "min_doc", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "min_doc").alias("component_id"), F.coalesce("component_key", "class_key").alias("component_key"))
     info = table(info, "info")  # so that AQE may split a class of very many copies
     out = rows.drop("sig").withColumn("class_key", F.when(F.col("doc_id").isNotNull(), F.col("class_key"))).join(info, "class_key", "left")
     return out.select(
@@ -304,4 +305,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tol
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        *(["class_key", "component_key"] if keys else []),
     )
+
+
+def with_class_key(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the class_key of each row: equal for texts with equal words, null without words."""
+
+    def run(batches):
+        out = arrow_schema(schema)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                words, starts, _, _ = _shingled(part.column(part.schema.get_field_index(text)).to_pylist(), 1)
+                keys = [xxhash.xxh3_128_digest(words[i:j].tobytes()) if j > i else None for i, j in zip(starts, starts[1:], strict=False)]
+                yield batch(out, **dict(zip(part.schema.names, part.columns, strict=True)), class_key=keys)
+
+    schema = docs.withColumn("class_key", F.lit(None).cast("binary")).schema
+    return docs.mapInArrow(run, schema)

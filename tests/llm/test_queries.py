@@ -46,6 +46,18 @@ def test_quality_holds_out(spark):
     assert np.mean([p == y for p, y in got]) > 0.95
 
 
+def test_rows_that_share_an_id_stay_by_their_texts(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"v{i}" for i in range(60)), "z y x"
+    rows = [(1, text), (2, text + " end"), (2, other), (2, other), (2, third), (3, other + " end"), (4, text), (5, None), (5, None), (5, ""), (None, text), (None, text), (6, third + " a b c d"), (6, "q r s t u " * 9 + "v"), (6, "q r s t u " * 9 + "v.")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, df, SF).collect()), key=repr)
+    want = [(1, text), (2, other), (2, third), (5, None), (5, ""), (None, text), (None, text), (6, third + " a b c d"), (6, "q r s t u " * 9 + "v")]
+    assert got == sorted(want, key=repr)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
