@@ -108,12 +108,17 @@ def lm_correct(tokens: DataFrame, item: list[str], predicted: str = "predicted",
     return tokens.groupBy(*item).agg(M.all_match(F.col(predicted), F.col(target), F.col(valid)).alias("correct"))
 
 
+def with_baseline(rows: DataFrame, baselines: DataFrame, task: str = "task") -> DataFrame:
+    """rows with the baseline of their task; a task without a baseline is an error."""
+    out = rows.join(F.broadcast(baselines.select(F.col(task).alias("task_"), "baseline")), F.col(task) == F.col("task_"), "left")
+    ok = F.assert_true(F.col("baseline").isNotNull(), F.concat(F.lit("no random baseline for "), F.coalesce(F.col(task), F.lit("null"))))
+    return out.filter(ok.isNull()).drop("task_")
+
+
 def task_scores(items: DataFrame, baselines: DataFrame, task: str = "task") -> DataFrame:
     """task, accuracy, centered; a task without a baseline is an error."""
     scored = items.groupBy(task).agg(M.accuracy(F.col("correct")).alias("accuracy"))
-    out = scored.join(F.broadcast(baselines.select(F.col(task).alias("task_"), "baseline")), F.col(task) == F.col("task_"), "left")
-    ok = F.assert_true(F.col("baseline").isNotNull(), F.concat(F.lit("no random baseline for "), F.col(task)))
-    return out.filter(ok.isNull()).select(task, "accuracy", M.centered(F.col("accuracy"), F.col("baseline")).alias("centered"))
+    return with_baseline(scored, baselines, task).select(task, "accuracy", M.centered(F.col("accuracy"), F.col("baseline")).alias("centered"))
 
 
 def core(scores: DataFrame) -> DataFrame:

@@ -169,6 +169,16 @@ def joi3_baselines(spark, d):
     return o.groupBy(F.col("o_orderpriority").alias("task")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("baseline").alias("baseline"))
 
 
+_BASELINES = [("1-URGENT", 25.0), ("2-HIGH", 50.0), ("3-MEDIUM", 0.0), ("4-NOT SPECIFIED", 10.0), ("5-LOW", 20.0)]
+
+
+@query(f"SELECT o_orderpriority AS task, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(b) AS baseline FROM orders LEFT JOIN (VALUES {', '.join(f"('{p}', {b}::DOUBLE)" for p, b in _BASELINES)}) t(p, b) ON o_orderpriority = p GROUP BY ALL")
+def joi3_all_baselines(spark, d):
+    b = spark.createDataFrame(_BASELINES, "task string, baseline double")
+    o = E.with_baseline(read(spark, d, "orders").withColumnRenamed("o_orderpriority", "task"), b)
+    return o.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("baseline").alias("baseline"))
+
+
 @query("SELECT n_name AS nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name")
 def joi2_lookup(spark, d):
     c, n, r = (read(spark, d, t) for t in ("customer", "nation", "region"))

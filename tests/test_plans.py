@@ -42,3 +42,11 @@ def test_query(spark, duck, name):
         return
     got, want = got.toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_an_order_without_a_baseline_is_an_error(spark, tmp_path):
+    n = QUERIES["joi3_all_baselines"](spark, SF).agg({"n": "sum"}).first()[0]
+    assert n == spark.read.parquet(f"{SF}/orders.parquet").count()
+    spark.createDataFrame([("1-URGENT", 1.0), ("6-NEW", 2.0)], "o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    with pytest.raises(Exception, match="no random baseline for 6-NEW"):
+        QUERIES["joi3_all_baselines"](spark, str(tmp_path)).collect()
