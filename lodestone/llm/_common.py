@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,9 +18,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder
+    of its own; on any other each machine would write to its own disk, so there it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is unset: no folder is known that all executors of {master} share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -49,10 +55,30 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession)(df, name)
+
+
+class Tables:
+    """The tables that one operator writes; those that its result does not read go when it is done with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *done: DataFrame) -> None:
+        for df in done:
+            _remove(self.spark, self.paths.pop(id(df))[1])
+
+    def drop_but(self, *kept: DataFrame) -> None:
+        held = {id(df) for df in kept}
+        self.drop(*[df for k, (df, _) in list(self.paths.items()) if k not in held])
 
 
 _ARROW = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
@@ -93,29 +119,68 @@ def batch(schema: pa.Schema, **columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(out, schema=schema)
 
 
+def starts_of(b: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Places of the rows whose keys differ from those of the row before, and 0."""
+    new = np.zeros(b.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = b.column(b.schema.get_field_index(k))
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    return np.flatnonzero(new)
+
+
 def keyed_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Groups of adjacent rows with equal keys; the input is sorted by keys within its partition."""
+    """Groups of adjacent rows with equal keys, none null; the input is sorted by keys within its partition."""
     held: list[pa.RecordBatch] = []
     current: tuple | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(b.schema.get_field_index(k)).to_pylist() for k in keys]
-        rows = list(zip(*cols, strict=True))
-        start = 0
-        for i, key in enumerate(rows):
-            if current is None:
-                current = key
-            elif key != current:
-                if i > start:
-                    held.append(b.slice(start, i - start))
+        at = [*starts_of(b, keys).tolist(), b.num_rows]
+        for lo, hi in zip(at, at[1:], strict=False):
+            key = tuple(b.column(b.schema.get_field_index(k))[lo].as_py() for k in keys)
+            if held and key != current:
                 yield current, pa.Table.from_batches(held)
-                held, current, start = [], key, i
-        held.append(b.slice(start))
+                held = []
+            current = key
+            held.append(b.slice(lo, hi - lo))
     if held:
         yield current, pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of whole groups, about a batch of rows each; the input is sorted by keys within its partition."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cut = int(starts_of(b, keys)[-1])  # of the last group, which may go on
+        if held and cut == 0:
+            both = pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)])
+            if len(starts_of(both, keys)) > 1:
+                yield pa.Table.from_batches(held)
+                held = []
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def slices(column: pa.Array, most: int = 2 << 20, rows: int = 512) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `rows` rows and about `most` bytes of text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    lo, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and (held + n > most or i - lo >= rows):
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 def grouped_arrow(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """fn for each group of bounded size: one exchange by the keys, a sort, and no per-group round trip."""
 
@@ -128,16 +193,19 @@ def grouped_arrow(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table]
 
 
 class Bounded(dict):
-    """A memo of make(key) that starts anew at `most` entries."""
+    """A memo of make(key), a small value, for strings of at most `longest` characters; it starts anew at `most`
+    entries. Longer keys are made each time, so its bytes are bounded too."""
 
-    def __init__(self, make: Callable, most: int = 500_000):
+    def __init__(self, make: Callable, most: int = 100_000, longest: int = 32):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 

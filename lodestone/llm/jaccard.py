@@ -8,9 +8,11 @@ similarity of at least `threshold` are linked.
 2. Bands of MinHash values give buckets. Within a bucket, pairs are compared a few MinHash values at a
    time and dropped as soon as the posterior probability that their similarity reaches the threshold
    (uniform prior) is below `tolerance`. A pair that met in an earlier band is not compared again. What
-   survives leaves the bucket as a spanning forest, never as a list of pairs.
-3. Connected survivors form groups. Within a group all pairs are verified exactly on their shingle sets,
-   by products of incidence matrices; the sums of links and, again, a spanning forest come out.
+   survives leaves the bucket as a spanning forest and, for each class, a mask of the places of those that it
+   was met with, never as a list of pairs.
+3. Connected survivors form groups, dealt into units of bounded size (`components.units`). A class comes to the
+   units that hold a survivor of its own. There the pairs that survive, found again by their MinHash values, are
+   verified exactly on their shingle sets, each pair once; the sums of links and a spanning forest come out.
 
 Buckets and groups above a fixed size are dealt into blocks by hash, and each pair of blocks is a task
 unit of bounded size, so no bucket, group or class is held by one task. Nothing is capped or dropped.
@@ -32,15 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Bounded, arrow_schema, batch, grouped_arrow, table
-from lodestone.llm.components import connected, forest
+from lodestone.llm._common import Bounded, Tables, arrow_schema, batch, grouped_arrow, slices
+from lodestone.llm.components import connected, forest, met_places, place, units
 from lodestone.llm.vectors import blocked
 
 BANDS, BAND = 30, 4
 HASHES = BANDS * BAND
 STEP = 8
-#: Bounds of one block: members, and shingles of all members.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 2_000_000
+#: Members of one block of a bucket; members and shingles of one block of a group.
+BUCKET_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1024, 500_000
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡§«·»¿‘’“”„–—…"
 
 _RNG = np.random.default_rng(20240607)
@@ -83,6 +85,16 @@ def _shingled(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarr
     return words, starts, h, at
 
 
+def _parts(batches: Iterator[pa.RecordBatch], text: int | str) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded bytes of text; the memo of words goes when the task ends."""
+    try:
+        for b in batches:
+            for lo, hi in slices(b.column(text)):
+                yield b.slice(lo, hi - lo)
+    finally:
+        _words.clear()
+
+
 def _minhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """HASHES values of 16 bits for each text that has shingles."""
     out = np.empty((len(at) - 1, HASHES), np.uint16)
@@ -94,22 +106,20 @@ def _minhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_key (null without words), sig of every row."""
+    """doc_id, class_key (null without words), sig, weight (number of shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(schema)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                words, starts, h, at = _shingled(part.column(1).to_pylist(), width)
-                some = np.flatnonzero(np.diff(starts) > 0)
-                sigs = _minhash(h, np.append(at[:-1][some], at[-1]))
-                keys, packed = [None] * part.num_rows, [None] * part.num_rows
-                for i, s in zip(some.tolist(), sigs, strict=True):
-                    keys[i], packed[i] = xxhash.xxh3_128_digest(words[starts[i] : starts[i + 1]].tobytes()), s.tobytes()
-                yield batch(out, doc_id=part.column(0), class_key=keys, sig=packed)
-
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, class_key binary, sig binary"
+        for part in _parts(batches, 1):
+            words, starts, h, at = _shingled(part.column(1).to_pylist(), width)
+            some = np.flatnonzero(np.diff(starts) > 0)
+            sigs = _minhash(h, np.append(at[:-1][some], at[-1]))
+            keys, packed = [None] * part.num_rows, [None] * part.num_rows
+            for i, s in zip(some.tolist(), sigs, strict=True):
+                keys[i], packed[i] = xxhash.xxh3_128_digest(words[starts[i] : starts[i + 1]].tobytes()), s.tobytes()
+            yield batch(out, doc_id=part.column(0), class_key=keys, sig=packed, weight=np.diff(at).astype("i4"))
+
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, class_key binary, sig binary, weight int"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
@@ -125,157 +135,154 @@ def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
     return out
 
 
-def surviving(a: np.ndarray, b: np.ndarray, band: int, rules: list[tuple[int, int]], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of signatures that agree on this band, on no earlier one, and pass every rule."""
+def surviving(a: np.ndarray, b: np.ndarray, band: int | None, rules: list[tuple[int, int]], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of signatures that pass every rule and agree on this band and on no earlier one, or, with
+    band None, on any band."""
     left, right = [], []
-    at = slice(band * BAND, band * BAND + BAND)
+    at = slice(band * BAND, band * BAND + BAND) if band is not None else slice(0, STEP)
+    least = BAND if band is not None else rules[0][1]
     for lo in range(0, len(a), 64):
         rows = a[lo : lo + 64]
-        i, j = np.nonzero((rows[:, None, at] == b[None, :, at]).all(2))  # 16 bits stand for a value
+        # 16 bits stand for a value
+        i, j = np.nonzero((rows[:, None, at] == b[None, :, at]).sum(2, dtype=np.int8) >= least)
         if same:
             i, j = i[keep := j > i + lo], j[keep]
         for part in range(0, len(i), 65536):
             pi, pj = i[part : part + 65536], j[part : part + 65536]
             hits = np.zeros(len(pi), np.int16)
-            for n, least in rules:
+            for n, m in rules:
                 hits += (rows[pi, n - STEP : n] == b[pj, n - STEP : n]).sum(1, dtype=np.int16)
-                go = hits >= least
+                go = hits >= m
                 pi, pj, hits = pi[go], pj[go], hits[go]
                 if not len(pi):
                     break
-            if len(pi) and band:
-                seen = (rows[pi, : band * BAND] == b[pj, : band * BAND]).reshape(len(pi), band, BAND).all(2).any(1)
-                pi, pj = pi[~seen], pj[~seen]
+            if len(pi) and band != 0:
+                until = BANDS if band is None else band
+                seen = (rows[pi, : until * BAND] == b[pj, : until * BAND]).reshape(len(pi), until, BAND).all(2).any(1)
+                go = seen if band is None else ~seen
+                pi, pj = pi[go], pj[go]
             left.append(pi + lo)
             right.append(pj)
     none = np.zeros(0, np.int64)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
-    """Sizes of the intersections of each set in a with each in b: products of incidence matrices over
-    the elements that occur on both sides, some columns at a time."""
-    fa, fb = np.concatenate(a), np.concatenate(b)
-    shared = np.intersect1d(fa, fb)
-    out = np.zeros((len(a), len(b)), np.float32)
-
-    def places(flat: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        col = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
-        keep = shared[col] == flat if len(shared) else np.zeros(len(flat), bool)
-        order = np.argsort(col[keep], kind="stable")
-        return row[keep][order], col[keep][order]
-
-    (ra, ca), (rb, cb) = places(fa, a), places(fb, b)
-    for lo in range(0, len(shared), columns):
-        ma, mb = np.zeros((len(a), columns), np.float32), np.zeros((len(b), columns), np.float32)
-        for m, r, c in ((ma, ra, ca), (mb, rb, cb)):
-            x = slice(*np.searchsorted(c, [lo, lo + columns]))
-            m[r[x], c[x] - lo] = 1
-        out += ma @ mb.T
+def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Sizes of the intersections of sets[i] with sets[j] for each of these pairs; i is sorted."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, out = np.zeros(len(known), np.uint8), np.zeros(len(i), np.int64)
+    first = np.flatnonzero(np.diff(i, prepend=-1))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(i)], strict=True):
+        own = flat[starts[i[lo]] : starts[i[lo] + 1]]
+        mark[own] = 1
+        while lo < hi:  # some partners at a time
+            ends = np.cumsum(sizes[j[lo:hi]])
+            n = max(1, int(np.searchsorted(ends, most)))
+            with_, ends = j[lo : lo + n], ends[:n]
+            begin = ends - sizes[with_]
+            got = mark[flat[np.repeat(starts[with_] - begin, sizes[with_]) + np.arange(ends[-1])]]
+            out[lo : lo + n] = np.add.reduceat(got, begin, dtype=np.int64)
+            lo += n
+        mark[own] = 0
     return out
 
 
-def _buckets(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """Edges (a, b) between classes: a spanning forest of the pairs of each bucket that survive pruning."""
+def _buckets(classes: DataFrame, threshold: float, tolerance: float, table: Tables) -> DataFrame:
+    """The pairs of each bucket that survive pruning: edges (a, b) of a spanning forest of them, and for each class
+    (a) a mask of the places of those that it was met with."""
     rules = least_matches(threshold, tolerance)
 
     def bands(batches):
         out = arrow_schema("class_key binary, band int, bucket bigint")
         for b in batches:
-            keys = b.column(0)
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)
-            for k in range(BANDS):
-                v = np.ascontiguousarray(sig[:, k * BAND : (k + 1) * BAND]).view(np.uint64)[:, 0]
-                h = (v ^ np.uint64((k + 1) * 0x9E3779B97F4A7)) * _FOLD  # a bijection of the band's four values
-                h = (h ^ (h >> np.uint64(31))).view(np.int64)
-                yield batch(out, class_key=keys, band=np.full(len(h), k, "i4"), bucket=h)
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)
+                for k in range(BANDS):
+                    v = np.ascontiguousarray(sig[:, k * BAND : (k + 1) * BAND]).view(np.uint64)[:, 0]
+                    h = (v ^ np.uint64((k + 1) * 0x9E3779B97F4A7)) * _FOLD  # a bijection of the band's four values
+                    h = (h ^ (h >> np.uint64(31))).view(np.int64)
+                    yield batch(out, class_key=part.column(0), band=np.full(len(h), k, "i4"), bucket=h)
 
     rows = classes.select("class_key", "sig").mapInArrow(bands, "class_key binary, band int, bucket bigint")
     full = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a table of its own, so that the join below has plain exchanges and AQE may split a hot bucket
-    full = table(full.withColumn("blocks", F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")), "buckets")
+    full = table(full.withColumn("blocks", F.ceil(F.col("n") / BUCKET_MEMBERS).cast("int")), "buckets")
     met = blocked(rows.join(full, ["band", "bucket"]), "blocks", "class_key")
-    met = met.join(classes.select("class_key", "sig"), "class_key").select("band", "bucket", "lo", "hi", "own", "class_key", "sig")
+    met = met.join(classes.select("class_key", "sig"), "class_key").select("band", "bucket", "lo", "hi", "own", "class_key", place("class_key").alias("place"), "sig")
 
     def prune(key, rows):
         band, _, lo, hi = key
-        keys = rows.column("class_key").to_pylist()
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-        own = rows.column("own").to_numpy()
         if lo == hi:
             i, j = surviving(sig, sig, band, rules, True)
         else:
+            own = rows.column("own").to_numpy()
             x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
             i, j = surviving(sig[x], sig[y], band, rules, False)
             i, j = x[i], y[j]
-        tree = forest(len(keys), i, j)
-        if tree:
-            yield batch(arrow_schema("a binary, b binary"), a=[keys[p] for p, _ in tree], b=[keys[q] for _, q in tree])
+        if len(i):
+            yield met_rows(rows.column("class_key").to_pylist(), rows.column("place").to_numpy(), i, j, "binary")
 
-    return grouped_arrow(met, ["band", "bucket", "lo", "hi"], prune, "a binary, b binary")
+    return grouped_arrow(met, ["band", "bucket", "lo", "hi"], prune, "a binary, b binary, mask bigint")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, groups: DataFrame, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
-    """Of each class in a group: its links, as rows summed elsewhere; and a spanning forest of all links."""
-    wanted = groups.join(classes.select(F.col("class_key").alias("node"), "min_doc", "copies"), "node").withColumnRenamed("node", "class_key")
+def met_rows(nodes: list, places: np.ndarray, i: np.ndarray, j: np.ndarray, kind: str) -> pa.RecordBatch:
+    """What `components.units` takes of the candidate pairs (i, j) of these nodes."""
+    tree, some = forest(len(nodes), i, j), np.unique(np.concatenate((i, j)))
+    masks = met_places(len(nodes), i, j, places)[some]
+    out = arrow_schema(f"a {kind}, b {kind}, mask bigint")
+    return batch(out, a=[nodes[p] for p, _ in tree] + [nodes[p] for p in some.tolist()], b=[nodes[q] for _, q in tree] + [None] * len(some), mask=[None] * len(tree) + masks.tolist())
+
+
+def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: float, tolerance: float, width: int, table: Tables) -> DataFrame:
+    """Rows (a, null, links) with links of the class a, summed elsewhere, and edges (a, b, null) of a spanning
+    forest of all links."""
+    rules = least_matches(threshold, tolerance)
+    dealt = table(units(found, classes.select(F.col("class_key").alias("node"), "weight"), BLOCK_MEMBERS, BLOCK_SHINGLES, table), "units").withColumnRenamed("node", "class_key")
+    wanted = dealt.select("class_key").distinct().join(classes.select("class_key", "min_doc", "copies", "sig"), "class_key")
 
     def sets(batches):
         out = arrow_schema(schema)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                _, _, h, at = _shingled(part.column(1).to_pylist(), width)
-                each = [np.unique(h[at[i] : at[i + 1]]) for i in range(part.num_rows)]
-                yield batch(out, class_key=part.column(2), component=part.column(3), copies=part.column(4), n=[len(e) for e in each], shingles=[e.tobytes() for e in each])
-
-    schema = "class_key binary, component binary, copies bigint, n bigint, shingles binary"
+        for part in _parts(batches, 1):
+            words, starts, h, at = _shingled(part.column(1).to_pylist(), width)
+            keep = [k for k, key in enumerate(part.column(2).to_pylist()) if key == xxhash.xxh3_128_digest(words[starts[k] : starts[k + 1]].tobytes())]
+            each = [np.unique(h[at[k] : at[k + 1]]) for k in keep]
+            own = part.take(pa.array(keep, pa.int64()))
+            yield batch(out, class_key=own.column(2), copies=own.column(3), sig=own.column(4), shingles=[e.tobytes() for e in each])
+
+    schema = "class_key binary, copies bigint, sig binary, shingles binary"
     # the smallest id stands for its class; rows that repeat it may hold another text, so the key decides
-    own = docs.select("doc_id", "text").join(wanted.withColumnRenamed("min_doc", "doc_id"), "doc_id").select("doc_id", "text", "class_key", "component", "copies")
-    held = table(_same_class(own, width).mapInArrow(sets, schema).dropDuplicates(["class_key"]), "shingles")
-    size = held.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
-    size = size.filter("members > 1").select("component", F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    met = blocked(held.join(size, "component"), "blocks", "class_key").select("component", "lo", "hi", "own", "class_key", "copies", "n", "shingles")
+    own = docs.select("doc_id", "text").join(wanted.withColumnRenamed("min_doc", "doc_id"), "doc_id").select("doc_id", "text", "class_key", "copies", "sig")
+    held = table(own.mapInArrow(sets, schema).dropDuplicates(["class_key"]), "shingles")
+    met = dealt.join(held, "class_key").select("component", "lo", "hi", "own", "class_key", "copies", "sig", "shingles")
     result = "a binary, b binary, links bigint"
 
     def verify(key, rows):
         _, lo, hi = key
-        keys, copies, n = rows.column("class_key").to_pylist(), rows.column("copies").to_numpy(), rows.column("n").to_numpy()
-        each = [np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()]
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
         own = rows.column("own").to_numpy()
-        x, y = (np.arange(len(keys)),) * 2 if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
-        if not len(x) or not len(y):
+        x, y = (np.arange(len(sig)),) * 2 if lo == hi else (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
+        i, j = surviving(sig[x], sig[y], None, rules, lo == hi)
+        if not len(i):
             return
-        both = intersections([each[i] for i in x], [each[i] for i in y]).astype(np.float64)
-        linked = both >= threshold * (n[x][:, None] + n[y][None, :] - both) - 1e-9
-        if lo == hi:
-            np.fill_diagonal(linked, False)
-        links = np.zeros(len(keys), np.int64)
-        links[x] += linked @ copies[y]
-        if lo != hi:
-            links[y] += copies[x] @ linked
-        i, j = np.nonzero(linked)
-        tree = forest(len(keys), x[i], y[j])
-        some = np.flatnonzero(links).tolist()
+        i, j = x[i], y[j]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        each = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+        n = np.array([len(e) for e in each])
+        both = intersections(each, i, j)
+        linked = both >= threshold * (n[i] + n[j] - both) - 1e-9
+        i, j = i[linked], j[linked]
+        keys, copies = rows.column("class_key").to_pylist(), rows.column("copies").to_numpy()
+        links = np.bincount(i, copies[j], len(keys)) + np.bincount(j, copies[i], len(keys))
+        tree, some = forest(len(keys), i, j), np.flatnonzero(links).tolist()
         out = arrow_schema(result)
-        yield batch(out, a=[keys[i] for i in some] + [keys[p] for p, _ in tree], b=[None] * len(some) + [keys[q] for _, q in tree], links=links[some].tolist() + [None] * len(tree))
-
-    got = table(grouped_arrow(met, ["component", "lo", "hi"], verify, result), "verified")
-    return got.filter("b is null").groupBy(F.col("a").alias("class_key")).agg(F.sum("links").alias("links")), got.filter("b is not null").select("a", "b")
+        yield batch(out, a=[keys[k] for k in some] + [keys[p] for p, _ in tree], b=[None] * len(some) + [keys[q] for _, q in tree], links=links[some].astype(np.int64).tolist() + [None] * len(tree))
 
-
-def _same_class(own: DataFrame, width: int) -> DataFrame:
-    """Rows whose text has the word sequence of their class_key."""
-
-    def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                words, starts, _, _ = _shingled(part.column(1).to_pylist(), 1)
-                keep = [k == xxhash.xxh3_128_digest(words[starts[i] : starts[i + 1]].tobytes()) for i, k in enumerate(part.column(2).to_pylist())]
-                yield part.filter(pa.array(keep, pa.bool_()))
-
-    return own.mapInArrow(run, own.schema)
+    return grouped_arrow(met, ["component", "lo", "hi"], verify, result)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, doc_id: str = "doc_id", text: str = "text", keys: bool = False) -> DataFrame:
@@ -287,18 +294,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tol
     that a document is the one of its component that stays.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    table = Tables(docs.sparkSession)
     rows = table(signatures(docs, width), "signatures")
     distinct = rows.filter("doc_id is not null and class_key is not null").dropDuplicates(["class_key", "doc_id"])
-    classes = table(distinct.groupBy("class_key").agg(F.min("doc_id").alias("min_doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")), "classes")
-    groups = connected(_buckets(classes, threshold, tolerance))
-    links, edges = _verified(docs, classes, groups, threshold, width)
-    reached = connected(edges)
+    classes = table(distinct.groupBy("class_key").agg(F.min("doc_id").alias("min_doc"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("weight").alias("weight")), "classes")
+    found = table(_buckets(classes, threshold, tolerance, table), "found")
+    verified = table(_verified(docs, classes, found, threshold, tolerance, width, table), "verified")
+    links = verified.filter("b is null").groupBy(F.col("a").alias("class_key")).agg(F.sum("links").alias("links"))
+    reached = connected(verified.filter("b is not null").select("a", "b"))
     ids = reached.join(classes.select(F.col("class_key").alias("node"), "min_doc"), "node")
     ids = ids.join(ids.groupBy("component").agg(F.min("min_doc").alias("component_id")), "component").select(F.col("node").alias("class_key"), "component_id", F.col("component").alias("component_key"))
     info = classes.select("class_key", "min_doc", "copies").join(links, "class_key", "left").join(ids, "class_key", "left")
     info = info.select("class_key", "min_doc", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "min_doc").alias("component_id"), F.coalesce("component_key", "class_key").alias("component_key"))
     info = table(info, "info")  # so that AQE may split a class of very many copies
-    out = rows.drop("sig").withColumn("class_key", F.when(F.col("doc_id").isNotNull(), F.col("class_key"))).join(info, "class_key", "left")
+    table.drop_but(rows, info)
+    out = rows.drop("sig", "weight").withColumn("class_key", F.when(F.col("doc_id").isNotNull(), F.col("class_key"))).join(info, "class_key", "left")
     return out.select(
         "doc_id",
         F.coalesce("min_doc", "doc_id").alias("class_id"),
@@ -314,12 +324,10 @@ def with_class_key(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         out = arrow_schema(schema)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                words, starts, _, _ = _shingled(part.column(part.schema.get_field_index(text)).to_pylist(), 1)
-                keys = [xxhash.xxh3_128_digest(words[i:j].tobytes()) if j > i else None for i, j in zip(starts, starts[1:], strict=False)]
-                yield batch(out, **dict(zip(part.schema.names, part.columns, strict=True)), class_key=keys)
+        for part in _parts(batches, text):
+            words, starts, _, _ = _shingled(part.column(text).to_pylist(), 1)
+            keys = [xxhash.xxh3_128_digest(words[i:j].tobytes()) if j > i else None for i, j in zip(starts, starts[1:], strict=False)]
+            yield batch(out, **dict(zip(part.schema.names, part.columns, strict=True)), class_key=keys)
 
     schema = docs.withColumn("class_key", F.lit(None).cast("binary")).schema
     return docs.mapInArrow(run, schema)
