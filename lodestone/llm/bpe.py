@@ -18,11 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lodestone.llm._common import Bounded, arrow_schema, batch
+from lodestone.llm._common import Bounded, arrow_schema, batch, slices
 
 _NONE = 1 << 62
 _POS = 32
@@ -38,27 +38,26 @@ _SPACES = re.compile(r" (?:\s|\Z)")
 _SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-class _Words(Bounded):
-    """A memo of short words; long ones are made each time."""
-
-    def __missing__(self, word):
-        return super().__missing__(word) if len(word) <= _WORD else self.make(word)
-
-    def __bool__(self):
-        return True
-
-
 class Codec:
     """Ranks of a tiktoken-style file, with the piece memo of one Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 150_000):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
         self.split = regex.compile(pattern).findall
         self.vocabulary = {i: b for b, i in ranks.items()}
         self.table = self.single = None
-        self.words = _Words(lambda word: self.pieces(" " + word), memo) if pattern == _SPACED else None
-        self.memo = Bounded(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), memo)
+        self.words = Bounded(lambda word: self.pieces(" " + word), memo, _WORD) if pattern == _SPACED else None
+        self.memo = Bounded(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), memo, _WORD)
+        self.flat = b"".join(self.vocabulary.get(i, b"") for i in range(max(self.vocabulary, default=-1) + 1))
+        self.flat = np.frombuffer(self.flat, np.uint8)
+        self.ends = np.cumsum([0] + [len(self.vocabulary.get(i, b"")) for i in range(max(self.vocabulary, default=-1) + 1)])
+
+    def forget(self) -> None:
+        """Empties the memos, whose entries are bounded in number and length."""
+        self.memo.clear()
+        if self.words is not None:
+            self.words.clear()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -202,7 +201,7 @@ class Codec:
 
     def prepare(self, texts: list[str]) -> None:
         """Merges all pieces of the texts that the memos lack, together."""
-        if not self.words:
+        if self.words is None:
             return
         new: set[str] = set()
         for t in texts:
@@ -230,7 +229,7 @@ class Codec:
         With a pattern whose matches start anew at a space before a non-space, words are looked up whole: only
         those not seen before are split. Runs of white space at a space need their context and go the long way.
         """
-        if not self.words or _SPACES.search(text):
+        if self.words is None or _SPACES.search(text):
             return self.pieces(text)
         first, *rest = text.split(" ")
         return self.pieces(first) + b"".join(map(self.words.__getitem__, rest))
@@ -238,6 +237,15 @@ class Codec:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's end; an id that the vocabulary lacks is an error."""
+        sizes = np.diff(self.ends)[ids]
+        if not sizes.all():
+            raise KeyError("an id without bytes")
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        return self.flat[np.repeat(self.ends[ids] - begin, sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
 
 @lru_cache(maxsize=4)
 def _codec(digest: str, pattern: str, load) -> Codec:
@@ -277,39 +285,53 @@ def _with(df: DataFrame, **more: str) -> tuple[list[str], str]:
     return [f.name for f in kept], schema
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ids, an array of int, of every whole text."""
+def _coded(df: DataFrame, ranks_path: str, pattern: str, text: str, made: dict[str, str], columns) -> DataFrame:
+    """df with the columns (codec, lengths, ids of all texts of a slice) -> arrays in place of or beside its own."""
     codec_of = _factory(df, ranks_path, pattern)
-    kept, schema = _with(df, **{ids: "array<int>"})
+    kept, schema = _with(df, **made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, out = codec_of(), arrow_schema(schema)
-        for b in batches:
-            at = b.schema.get_field_index(text)
-            for lo, hi in _slices(b.column(at)):
-                part = b.slice(lo, hi - lo)
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                codec.prepare(texts)
-                coded = [codec.encode(t) for t in texts]
-                offsets = np.zeros(len(coded) + 1, "i4")
-                np.cumsum([len(c) // 4 for c in coded], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-                yield batch(out, **{n: part.column(part.schema.get_field_index(n)) for n in kept}, **{ids: pa.ListArray.from_arrays(offsets, values)})
+        try:
+            for b in batches:
+                for lo, hi in slices(b.column(text), 4 << 20, 1 << 20):
+                    part = b.slice(lo, hi - lo)
+                    texts = [t or "" for t in part.column(text).to_pylist()]
+                    codec.prepare(texts)
+                    coded = [codec.encode(t) for t in texts]
+                    lengths, ids = np.array([len(c) // 4 for c in coded]), np.frombuffer(b"".join(coded), "<i4")
+                    yield batch(out, **{n: part.column(n) for n in kept}, **columns(codec, lengths, ids))
+        finally:
+            codec.forget()
 
     return df.mapInArrow(run, schema)
 
 
-def _slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `most` bytes of text."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-    lo, held = 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if held and held + n > most:
-            yield lo, i
-            lo, held = i, 0
-        held += n
-    if lo < len(sizes):
-        yield lo, len(sizes)
+def _offsets(ends: np.ndarray) -> pa.Buffer:
+    return pa.py_buffer(np.concatenate(([0], ends)).astype("<i4").tobytes())
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds ids, an array of int, of every whole text."""
+
+    def columns(codec, lengths, flat):
+        return {ids: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype("i4")), pa.array(flat))}
+
+    return _coded(df, ranks_path, pattern, text, {ids: "array<int>"}, columns)
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", packed: str = "packed", decoded: str = "decoded") -> DataFrame:
+    """Encodes every whole text and decodes its ids again in one pass: adds packed, the ids as little-endian
+    unsigned 32-bit integers, and decoded, the bytes that these ids stand for."""
+
+    def columns(codec, lengths, flat):
+        raw, ends = codec.decode_all(flat)
+        per_row = np.cumsum(lengths)
+        last = np.concatenate(([0], ends))[per_row]
+        ids = pa.Array.from_buffers(pa.binary(), len(lengths), [None, _offsets(per_row * 4), pa.py_buffer(flat)])
+        return {packed: ids, decoded: pa.Array.from_buffers(pa.binary(), len(lengths), [None, _offsets(last), pa.py_buffer(raw)])}
+
+    return _coded(df, ranks_path, pattern, text, {packed: "binary", decoded: "binary"}, columns)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -326,20 +348,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decod
     return df.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """The ids' count and SHA-256, and that of the bytes they decode to, in place of the ids."""
-    codec_of = _factory(df, ranks_path, pattern)
-    kept, schema = _with(df.drop(ids), n_tokens="bigint", ids_sha256="string", decoded_sha256="string")
-
-    def run(batches):
-        codec, out = codec_of(), arrow_schema(schema)
-        for b in batches:
-            n, a, d = [], [], []
-            for x in b.column(b.schema.get_field_index(ids)):
-                got = x.values.to_numpy() if x.is_valid else np.zeros(0, "i4")
-                n.append(len(got))
-                a.append(hashlib.sha256(got.astype("<u4").tobytes()).hexdigest())
-                d.append(hashlib.sha256(codec.decode(got.tolist())).hexdigest())
-            yield batch(out, **{k: b.column(b.schema.get_field_index(k)) for k in kept}, n_tokens=n, ids_sha256=a, decoded_sha256=d)
-
-    return df.mapInArrow(run, schema)
+def digests(df: DataFrame, packed: str = "packed", decoded: str = "decoded") -> DataFrame:
+    """The count and SHA-256 of packed ids, and that of the bytes they decode to, in place of both."""
+    made = {"n_tokens": F.floor(F.octet_length(packed) / 4).cast("bigint"), "ids_sha256": F.sha2(packed, 256), "decoded_sha256": F.sha2(decoded, 256)}
+    return df.withColumns(made).drop(packed, decoded)

@@ -72,8 +72,7 @@ def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    where = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return bpe.digests(bpe.encode(docs, *where).drop("text"), *where)
+    return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op6_temporal_url_list, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe)}

@@ -5,10 +5,12 @@ import gzip
 import hashlib
 import io
 import json
+import os
 import zipfile
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -130,6 +132,7 @@ def brute_jaccard(docs, threshold=0.8):
 @pytest.mark.parametrize("block", [2048, 8])
 def test_jaccard(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", block)
+    monkeypatch.setattr(jaccard, "BUCKET_MEMBERS", block)
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [vocabulary[i] for i in rng.integers(0, 400, 120)]
@@ -191,7 +194,7 @@ def vector_frame(spark, x, label=lambda i: i % 3 if i < 50 or i >= 130 else 1):
 def test_nearest(spark):
     x = vectors()
     df = vector_frame(spark, x)
-    got = ann.nearest(df, every=10, leaf=8, share=0.3, least_leaves=8, trees=6).collect()
+    got = ann.nearest(df, every=10, leaf=8, share=0.3, trees=6).collect()
     found = 0
     for q in range(0, 400, 10):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -208,9 +211,61 @@ def test_nearest(spark):
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_nearest_gives_ties_to_smaller_ids(spark):
+    """All of 64 one-hot vectors are as far from each other, and large norms leave small distances to rounding."""
+    df = spark.createDataFrame([(i, np.eye(64)[i].tolist()) for i in range(64)], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, every=32, share=1.0).collect()]
+    assert got == [(q, k, v) for q in (0, 32) for k, v in enumerate([i for i in range(64) if i != q][:10], 1)]
+    df = spark.createDataFrame([(i, [1e8 + (i * 7 % 50), 1e8]) for i in range(50)], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(df, every=50, share=1.0).collect()]
+    assert got == sorted([(i, float(i * 7 % 50)) for i in range(1, 50)], key=lambda v: v[1])[:10]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_nearest_at_its_defaults(spark):
+    """Recall against brute force, and the share of the table that a query visits."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    got: dict[int, set[int]] = {}
+    for r in ann.nearest(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.flatnonzero(ids % 100 == 0)
+    forest = [ann.grow(x, rng, 16) for rng in [np.random.default_rng(11)] for _ in range(12)]
+    leaf = [t.route(x) for t in forest]
+    found, seen = [], []
+    for q in asked:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        found.append(len(got[ids[q]] & set(ids[np.argsort(d)[:10]].tolist())) / 10)
+        met = np.zeros(len(x), bool)
+        for k, f in ann.visit(forest, x[q], 0.032 * 12 * len(x), 0.45):
+            met |= leaf[k] == f
+        seen.append(met.mean())
+    print(f"recall {np.mean(found):.3f}, visited {np.mean(seen):.3f}")
+    assert np.mean(found) >= 0.9 and np.mean(seen) < 0.3
+
+
+def test_collision_plan_holds_at_every_size():
+    """Pairs at the threshold reach the count, pairs of random vectors hardly ever do."""
+    rng = np.random.default_rng(8)
+    for size in (100, 3000, 30_000):
+        plan = vector_dedup.calibrated(size, 0.93, 1.5, 1e-4)
+        axes = rng.standard_normal((24, plan.lines), np.float32)
+        a, b = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.normal(size=(2, 1500, 24)))
+        b = b - (a * b).sum(1)[:, None] * a
+        near = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1)[:, None]
+        marks = vector_dedup.marks_of(np.concatenate((a, near)), axes, plan)
+        lists = vector_dedup.padded(pa.array([m.tolist() for m in marks], pa.list_(pa.int32())))
+        i = np.arange(1500)
+        assert vector_dedup.colliding(lists, i, i + 1500, plan)[0].mean() > 0.998
+        assert vector_dedup.colliding(lists, i, np.roll(i, 1) + 1500, plan)[0].mean() < 0.02
+        assert 15 < np.mean([len(m) for m in marks]) < 40
+
+
 @pytest.mark.parametrize("block", [2048, 16])
 def test_collision_counting(spark, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
+    monkeypatch.setattr(vector_dedup, "LINE_BLOCK", block)
     x = vectors()
     df = vector_frame(spark, x)
     lab = {r["vec_id"]: r["label"] for r in df.collect() if r["vec_id"] is not None}
@@ -379,7 +434,9 @@ def test_encode_frame(spark, reference_encoding):
     coded = bpe.encode(df, *WHERE)
     assert [r["ids"] for r in coded.orderBy("doc_id").collect()] == [enc.encode_ordinary(t or "") for t in texts]
     assert [bytes(r["decoded"]) for r in bpe.decode(coded, *WHERE).orderBy("doc_id").collect()] == [(t or "").encode() for t in texts]
-    for r in bpe.digests(coded, *WHERE).collect():
+    both = bpe.round_trip(df, *WHERE)
+    assert [bytes(r["decoded"]) for r in both.orderBy("doc_id").collect()] == [(t or "").encode() for t in texts]
+    for r in bpe.digests(both).collect():
         ids = enc.encode_ordinary(texts[r["doc_id"]] or "")
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
     assert bpe.encode(df.limit(0), *WHERE).count() == 0
