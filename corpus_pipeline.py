@@ -57,9 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and digests of the ids and of the bytes they decode to."""
-    where = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), *where).drop("text")
-    return bpe.digests(coded, *where)
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.digests(coded.drop("text"))
 
 
 STAGES = [
