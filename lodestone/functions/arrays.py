@@ -53,7 +53,7 @@ def pad(ids: Column, length: Column, value: int) -> Column:
 
 def shift(ids: Column, mask: Column | None = None) -> Column:
     """(inputs, targets) for next-token prediction; masked targets are the ignored index."""
-    n = F.size(ids) - 1
+    n = F.greatest(F.size(ids) - 1, F.lit(0))
     targets = F.slice(ids, 2, n)
     if mask is not None:
         targets = F.zip_with(targets, F.slice(mask, 2, n), lambda t, m: F.when(m == 0, F.lit(IGNORE)).otherwise(t))

@@ -14,6 +14,11 @@ def bits_per_byte(loss: Column, n_bytes: Column) -> Column:
     return F.when(F.coalesce(total, F.lit(0)) > 0, F.sum(F.when(n_bytes > 0, loss)) / (F.lit(log(2)) * total)).otherwise(F.lit(float("inf")))
 
 
+def average(*values: Column) -> Column:
+    """Mean of several figures, as of the bits per byte of two corpora."""
+    return sum(values[1:], values[0]) / len(values)
+
+
 def masked_mean(loss: Column, valid: Column) -> Column:
     return F.coalesce(F.sum(F.when(valid, loss)), F.lit(0.0)) / (F.coalesce(F.sum(valid.cast("int")), F.lit(0)) + F.lit(1e-9))
 

@@ -17,9 +17,13 @@ BARE_STARTS_WIDE = r"^(def |class |import |from |@|#\s*!|if __name__)"
 TOOL_ARG, TOOL_VAL = "<|tool_arg|>", "<|tool_val|>"
 
 
+# The characters that Unicode calls white space.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at either end, Unicode spaces included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at either end, Unicode spaces included; in time that grows with the text."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def lines(c: Column) -> Column:

@@ -48,8 +48,9 @@ def prompts(item: Column, task_type: Column, delimiter: str, shots: Column) -> C
 def few_shot(items: DataFrame, n: int, seed: int = 1234, task: str = "task", pos: str = "pos") -> DataFrame:
     """items with shots: n others of their task, by the hash of seed, the item's first equal place, and the other.
 
-    A task's places are drawn by arithmetic on the hash, so no item meets all others: candidates are
-    n + `spare` draws for each item, joined by place; distinct ones that are not the item itself stay in order.
+    Places are drawn without replacement by arithmetic on the hash, so no item meets all others: a draw among the
+    places that are left moves up past each place, in order, that was taken before it, the item's own first. A task
+    of n items or fewer is an error.
     """
     fields = [c for c in items.columns if c != task]
     same = [c for c in fields if c != pos]
@@ -58,8 +59,16 @@ def few_shot(items: DataFrame, n: int, seed: int = 1234, task: str = "task", pos
     rows = items.withColumn("first_", first).join(F.broadcast(size), F.col(task) == F.col("task_")).drop("task_")
     if n <= 0:
         return rows.drop("n_").withColumnRenamed("first_", "index").withColumn("shots", F.slice(F.array(F.struct(*fields)), 1, 0))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(8 * n + 32)), lambda k: F.pmod(F.xxhash64(F.lit(seed) + F.col("first_"), k), F.col("n_")))
-    picks = F.slice(F.filter(F.array_distinct(draws), lambda p: p != F.col("first_")), 1, n)
+    enough = F.assert_true(F.col("n_") > n, F.lit(f"a task has too few items for {n} others of each"))
+    rows = rows.filter(enough.isNull())
+
+    def draw(taken: Column, k: Column) -> Column:
+        left = F.pmod(F.xxhash64(F.lit(seed) + F.col("first_"), k), F.col("n_") - F.size(taken))
+        place = F.aggregate(F.array_sort(taken), left, lambda p, x: F.when(p >= x, p + 1).otherwise(p))
+        return F.concat(taken, F.array(place))
+
+    own = F.array(F.col("first_").cast("bigint"))
+    picks = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(n)), own, draw), 2, n)
     asked = rows.select("*", F.posexplode_outer(picks).alias("k_", "pick_"))
     pool = items.select(F.col(task).alias("t_"), F.col(pos).alias("p_"), F.struct(*fields).alias("shot_"))
     met = asked.join(pool, (F.col(task) == F.col("t_")) & (F.col("pick_") == F.col("p_")), "left")
@@ -121,6 +130,14 @@ def task_scores(items: DataFrame, baselines: DataFrame, task: str = "task") -> D
     return with_baseline(scored, baselines, task).select(task, "accuracy", M.centered(F.col("accuracy"), F.col("baseline")).alias("centered"))
 
 
+def with_token_bytes(tokens: DataFrame, vocabulary: DataFrame, target: str = "target") -> DataFrame:
+    """tokens with n_bytes of their targets; 0 for special tokens and ignored targets. The vocabulary is a tokenizer's
+    table, whose size the corpus does not change."""
+    table = vocabulary.select(F.col("id").alias("id_"), F.col("n_bytes").cast("bigint").alias("n_bytes"))
+    out = tokens.join(F.broadcast(table), F.col(target) == F.col("id_"), "left").drop("id_")
+    return out.withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0)))
+
+
 def core(scores: DataFrame) -> DataFrame:
     return scores.agg(F.avg("centered").alias("core_metric"))
 

@@ -84,6 +84,18 @@ def parse_eval_csv(lines: DataFrame, line: str = "line") -> DataFrame:
     return rows.select(F.get("p_", F.lit(0)).alias("task"), number(1).alias("accuracy"), number(2).alias("centered"))
 
 
+def parse_eval_bpb(lines: DataFrame, log: str = "log", line: str = "line") -> DataFrame:
+    """log and the three figures of its first line of bits per byte; a log without one has no row."""
+    pattern = SERIES["base_bpb"][0].replace(r"^\t", "^")
+    first = lines.filter(F.col(line).rlike(pattern)).groupBy(log).agg(F.min_by(line, "line_no").alias("l_"))
+    return first.select(log, *[F.regexp_extract("l_", pattern, i + 1).cast("double").alias(n) for i, n in enumerate(SERIES["base_bpb"][1])])
+
+
+def format_eval_bpb(bpb: dict[str, Column]) -> list[Column]:
+    """Padded footer lines of an evaluation: each figure under the accuracies."""
+    return [F.concat_ws(", ", F.format_string("%-35s", F.lit(n)), F.format_string("%-10s", F.format_string("%.6f", v.cast("double"))), F.format_string("%-10s", F.lit(""))) for n, v in bpb.items()]
+
+
 def format_eval_csv(scores: DataFrame) -> DataFrame:
     """Padded lines of task scores, and a footer with their mean."""
     cell = lambda v: F.format_string("%-10s", F.format_string("%.6f", v))

@@ -41,18 +41,18 @@ def edit_pair(original: str, modified: str, compat: bool = True, most: float = 0
     compat counts unchanged lines by the end offsets of equal ranges in the modified text, which is
     usually too many, so that few edits count as too large; otherwise by their lengths.
     """
-    a, b = original.split("\n"), modified.split("\n")
-    ops = difflib.SequenceMatcher(None, a, b).get_opcodes()
-    same = sum((j2 if compat else i2 - i1) for tag, i1, i2, _, j2 in ops if tag == "equal")
-    moved = [op for op in ops if op[0] != "equal"]
-    if 1 - same / max(len(a), 1) > most or not moved:
+    old, new = original.split("\n"), modified.split("\n")
+    *kept, end = difflib.SequenceMatcher(None, old, new).get_matching_blocks()
+    same = sum(k.b + k.size if compat else k.size for k in kept)
+    if old == new or len(old) - same > most * len(old):
         return None, modified
-    (_, i1, _, j1, _), (_, _, i2, _, j2) = moved[0], moved[-1]
-    for wide in range(context, context + tries):
-        old = "\n".join(a[max(0, i1 - wide) : i2 + wide])
-        if original.count(old) == 1:
-            return old, "\n".join(b[max(0, j1 - wide) : j2 + wide])
-    return None, modified
+    # what changed lies between the lines that both texts begin with and those that both end with
+    head = kept[0].size if kept and kept[0].a == kept[0].b == 0 else 0
+    foot = kept[-1].size if kept and (kept[-1].a + kept[-1].size, kept[-1].b + kept[-1].size) == (end.a, end.b) else 0
+    around = lambda text, wide: "\n".join(text[max(0, head - wide) : len(text) - foot + wide])
+    unique = (wide for wide in range(context, context + tries) if original.count(around(old, wide)) == 1)
+    wide = next(unique, None)
+    return (None, modified) if wide is None else (around(old, wide), around(new, wide))
 
 
 @F.pandas_udf(T.StructType([T.StructField("old_string", T.StringType()), T.StructField("new_string", T.StringType())]))

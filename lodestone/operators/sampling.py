@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is cut into, at least; more where rows are many.
+#: Quantiles that a numeric order is cut at, and rows of one range between them: ranges grow with the table.
 RANGES, RANGE_ROWS = 64, 1_000_000
+#: Hexadecimal digits of a shuffle key that make a range: 65,536 ranges, each a task of a window.
+DIGITS = 4
 
 
 def shuffle_key(seed: int | str, *keys: Column | str) -> Column:
@@ -28,16 +31,24 @@ def _running(df: DataFrame, cell: Column, order: list[Column | str], value: Colu
 
 
 def running_sum(df: DataFrame, order: str, value: Column, name: str, inclusive: bool = True) -> DataFrame:
-    """Running sum by a numeric column: the order is cut at quantiles, so no task holds all rows."""
-    bounds = sorted(set(df.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.002)))
-    cell = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    return _running(df, F.coalesce(cell, F.lit(-1)), [order], value, name, inclusive)
+    """Running sum by a numeric column: the order is cut at quantiles, and between them evenly into ranges of about
+    RANGE_ROWS rows, so no task holds all rows."""
+    bounds = sorted(set(df.approxQuantile(order, [i / RANGES for i in range(RANGES + 1)], 0.002)))
+    cell = F.lit(0)
+    if len(bounds) > 1:
+        fine = max(1, -(-df.count() // (RANGES * RANGE_ROWS)))
+        at, edges = F.col(order).cast("double"), F.array(*map(F.lit, bounds))
+        coarse = F.least(F.size(F.filter(F.array(*map(F.lit, bounds[1:])), lambda b: b < at)), F.lit(len(bounds) - 2))
+        low, high = F.get(edges, coarse), F.get(edges, coarse + 1)
+        within = F.greatest(F.least(F.floor((at - low) / (high - low) * fine), F.lit(fine - 1)), F.lit(0))
+        cell = coarse.cast("bigint") * fine + within
+    return _running(df, F.coalesce(cell.cast("bigint"), F.lit(-1)), [order], value, name, inclusive)
 
 
 def shuffled(df: DataFrame, seed: int | str, *keys: str, name: str = "pos") -> DataFrame:
     """df with its 1-based place in a seeded random order of the keys."""
     df = df.withColumn("shuffle_", shuffle_key(seed, *keys))
-    cell = F.conv(F.substring("shuffle_", 1, 3), 16, 10).cast("int")
+    cell = F.conv(F.substring("shuffle_", 1, DIGITS), 16, 10).cast("int")
     return _running(df, cell, ["shuffle_", *keys], F.lit(1), name, True).drop("shuffle_")
 
 
@@ -107,17 +118,23 @@ def hash_sample(df: DataFrame, group: str, key: str, k: int, seed: int | str) ->
 def shard_cuts(df: DataFrame, order: str, size: Column, shard_size: int, block_rows: int = 1024) -> DataFrame:
     """df with shard: a shard closes at the end of a block of block_rows rows once its sizes reach shard_size.
 
-    The rule resets at each close, so it is a fold; it runs over block sums, one small row for each block.
+    The rule resets at each close, so it is a fold, and sequential. It runs over block sums, of which a stream in
+    one task sees one small row for each block_rows rows and holds one number; rows get the shard of their block by
+    a join on the block.
     """
-    rows = running_sum(df, order, F.lit(1), "row_", inclusive=False).withColumn("block_", F.floor(F.col("row_") / block_rows).cast("int"))
-    blocks = rows.groupBy("block_").agg(F.sum(size).alias("size_"))
-    every = blocks.agg(F.array_sort(F.collect_list(F.struct("block_", "size_"))).alias("b_"))
-    start = F.struct(F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("held"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, b: Column) -> Column:
-        held = s["held"] + b["size_"]
-        full = held >= shard_size
-        return F.struct((s["shard"] + full.cast("int")).alias("shard"), F.when(full, F.lit(0)).otherwise(held).cast("bigint").alias("held"), F.concat(s["out"], F.array(s["shard"])).alias("out"))
-
-    cuts = every.select(F.posexplode(F.aggregate("b_", start, step)["out"]).alias("at_", "shard"))
-    return rows.join(F.broadcast(cuts), F.col("block_") == F.col("at_")).drop("row_", "block_", "at_")
+    rows = running_sum(df, order, F.lit(1), "row_", inclusive=False).withColumn("block_", F.floor(F.col("row_") / block_rows).cast("bigint"))
+    blocks = rows.groupBy("block_").agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("size_"))
+
+    def fold(batches):
+        shard, held = 0, 0
+        for b in batches:
+            out = []
+            for n in b.column(1).to_pylist():
+                out.append(shard)
+                held += n
+                if held >= shard_size:
+                    shard, held = shard + 1, 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], names=["at_", "shard"])
+
+    cuts = blocks.select("block_", "size_").repartition(1).sortWithinPartitions("block_").mapInArrow(fold, "at_ bigint, shard int")
+    return rows.join(cuts, F.col("block_") == F.col("at_")).drop("row_", "block_", "at_")

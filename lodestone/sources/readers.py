@@ -21,9 +21,27 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file", "pos", F.when(F.col("pos") == F.col("n_") - 1, "val").otherwise("train").alias("split"))
 
 
-def corpus(spark: SparkSession, path: str, split: str, row_group: int = 1024, start: int = 0, step: int = 1, text: str = "text") -> DataFrame:
+def row_groups(spark: SparkSession, files: list[str]) -> DataFrame:
+    """file, rg, first, n of the row groups that the footers of these files state: one read of a footer a file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for file in files:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
+        try:
+            first = 0
+            for k, group in enumerate(reader.getRowGroups()):
+                out.append((at.toString(), k, first, group.getRowCount()))
+                first += group.getRowCount()
+        finally:
+            reader.close()
+    return spark.createDataFrame(out, "file string, rg int, first bigint, n bigint")
+
+
+def corpus(spark: SparkSession, path: str, split: str, row_group: int | None = None, start: int = 0, step: int = 1, text: str = "text") -> DataFrame:
     """text, file, rg, pos of a split: all files but the last are train, the last is val; of each file the row
-    groups start, start + step, ... Row groups are those that the writer made of row_group rows.
+    groups start, start + step, ..., as the file's footer has them, or of row_group rows where that is given; pos is
+    the place in the group.
 
     A corpus of one file has no train split, which is an error rather than an empty corpus.
     """
@@ -35,9 +53,14 @@ def corpus(spark: SparkSession, path: str, split: str, row_group: int = 1024, st
     if not chosen:
         raise ValueError("a corpus of one shard has no train split")
     rows = spark.read.parquet(*chosen).select(F.col(text).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_"))
-    rows = rows.withColumns({"rg": F.floor(F.col("row_") / row_group).cast("int"), "pos": F.pmod("row_", F.lit(row_group))})
-    return rows.filter(F.pmod(F.col("rg") - start, F.lit(step)) == 0).filter(F.col("rg") >= start).drop("row_")
-
+    if row_group is not None:
+        rows = rows.withColumns({"rg": F.floor(F.col("row_") / row_group).cast("int"), "pos": F.pmod("row_", F.lit(row_group))})
+        return rows.filter((F.col("rg") >= start) & (F.pmod(F.col("rg") - start, F.lit(step)) == 0)).drop("row_")
+    groups = row_groups(spark, chosen).withColumn("wanted_", (F.col("rg") >= start) & (F.pmod(F.col("rg") - start, F.lit(step)) == 0))
+    starts = groups.groupBy(F.col("file").alias("file_")).agg(F.array_sort(F.collect_list(F.struct("first", "rg", "wanted_"))).alias("groups_"))  # as many as a footer has
+    met = rows.join(starts, F.col("file") == F.col("file_"))
+    met = met.withColumn("g_", F.element_at(F.filter("groups_", lambda g: g["first"] <= F.col("row_")), -1)).filter("g_.wanted_")
+    return met.select("text", "file", F.col("g_.rg").alias("rg"), (F.col("row_") - F.col("g_.first")).alias("pos"))
 
 
 def conversations(spark: SparkSession, path: str, seed: int | None = None, system_prompt: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
