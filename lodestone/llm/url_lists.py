@@ -57,8 +57,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     whose side of the join AQE splits: the other side is a table of its own with few rows a key.
     """
     seen = captures.select(F.col(url).alias("url_"), F.col(fetched).alias("fetched_")).filter("url_ is not null and fetched_ is not null").distinct()
-    probes = seen.withColumn("key", F.explode(keys(F.col("url_"))))
     listed = table(intervals(entries), "intervals")
+    # a host key of so many labels as no entry has, such as a bare top-level domain, need not be probed
+    labels = lambda key: F.size(F.split(key, r"\."))
+    counts = [r[0] for r in listed.filter(~F.endswith("key", F.lit("/"))).select(labels(F.col("key"))).distinct().collect()]  # a few numbers
+    held = F.filter(keys(F.col("url_")), lambda k: F.endswith(k, F.lit("/")) | (labels(k).isin(counts) if counts else F.lit(False)))
+    probes = seen.withColumn("key", F.explode(held))
     day = F.col("fetched_").cast("date")
     met = probes.join(listed, "key").filter((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))))
     best = F.max(F.struct(F.length("key").alias("n"), "key", "valid_from")).alias("best")
