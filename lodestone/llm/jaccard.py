@@ -43,6 +43,8 @@ HASHES = BANDS * BAND
 STEP = 8
 #: Members of one block of a bucket; members and shingles of one block of a group.
 BUCKET_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1024, 500_000
+#: Bits of the filter on ids before the texts of candidates are shuffled.
+FILTER_BITS = 1 << 23
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡§«·»¿‘’“”„–—…"
 
 _RNG = np.random.default_rng(20240607)
@@ -237,12 +239,25 @@ def met_rows(nodes: list, places: np.ndarray, i: np.ndarray, j: np.ndarray, kind
     return batch(out, a=[nodes[p] for p, _ in tree] + [nodes[p] for p in some.tolist()], b=[nodes[q] for _, q in tree] + [None] * len(some), mask=[None] * len(tree) + masks.tolist())
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs without most of those whose id is not wanted, so that their texts are not shuffled: a bitmap of FILTER_BITS
+    hashes of the wanted ids is broadcast, 1 MB whatever the table. Beyond as many ids it lets more and more others
+    through, which the join after it leaves out."""
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    bits = wanted.select(place().alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    met = docs.withColumn("at", place()).join(F.broadcast(bits), F.bitmap_bucket_number("at") == F.col("part"))
+    bit = F.bitmap_bit_position("at")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: float, tolerance: float, width: int, table: Tables) -> DataFrame:
     """Rows (a, null, links) with links of the class a, summed elsewhere, and edges (a, b, null) of a spanning
     forest of all links."""
     rules = least_matches(threshold, tolerance)
     dealt = table(units(found, classes.select(F.col("class_key").alias("node"), "weight"), BLOCK_MEMBERS, BLOCK_SHINGLES, table), "units").withColumnRenamed("node", "class_key")
-    wanted = dealt.select("class_key").distinct().join(classes.select("class_key", "min_doc", "copies", "sig"), "class_key")
+    wanted = dealt.select("class_key").distinct().join(classes.select("class_key", F.col("min_doc").alias("doc_id"), "copies", "sig"), "class_key")
+    wanted = table(wanted, "wanted")
 
     def sets(batches):
         out = arrow_schema(schema)
@@ -255,7 +270,7 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold:
 
     schema = "class_key binary, copies bigint, sig binary, shingles binary"
     # the smallest id stands for its class; rows that repeat it may hold another text, so the key decides
-    own = docs.select("doc_id", "text").join(wanted.withColumnRenamed("min_doc", "doc_id"), "doc_id").select("doc_id", "text", "class_key", "copies", "sig")
+    own = _likely(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("doc_id", "text", "class_key", "copies", "sig")
     held = table(own.mapInArrow(sets, schema).dropDuplicates(["class_key"]), "shingles")
     met = dealt.join(held, "class_key").select("component", "lo", "hi", "own", "class_key", "copies", "sig", "shingles")
     result = "a binary, b binary, links bigint"
