@@ -39,7 +39,7 @@ def duck():
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF)
     if name not in SQL:
-        assert got.count() >= 0
+        assert got.count() > 0
         return
     got, want = got.toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
