@@ -181,12 +181,16 @@ def slices(column: pa.Array, most: int = 2 << 20, rows: int = 512) -> Iterator[t
         yield lo, len(sizes)
 
 
-def grouped_arrow(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """fn for each group of bounded size: one exchange by the keys, a sort, and no per-group round trip."""
+def grouped_arrow(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], Iterable[pa.RecordBatch]], schema: str, done: Callable[[], None] = lambda: None) -> DataFrame:
+    """fn for each group of bounded size: one exchange by the keys, a sort, and no per-group round trip. done is
+    called when a task ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, group in keyed_groups(batches, keys):
-            yield from fn(key, group)
+        try:
+            for key, group in keyed_groups(batches, keys):
+                yield from fn(key, group)
+        finally:
+            done()
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

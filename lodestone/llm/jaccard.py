@@ -11,8 +11,9 @@ similarity of at least `threshold` are linked.
    survives leaves the bucket as a spanning forest and, for each class, a mask of the places of those that it
    was met with, never as a list of pairs.
 3. Connected survivors form groups, dealt into units of bounded size (`components.units`). A class comes to the
-   units that hold a survivor of its own. There the pairs that survive, found again by their MinHash values, are
-   verified exactly on their shingle sets, each pair once; the sums of links and a spanning forest come out.
+   units that hold a survivor of its own, as its compressed text: a third of what its shingles take. There the pairs
+   that survive, found again by their MinHash values, are verified exactly on their shingle sets, each pair once; the
+   sums of links and a spanning forest come out.
 
 Buckets and groups above a fixed size are dealt into blocks by hash, and each pair of blocks is a task
 unit of bounded size, so no bucket, group or class is held by one task. Nothing is capped or dropped.
@@ -31,6 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,11 @@ def _parts(batches: Iterator[pa.RecordBatch], text: int | str) -> Iterator[pa.Re
         _words.clear()
 
 
+def _class_keys(words: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+    """A key of each text's words; None without any."""
+    return [xxhash.xxh3_128_digest(words[i:j].tobytes()) if j > i else None for i, j in zip(starts, starts[1:], strict=False)]
+
+
 def _minhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """HASHES values of 16 bits for each text that has shingles."""
     out = np.empty((len(at) - 1, HASHES), np.uint16)
@@ -116,10 +123,10 @@ def signatures(docs: DataFrame, width: int = 5, doc_id: str = "doc_id", text: st
             words, starts, h, at = _shingled(part.column(1).to_pylist(), width)
             some = np.flatnonzero(np.diff(starts) > 0)
             sigs = _minhash(h, np.append(at[:-1][some], at[-1]))
-            keys, packed = [None] * part.num_rows, [None] * part.num_rows
+            packed = [None] * part.num_rows
             for i, s in zip(some.tolist(), sigs, strict=True):
-                keys[i], packed[i] = xxhash.xxh3_128_digest(words[starts[i] : starts[i + 1]].tobytes()), s.tobytes()
-            yield batch(out, doc_id=part.column(0), class_key=keys, sig=packed, weight=np.diff(at).astype("i4"))
+                packed[i] = s.tobytes()
+            yield batch(out, doc_id=part.column(0), class_key=_class_keys(words, starts), sig=packed, weight=np.diff(at).astype("i4"))
 
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, class_key binary, sig binary, weight int"
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -259,22 +266,31 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold:
     wanted = dealt.select("class_key").distinct().join(classes.select("class_key", F.col("min_doc").alias("doc_id"), "copies", "sig"), "class_key")
     wanted = table(wanted, "wanted")
 
-    def sets(batches):
+    def pack(batches):
         out = arrow_schema(schema)
+        squeeze = zstandard.ZstdCompressor().compress
         for part in _parts(batches, 1):
-            words, starts, h, at = _shingled(part.column(1).to_pylist(), width)
-            keep = [k for k, key in enumerate(part.column(2).to_pylist()) if key == xxhash.xxh3_128_digest(words[starts[k] : starts[k + 1]].tobytes())]
-            each = [np.unique(h[at[k] : at[k + 1]]) for k in keep]
-            own = part.take(pa.array(keep, pa.int64()))
-            yield batch(out, class_key=own.column(2), copies=own.column(3), sig=own.column(4), shingles=[e.tobytes() for e in each])
-
-    schema = "class_key binary, copies bigint, sig binary, shingles binary"
-    # the smallest id stands for its class; rows that repeat it may hold another text, so the key decides
-    own = _likely(docs.select("doc_id", "text"), wanted).join(wanted, "doc_id").select("doc_id", "text", "class_key", "copies", "sig")
-    held = table(own.mapInArrow(sets, schema).dropDuplicates(["class_key"]), "shingles")
-    met = dealt.join(held, "class_key").select("component", "lo", "hi", "own", "class_key", "copies", "sig", "shingles")
+            words, starts, _, _ = _shingled(part.column(1).to_pylist(), 1)
+            packed = [squeeze(t) for t in part.column(1).cast(pa.binary()).fill_null(b"").to_pylist()]
+            yield batch(out, doc_id=part.column(0), class_key=_class_keys(words, starts), packed=packed)
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, class_key binary, packed binary"
+    # the smallest id stands for its class; rows that repeat it may hold another text, so the key decides. One exchange by
+    # both serves the rows that repeat both, the join with what is wanted and the join with the units
+    both = ["doc_id", "class_key"]
+    own = _likely(docs.select("doc_id", "text"), wanted).mapInArrow(pack, schema).filter("class_key is not null").dropDuplicates(both)
+    placed = dealt.join(wanted.select(*both), "class_key")
+    met = own.join(wanted, both).join(placed, both).select("component", "lo", "hi", "own", "class_key", "copies", "sig", "packed")
     result = "a binary, b binary, links bigint"
 
+    def sets(packed):
+        """The shingles of each text, some texts at a time."""
+        expand = zstandard.ZstdDecompressor().decompress
+        texts = pa.array(map(expand, packed.to_pylist()), pa.binary()).cast(pa.string())
+        for lo, hi in slices(texts):
+            _, _, h, at = _shingled(texts.slice(lo, hi - lo).to_pylist(), width)
+            yield from (np.unique(h[p:q]) for p, q in zip(at, at[1:], strict=False))
+
     def verify(key, rows):
         _, lo, hi = key
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
@@ -286,7 +302,7 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold:
         i, j = x[i], y[j]
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
-        each = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+        each = list(sets(rows.column("packed")))
         n = np.array([len(e) for e in each])
         both = intersections(each, i, j)
         linked = both >= threshold * (n[i] + n[j] - both) - 1e-9
@@ -297,7 +313,7 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold:
         out = arrow_schema(result)
         yield batch(out, a=[keys[k] for k in some] + [keys[p] for p, _ in tree], b=[None] * len(some) + [keys[q] for _, q in tree], links=links[some].astype(np.int64).tolist() + [None] * len(tree))
 
-    return grouped_arrow(met, ["component", "lo", "hi"], verify, result)
+    return grouped_arrow(met, ["component", "lo", "hi"], verify, result, _words.clear)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, tolerance: float = 1e-5, doc_id: str = "doc_id", text: str = "text", keys: bool = False) -> DataFrame:
@@ -341,8 +357,7 @@ def with_class_key(docs: DataFrame, text: str = "text") -> DataFrame:
         out = arrow_schema(schema)
         for part in _parts(batches, text):
             words, starts, _, _ = _shingled(part.column(text).to_pylist(), 1)
-            keys = [xxhash.xxh3_128_digest(words[i:j].tobytes()) if j > i else None for i, j in zip(starts, starts[1:], strict=False)]
-            yield batch(out, **dict(zip(part.schema.names, part.columns, strict=True)), class_key=keys)
+            yield batch(out, **dict(zip(part.schema.names, part.columns, strict=True)), class_key=_class_keys(words, starts))
 
     schema = docs.withColumn("class_key", F.lit(None).cast("binary")).schema
     return docs.mapInArrow(run, schema)
