@@ -7,6 +7,8 @@ Queries of sources and sinks write a table to the shared folder and read it back
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +52,10 @@ def _messages(spark, d):
 
 # ---- text and code
 
-FENCED = _text("Intro ", "{source}", "\n```python\nx = ", "{doc_id}", "\n```\nThe END")
-BARE = _text("Some WORDS\nimport os\ny = ", "{doc_id}")
-NONE = _text("Nothing here ", "{doc_id}")
+# parts of _text, as columns cannot be made before there is a session
+FENCED = "Intro ", "{source}", "\n```python\nx = ", "{doc_id}", "\n```\nThe END"
+BARE = "Some WORDS\nimport os\ny = ", "{doc_id}"
+NONE = "Nothing here ", "{doc_id}"
 FOUND = "def find_", "{doc_id}", "(x):\n    y = x\n    return y"
 
 
@@ -67,12 +70,12 @@ SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'intro ' || lower(source) WHEN 1 THEN
        CASE doc_id % 3 WHEN 0 THEN 'x = ' || doc_id WHEN 1 THEN 'import os' || chr(10) || 'y = ' || doc_id ELSE '' END AS code,
        CASE doc_id % 3 WHEN 0 THEN 'the end' ELSE '' END AS after FROM documents""")
 def str3_extract_chat_code(spark, d):
-    return _docs(spark, d).select("doc_id", S.extract_chat_code(_case("doc_id", FENCED, BARE, NONE)).alias("x")).select("doc_id", "x.*")
+    return _docs(spark, d).select("doc_id", S.extract_chat_code(_case("doc_id", _text(*FENCED), _text(*BARE), _text(*NONE))).alias("x")).select("doc_id", "x.*")
 
 
 @query("SELECT doc_id, 'Intro ' || source AS before, 'x = ' || doc_id AS code, 'The END' AS after FROM documents WHERE doc_id % 3 = 0")
 def str4_extract_pair_code(spark, d):
-    return _docs(spark, d).select("doc_id", S.extract_pair_code(_case("doc_id", FENCED, BARE, NONE)).alias("x")).filter("x is not null").select("doc_id", "x.*")
+    return _docs(spark, d).select("doc_id", S.extract_pair_code(_case("doc_id", _text(*FENCED), _text(*BARE), _text(*NONE))).alias("x")).filter("x is not null").select("doc_id", "x.*")
 
 
 @query(r"""
@@ -81,7 +84,7 @@ SELECT doc_id, bare, CASE doc_id % 3 WHEN 0 THEN 'Intro ' || source || chr(10) |
        CASE doc_id % 3 WHEN 0 THEN 'x = ' || doc_id WHEN 2 THEN '' ELSE CASE WHEN bare THEN 'import os' || chr(10) || 'y = ' || doc_id ELSE '' END END AS code
 FROM documents, (VALUES (true), (false)) t(bare)""")
 def str5_extract_field_code(spark, d):
-    text = _case("doc_id", FENCED, BARE, NONE)
+    text = _case("doc_id", _text(*FENCED), _text(*BARE), _text(*NONE))
     each = F.array(*[F.struct(F.lit(b).alias("bare"), S.extract_field_code(text, b).alias("x")) for b in (True, False)])
     return _docs(spark, d).select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.bare", "e.x.*")
 
@@ -236,12 +239,13 @@ def arr8_add_search_steps(spark, d):
 
 
 # Edits of a rollout with one fault each, and what the rules say of it.
-def _call(name: str, **values: str) -> Column:
-    return C.message("assistant", F.lit("ok"), F.lit(name), C.args(**{k: F.lit(v) for k, v in values.items()}))
+# Messages are functions, as columns cannot be made before there is a session.
+def _call(name: str, **values: str) -> Callable[[], Column]:
+    return lambda: C.message("assistant", F.lit("ok"), F.lit(name), C.args(**{k: F.lit(v) for k, v in values.items()}))
 
 
-_ASK, _DONE, _END = C.message("user", F.lit("do it")), C.message("tool_result", F.lit("done")), C.message("assistant", F.lit("All done."))
-_SAID = lambda role, text: C.message(role, F.lit(text))
+_SAID = lambda role, text: lambda: C.message(role, F.lit(text))
+_ASK, _DONE, _END = _SAID("user", "do it"), _SAID("tool_result", "done"), _SAID("assistant", "All done.")
 _EDIT = {"old_string": "a", "new_string": "b"}
 _CASES = (
     ([_ASK, _call("Edit", **_EDIT), _DONE, _END], [], []),
@@ -264,7 +268,7 @@ def _listed(rows) -> str:
 
 
 def _faulty(spark, d):
-    return read(spark, d, "documents").select("doc_id", _case("doc_id", *[F.array(*c[0]).cast(C.MESSAGES) for c in _CASES]).alias("messages"))
+    return read(spark, d, "documents").select("doc_id", _case("doc_id", *[F.array(*[m() for m in c[0]]).cast(C.MESSAGES) for c in _CASES]).alias("messages"))
 
 
 @query(f"SELECT doc_id, {_listed([c[1] for c in _CASES])}[doc_id % {len(_CASES)} + 1] AS problems FROM documents")

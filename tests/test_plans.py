@@ -1,6 +1,9 @@
 """Every registered plan with SQL gives the rows of its SQL at the smallest scale."""
 
 import os
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -51,3 +54,8 @@ def test_an_order_without_a_baseline_is_an_error(spark, tmp_path):
     spark.createDataFrame([("1-URGENT", 1.0), ("6-NEW", 2.0)], "o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     with pytest.raises(Exception, match="no random baseline for 6-NEW"):
         QUERIES["joi3_all_baselines"](spark, str(tmp_path)).collect()
+
+
+def test_entry_needs_no_session_to_import():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
