@@ -45,8 +45,8 @@ HASHES = BANDS * BAND
 STEP = 8
 #: Members of one block of a bucket; members and shingles of one block of a group.
 BUCKET_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1024, 500_000
-#: Bits of the filter on ids before the texts of candidates are shuffled.
-FILTER_BITS = 1 << 23
+#: Bits of a filter on keys before a shuffle, at most: 16 MB.
+FILTER_BITS = 1 << 27
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡§«·»¿‘’“”„–—…"
 
 _RNG = np.random.default_rng(20240607)
@@ -219,8 +219,8 @@ def _buckets(classes: DataFrame, threshold: float, tolerance: float, table: Tabl
     full = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a table of its own, so that the join below has plain exchanges and AQE may split a hot bucket
     full = table(full.withColumn("blocks", F.ceil(F.col("n") / BUCKET_MEMBERS).cast("int")), "buckets")
-    met = blocked(rows.join(full, ["band", "bucket"]), "blocks", "class_key")
-    met = met.join(classes.select("class_key", "sig"), "class_key").select("band", "bucket", "lo", "hi", "own", "class_key", place("class_key").alias("place"), "sig")
+    met = table(blocked(_likely(rows, full, "band", "bucket").join(full, ["band", "bucket"]), "blocks", "class_key"), "met")
+    met = met.join(_likely(classes.select("class_key", "sig"), met, "class_key"), "class_key").select("band", "bucket", "lo", "hi", "own", "class_key", place("class_key").alias("place"), "sig")
 
     def prune(key, rows):
         band, _, lo, hi = key
@@ -246,16 +246,19 @@ def met_rows(nodes: list, places: np.ndarray, i: np.ndarray, j: np.ndarray, kind
     return batch(out, a=[nodes[p] for p, _ in tree] + [nodes[p] for p in some.tolist()], b=[nodes[q] for _, q in tree] + [None] * len(some), mask=[None] * len(tree) + masks.tolist())
 
 
-def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs without most of those whose id is not wanted, so that their texts are not shuffled: a bitmap of FILTER_BITS
-    hashes of the wanted ids is broadcast, 1 MB whatever the table. Beyond as many ids it lets more and more others
-    through, which the join after it leaves out."""
-    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
-    bits = wanted.select(place().alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    met = docs.withColumn("at", place()).join(F.broadcast(bits), F.bitmap_bucket_number("at") == F.col("part"))
-    bit = F.bitmap_bit_position("at")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*docs.columns)
+def _likely(rows: DataFrame, wanted: DataFrame, *on: str) -> DataFrame:
+    """rows without most of those that wanted has no equal of, so that they are not shuffled for the join with it: a
+    bitmap of hashes of the wanted keys is broadcast, 16 to 32 bits a row of wanted and FILTER_BITS at most. Where
+    wanted outgrows that it lets more and more others through, which the join after it leaves out."""
+    bits = min(FILTER_BITS, 1 << max(15, (16 * wanted.count()).bit_length()))
+    place = lambda: F.pmod(F.xxhash64(*on), F.lit(bits)) + 1
+    # dealt by part before they are put together, as a whole bitmap from each task would be more to shuffle
+    marks = wanted.select(F.bitmap_bucket_number(place()).alias("part_"), F.bitmap_bit_position(place()).alias("bit_")).repartition("part_")
+    bitmap = marks.groupBy("part_").agg(F.bitmap_construct_agg("bit_").alias("bits_"))
+    met = rows.withColumn("at_", place()).join(F.broadcast(bitmap), F.bitmap_bucket_number("at_") == F.col("part_"))
+    bit = F.bitmap_bit_position("at_")
+    byte = F.conv(F.hex(F.substring("bits_", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: float, tolerance: float, width: int, table: Tables) -> DataFrame:
@@ -263,7 +266,7 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold:
     forest of all links."""
     rules = least_matches(threshold, tolerance)
     dealt = table(units(found, classes.select(F.col("class_key").alias("node"), "weight"), BLOCK_MEMBERS, BLOCK_SHINGLES, table), "units").withColumnRenamed("node", "class_key")
-    wanted = dealt.select("class_key").distinct().join(classes.select("class_key", F.col("min_doc").alias("doc_id"), "copies", "sig"), "class_key")
+    wanted = dealt.select("class_key").distinct().join(_likely(classes.select("class_key", F.col("min_doc").alias("doc_id"), "copies", "sig"), dealt, "class_key"), "class_key")
     wanted = table(wanted, "wanted")
 
     def pack(batches):
@@ -278,7 +281,7 @@ def _verified(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold:
     # the smallest id stands for its class; rows that repeat it may hold another text, so the key decides. One exchange by
     # both serves the rows that repeat both, the join with what is wanted and the join with the units
     both = ["doc_id", "class_key"]
-    own = _likely(docs.select("doc_id", "text"), wanted).mapInArrow(pack, schema).filter("class_key is not null").dropDuplicates(both)
+    own = _likely(docs.select("doc_id", "text"), wanted, "doc_id").mapInArrow(pack, schema).filter("class_key is not null").dropDuplicates(both)
     placed = dealt.join(wanted.select(*both), "class_key")
     met = own.join(wanted, both).join(placed, both).select("component", "lo", "hi", "own", "class_key", "copies", "sig", "packed")
     result = "a binary, b binary, links bigint"
