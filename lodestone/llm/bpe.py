@@ -39,7 +39,8 @@ _SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class Codec:
-    """Ranks of a tiktoken-style file, with the piece memo of one Python worker."""
+    """Ranks of a tiktoken-style file, with the memos of one Python worker: words holds the ids of a space and the
+    word after it, memo those of pieces that start otherwise."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 150_000):
         self.ranks = ranks
@@ -47,8 +48,8 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.vocabulary = {i: b for b, i in ranks.items()}
         self.table = self.single = None
-        self.words = Bounded(lambda word: self.pieces(" " + word), memo, _WORD) if pattern == _SPACED else None
-        self.memo = Bounded(lambda piece: np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), memo, _WORD)
+        self.words = Bounded(lambda word: self.pieces(" " + word), 2 * memo, _WORD) if pattern == _SPACED else None
+        self.memo = Bounded(lambda piece: self.known(piece) or np.array(self.merge(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes(), memo, _WORD)
         self.flat = b"".join(self.vocabulary.get(i, b"") for i in range(max(self.vocabulary, default=-1) + 1))
         self.flat = np.frombuffer(self.flat, np.uint8)
         self.ends = np.cumsum([0] + [len(self.vocabulary.get(i, b"")) for i in range(max(self.vocabulary, default=-1) + 1)])
@@ -199,25 +200,47 @@ class Codec:
         flat, ends = token[live].astype("<u4").tobytes(), np.cumsum(live.sum(1)) * 4
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
+    def known(self, piece: str) -> bytes | None:
+        """The ids of a piece that the memos hold: one that starts with a space is a word."""
+        if self.words is not None and piece[:1] == " ":
+            return self.words.get(piece[1:])
+        return self.memo.get(piece)
+
     def prepare(self, texts: list[str]) -> None:
-        """Merges all pieces of the texts that the memos lack, together."""
+        """Merges all pieces of the texts that the memos lack, together. Words that the texts have stay known when
+        the memo is full, the others go; a slice of more words than it holds leaves some to be made when met."""
         if self.words is None:
             return
-        new: set[str] = set()
+        words, memo, split, known = self.words, self.memo, self.split, self.known
+        met: set[str] = set()
         for t in texts:
-            new.update(w for w in set(t.split(" ")) if w not in self.words and len(w) <= _WORD)
+            met.update(t.split(" "))
+        new = [w for w in met if w not in words and len(w) <= _WORD][: words.most]
         if not new:
             return
-        if len(self.words) + len(new) > self.words.most:
-            self.words.clear()
-        split, memo = self.split, self.memo
-        parts = {w: split(" " + w) for w in new}
-        lacking = list({p for ps in parts.values() for p in ps if p not in memo})
+        parts, lack = {}, set()  # words of several pieces, and what is to be merged
+        for w in new:
+            if w.isascii() and w.isalpha():
+                lack.add(" " + w)
+                continue
+            ps = split(" " + w)
+            if len(ps) > 1:
+                parts[w] = ps
+            else:
+                lack.add(ps[0])
+        lack.update(p for ps in parts.values() for p in ps if known(p) is None)
+        lacking = list(lack)
+        got = dict(zip(lacking, self.merge_many([p.encode("utf-8", "surrogatepass") for p in lacking]), strict=True))
+        made = {w: b"".join([got.get(p) or known(p) for p in ps]) for w, ps in parts.items()}
+        if len(words) + len(lacking) + len(made) > words.most:
+            still = {w: words[w] for w in met if w in words}
+            words.clear()
+            words.update(still)
         if len(memo) + len(lacking) > memo.most:
             memo.clear()
-            lacking = list({p for ps in parts.values() for p in ps})
-        memo.update(zip(lacking, self.merge_many([p.encode("utf-8", "surrogatepass") for p in lacking]), strict=True))
-        self.words.update((w, b"".join([memo[p] for p in ps])) for w, ps in parts.items())
+        words.update((p[1:], ids) for p, ids in got.items() if p[0] == " ")
+        memo.update((p, ids) for p, ids in got.items() if p[0] != " ")
+        words.update(made)
 
     def pieces(self, text: str) -> bytes:
         memo = self.memo

@@ -452,3 +452,13 @@ def test_merges_in_rows_equal_single_ones(reference_encoding, texts):
     assert [np.frombuffer(codec.encode(t), "<u4").tolist() for t in texts] == [enc.encode_ordinary(t) for t in texts]
     pieces = [t.encode() for t in texts if t]
     assert codec.merge_many(pieces) == [np.array(codec.merge(p), "<u4").tobytes() for p in pieces]
+
+
+def test_full_memos_lose_nothing(reference_encoding):
+    ranks, enc = reference_encoding
+    codec = bpe.Codec(ranks, WHERE[1], memo=4)
+    slices = [["one two, three", "", "four five\n six seven-eight"], ["two  three nine", "ñandú día, día's it's", "x" * 60 + " one"], [" ".join(f"w{i}, abc{'d' * i}" for i in range(30))], ["one two, three nine"]]
+    for texts in slices:
+        codec.prepare(texts)
+        for t in texts:
+            assert np.frombuffer(codec.encode(t), "<u4").tolist() == enc.encode_ordinary(t)
