@@ -196,9 +196,13 @@ def grouped_arrow(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table]
     return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def _length(x: str | int) -> int:
+    return len(x) if isinstance(x, str) else x.bit_length() // 8
+
+
 class Bounded(dict):
-    """A memo of make(key), a small value, for strings of at most `longest` characters; it starts anew at `most`
-    entries. Longer keys are made each time, so its bytes are bounded too."""
+    """A memo of make(key), a small value, for strings, or tuples of strings and numbers, of at most `longest`
+    characters; it starts anew at `most` entries. Longer keys are made each time, so its bytes are bounded too."""
 
     def __init__(self, make: Callable, most: int = 100_000, longest: int = 32):
         super().__init__()
@@ -206,7 +210,7 @@ class Bounded(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(key) <= self.longest:
+        if (sum(map(_length, key)) if isinstance(key, tuple) else len(key)) <= self.longest:
             if len(self) >= self.most:
                 self.clear()
             self[key] = value

@@ -12,7 +12,9 @@ and national groupings, `+49 (0)30 ...` too); 3-3-4 digits apart by blank, . or
 not; and those that start with a trunk 0, as pairs (06 12 34 56 78) or as an area code of 3 to 5 digits and
 one or two groups. Bare digits without +, trunk 0 or such groups (5551234567, 612 345 678) are not told from
 counts and stay. Dates are year first with - or /, or day or month first with . / or -, with a year of four
-digits, padded or not, also before the T of a timestamp; names of months and years of two digits are not read.
+digits, padded or not, also before the T of a timestamp; names of months and years of two digits are not read. Dates
+before 1900 or after 2099 stay as they are. Local parts of any length move. A key is any number of bytes, all of
+which count.
 A number or date moves among those of its own format, so a padded date and an unpadded one are not linked.
 Overlapping candidates fall to the leftmost, then to the kind listed first; any length of text is taken
 whole. Rows are independent of each other, so repeated rows and null ids need no care. Other columns
@@ -35,6 +37,8 @@ from pyspark.sql import types as T
 from lodestone.llm._common import Bounded, arrow_schema, batch
 
 ROUNDS = 10
+#: Characters of a local part that move as one number; longer ones move piece by piece.
+LOCAL_PIECE = 128
 
 
 class Feistel:
@@ -46,12 +50,19 @@ class Feistel:
         self.half = max(1, ((n - 1).bit_length() + 1) // 2)
         self.mask = (1 << self.half) - 1
         self.size = (self.half + 7) // 8
-        self.rounds = [hashlib.blake2b(domain.encode() + b"|%d|%d" % (n, r), key=key[:64], digest_size=max(8, self.size)) for r in range(ROUNDS)]
+        if len(key) > 64:  # a key longer than the hash takes counts as its digest
+            key = hashlib.blake2b(key).digest()
+        self.rounds = [hashlib.blake2b(domain.encode() + b"|%d|%d" % (n, r), key=key, digest_size=min(64, max(8, self.size))) for r in range(ROUNDS)]
 
     def _f(self, r: int, x: int) -> int:
         h = self.rounds[r].copy()
         h.update(x.to_bytes(self.size, "big"))
-        return int.from_bytes(h.digest(), "big") & self.mask
+        out = h.digest()
+        for i in range(1, -(-self.size // 64)):  # halves of over 64 bytes: further digests, by number
+            more = h.copy()
+            more.update(b"|%d" % i)
+            out += more.digest()
+        return int.from_bytes(out, "big") & self.mask
 
     def apply(self, x: int) -> int:
         while True:
@@ -121,8 +132,8 @@ class Pseudonyms:
 
     def __init__(self, key: bytes, undo: bool = False):
         self.key, self.undo = key, undo
-        self.networks = Bounded(lambda dn: Feistel(self.key, *dn), 4096)
-        self.memo = Bounded(lambda kv: getattr(self, "_" + kv[0])(kv[1]), 200_000)
+        self.networks = Bounded(lambda dn: Feistel(self.key, *dn), 4096, 512)
+        self.memo = Bounded(lambda kv: getattr(self, "_" + kv[0])(kv[1]), 200_000, 64)
 
     def value(self, kind: str, text: str) -> str | None:
         """The pseudonym, or None if the text is no valid value of its kind."""
@@ -214,14 +225,25 @@ class Pseudonyms:
         return "".join(c if c == " " else next(it) for c in s)
 
     def _email(self, s: str) -> str:
-        """The local part's letters and digits move as one mixed-radix number; case and marks stay."""
+        """The local part's letters and digits move as one mixed-radix number; case and marks stay. One of over
+        LOCAL_PIECE characters moves in pieces, each under the digest of what stood before it, so that equal parts
+        stay equal, different ones stay different, and time grows with the length."""
         local, _, host = s.partition("@")
+        out, before = [], hashlib.blake2b(digest_size=16)
+        for lo in range(0, len(local), LOCAL_PIECE):
+            piece = local[lo : lo + LOCAL_PIECE]
+            new = self._local(piece, host + (f"#{before.hexdigest()}" if lo else ""))
+            out.append(new)
+            before.update((new if self.undo else piece).lower().encode())
+        return "".join(out) + "@" + host
+
+    def _local(self, local: str, domain: str) -> str:
         x, n = 0, 1
         for c in local.lower():
             r, v = (10, ord(c) - 48) if c.isdigit() else (26, ord(c) - 97) if c.isalpha() else (1, 0)
             x, n = x * r + v, n * r
         shape = re.sub(r"[a-z]", "a", re.sub(r"\d", "0", local.lower()))
-        x = self._move(f"email:{shape}@{host.lower()}", n, x) if n > 1 else x
+        x = self._move(f"email:{shape}@{domain.lower()}", n, x) if n > 1 else x
         out = []
         for c in reversed(local):
             if c.isdigit():
@@ -232,7 +254,7 @@ class Pseudonyms:
                 out.append(chr((65 if c.isupper() else 97) + v))
             else:
                 out.append(c)
-        return "".join(reversed(out)) + "@" + host
+        return "".join(reversed(out))
 
     def _valid(self, kind: str, text: str) -> str | None:
         """The text, or for an account or phone number its longest first groups, that validates."""

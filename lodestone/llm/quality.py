@@ -194,13 +194,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleEnsemble:
-    """The ensemble of labels' rows outside the held-out fold; labels has doc_id and the label."""
+    """The ensemble of labels' rows outside the held-out fold; labels has doc_id and the label. Of documents that
+    share an id, the smallest text teaches."""
     known = labels.select("doc_id", F.col(label).alias("y")).filter("doc_id is not null and y in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").select("doc_id", "y")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # bounded, so it may be broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     stats = statistics(F.col("text"))
-    got = found.select(F.col("doc_id").alias("id_"), F.col("y").cast("double").alias("y_"), *[c.alias(k) for k, c in stats.items()]).limit(2 * sample_rows).toPandas().sort_values(["id_", "chars"], kind="stable")
+    got = found.select(F.col("doc_id").alias("id_"), F.col("y").cast("double").alias("y_"), *[c.alias(k) for k, c in stats.items()]).toPandas().sort_values("id_")  # sample_rows at most
     return fit(derive({k: got[k].to_numpy(float) for k in stats}), got["y_"].to_numpy(float))
 
 

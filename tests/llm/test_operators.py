@@ -105,6 +105,9 @@ def test_quality(spark):
     for none in (labels.limit(0), labels.filter("quality = 1")):
         assert quality.score(df, quality.train(df, none)).agg(F.min("score"), F.max("score")).first()[0] >= 0.5
     assert quality.score(df.limit(0), model).count() == 0
+    again = [(i, t) for i, t, *_ in docs if i is not None and i < 300 for t in (t, t + " more")]
+    models = [quality.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels, sample_rows=150) for x, n in ((again, 1), (again[::-1], 5))]
+    assert models[0] == models[1]  # documents that share an id, in any order
     fold = spark.createDataFrame([(i,) for i in range(50)], "doc_id long").select("doc_id", quality.held_out(F.col("doc_id")).alias("h")).collect()
     import zlib
 

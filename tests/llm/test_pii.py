@@ -100,3 +100,37 @@ def test_frame(spark):
     assert got[0]["text"] is None and got[1]["text"] == ""
     assert got[2] == got[3] and "a.b12@" not in got[2]["text"] and not got[4]["text"].endswith("10.0.0.1")
     assert pii.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+@pytest.mark.parametrize("n", [128, 129, 218, 219, 300, 1000, 20_000])
+def test_local_parts_of_any_length(n):
+    local = ("aB3.x-" * n)[:n]
+    for text in (f"to {local}@mail.example.com, now", f"{'z' * n}@mail.example.com"):
+        out, spans = Pseudonyms(KEY).rewrite(text)
+        assert [k for k, _, _ in spans] == ["email"] and out != text and len(out) == len(text)
+        assert Pseudonyms(KEY, undo=True).rewrite(out)[0] == text
+    a, b, c = (Pseudonyms(KEY).rewrite(f"{x}@mail.example.com")[0] for x in (local, "c" + local[1:], local.swapcase()))
+    assert a != b and a.lower() == c.lower()
+
+
+def test_wide_domains_are_permuted():
+    n = 26**400
+    f = Feistel(KEY, "wide", n)
+    for x in (0, 1, n // 2, n - 1):
+        assert 0 <= (y := f.apply(x)) < n and f.undo(y) == x != y
+
+
+def test_all_bytes_of_a_key_count():
+    a, b = (Pseudonyms(b"k" * 64 + x).rewrite("4111 1111 1111 1111")[0] for x in (b"1", b"2"))
+    assert a != b
+
+
+def test_memos_hold_no_long_values():
+    p = Pseudonyms(KEY)
+    p.rewrite("x" * 500 + "@mail.example.com and jo@mail.example.com")
+    assert list(p.memo) == [("email", "jo@mail.example.com")] and all(len(d) <= 512 for d, _ in p.networks)
+
+
+def test_dates_outside_of_the_range_stay():
+    text = "1899-12-31 and 2100-01-01 and 31.12.1899"
+    assert Pseudonyms(KEY).rewrite(text) == (text, [])
