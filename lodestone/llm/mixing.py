@@ -7,8 +7,9 @@ time until the total budget is spent gives each source its target, as far as who
 Sizes are counts of runs of characters other than space and \\t..\\r (null text: 0). Sources are ordered
 by code point, null last, and weigh 5, 2, 1, repeating. Targets share the budget by weight, stop at
 `repeats` times a source's size, and pass the excess on by weight. Ties fall by source, key, round.
-Rows with null or repeated ids are documents of their own; empty texts take nothing; an empty table
-gives no rows. Result columns are named here; others of the input are not read.
+Rows with null or repeated ids are documents of their own, told apart in the order by their texts; empty
+texts take nothing; an empty table gives no rows. Result columns are named here, and with them those of `keep`;
+others of the input are not read.
 
 No source is sorted in one task: a source's order is cut into ranges of the key, the words of each range
 are summed first, and running sums within a range start at what lies before it. The final order is cut
@@ -59,10 +60,12 @@ def _before(df: DataFrame, group: list[str], order: str, value: str) -> DataFram
     return df.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken, rounds of every document (see the module)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).cast("binary"))
-    sizes = table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), key.alias("key")), "sizes")
+def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (5.0, 2.0, 1.0), repeats: int = 3, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, rounds of every document (see the module), and its columns `keep`,
+    which are small and can be sorted; they settle the order of rows that have the same id and text."""
+    own = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), own).cast("binary"))
+    sizes = table(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), key.alias("key"), *[F.col(c).alias(f"keep_{c}") for c in keep]), "sizes")
     n = sizes.count()
     ranges = max(64, n // RANGE_ROWS)
     cut = lambda of: F.floor(F.conv(F.substring(of, 1, 8), 16, 10).cast("double") / float(1 << 32) * ranges).cast("int")
@@ -72,7 +75,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (5.0, 2
     src = targets(sizes, weights, repeats)
     per = same(per, src.withColumnRenamed("source", "source_"), "source").select(F.col("source").alias("source_"), F.col("range").alias("range_"), "before", "source_size", "source_rank", "target", "budget")
     rows = same(sizes, per, "source", "range")
-    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *[f"keep_{c}" for c in keep]).rowsBetween(Window.unboundedPreceding, 0)
     rows = table(rows.withColumn("sent", F.col("before") + F.sum("size").over(order)).drop("before", "range"), "queue")
     # every round of every document with its finish time
     sends = rows.filter("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
@@ -88,14 +91,14 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (5.0, 2
     taken = taken.groupBy(*[F.col(c).alias(c + "_") for c in ("source", "key", "doc_id", "sent")]).agg(F.count(F.lit(1)).alias("rounds"))
     on = [rows[c].eqNullSafe(taken[c + "_"]) for c in ("source", "key", "doc_id", "sent")]
     out = rows.join(taken, on, "left").withColumn("rounds", F.when(F.col("size") > 0, F.coalesce("rounds", F.lit(0))).otherwise(F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds")).alias("taken"), F.col("rounds").cast("int").alias("rounds"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds")).alias("taken"), F.col("rounds").cast("int").alias("rounds"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 #: The same for DuckDB, without the ranges.
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS source_rank FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((source_rank - 1) % 3 + 1)::INT] AS weight, source_size * 3 AS cap, sum(source_size) OVER () AS budget FROM s),

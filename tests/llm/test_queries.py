@@ -58,6 +58,27 @@ def test_rows_that_share_an_id_stay_by_their_texts(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_rows_leave_the_mix_as_often_as_it_takes_them(spark):
+    from collections import Counter
+
+    import corpus_pipeline
+    from lodestone.llm import mixing
+
+    rng = np.random.default_rng(8)
+    rows = [(i % 100 if i % 5 else None, "w " * int(rng.integers(1, 40)), "en", f"s{i % 7 % 3}", 0) for i in range(400)] + [(7, "same text here", "en", "s0", 14)] * 600 + [(7, "same text here", "de", "s1", 14)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    size = lambda t: len(t.split())
+    mixed = mixing.mix(df, keep=("lang", "n_chars")).collect()
+    got = Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in corpus_pipeline.mix_sources(spark, df, SF).collect())
+    times = Counter(rows)
+    assert all(0 < n <= 3 * times[r] for r, n in got.items())
+    words = sum(size(r[1]) * n for r, n in got.items())
+    assert words == sum(r["taken"] for r in mixed) <= sum(size(r[1]) for r in rows) <= words + 40
+    by = lambda i, s: sum(size(r[1]) * n for r, n in got.items() if r[0] == i and size(r[1]) == s)
+    for i, s in {(r["doc_id"], r["size"]) for r in mixed}:
+        assert by(i, s) == sum(r["taken"] for r in mixed if r["doc_id"] == i and r["size"] == s)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
