@@ -47,12 +47,23 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return done.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
+#: Copies of one row that a task writes from one row of the mix.
+COPIES = 256
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, or up to three times."""
-    docs = docs.select(*COLUMNS)
-    rounds = mixing.mix(docs).filter("rounds > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("rounds").alias("rounds"))
-    mixed = docs.join(rounds, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
-    return mixed.withColumn("round", F.explode(F.sequence(F.lit(1), "rounds"))).select(*COLUMNS)
+    """Each row as often as the mix takes it: not at all, or up to three times. Rows that are equal in all columns
+    are one here, with the rounds of all of them; a row taken very often is dealt out in runs of COPIES."""
+    docs = docs.select(*COLUMNS).withColumn("row_key", F.md5(F.to_json(F.struct(*COLUMNS)).cast("binary")))
+    taken = mixing.mix(docs, keep=("row_key",)).groupBy("row_key").agg(F.sum("rounds").alias("rounds"), F.count(F.lit(1)).alias("rows_"))
+    taken = table(taken.filter("rounds > 0"), "taken")
+    once = docs.join(taken.filter("rows_ = 1").select("row_key", "rounds"), "row_key")
+    once = once.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rounds").cast("int")))).select(*COLUMNS)
+    # rows that repeat: one of each stands for all, found by partial aggregation
+    many = docs.join(taken.filter("rows_ > 1").select("row_key", "rounds"), "row_key").groupBy("row_key").agg(F.max("rounds").alias("rounds"), F.min(F.struct(*COLUMNS)).alias("d"))
+    runs = many.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rounds") - 1) / COPIES)))).repartition("row_key", "run")
+    again = runs.withColumn("round", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("rounds") - F.col("run") * COPIES).cast("int"))))
+    return once.unionByName(again.select("d.*"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
