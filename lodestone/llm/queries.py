@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, jaccard, mixing, pii, quality, secrets, url_lists, vector_dedup, warc
+from lodestone.llm import ann, bpe, jaccard, mixing, pii, quality, secrets, sharding, url_lists, vector_dedup, warc
 
 #: Key of the pseudonyms; a deployment passes its own.
 KEY = b"lodestone example key"
@@ -75,6 +75,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op6_temporal_url_list, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe)}
+def op13_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
 
-SQL = {"op6_temporal_url_list": url_lists.SQL, "op7_zip_warc": warc.SQL, "op9_weighted_fair_mix": mixing.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op6_temporal_url_list, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe, op13_hash_tree)}
+
+SQL = {"op6_temporal_url_list": url_lists.SQL, "op7_zip_warc": warc.SQL, "op9_weighted_fair_mix": mixing.SQL, "op13_hash_tree": sharding.SQL}
