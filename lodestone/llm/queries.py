@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, bpe, divergence, jaccard, mixing, pii, quality, secrets, sharding, url_lists, vector_dedup, warc
+from lodestone.llm import alignment, ann, bpe, divergence, jaccard, mixing, pii, quality, secrets, sharding, url_lists, vector_dedup, warc
 
 #: Key of the pseudonyms; a deployment passes its own.
 KEY = b"lodestone example key"
@@ -79,10 +79,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(read(spark, sf_dir, "documents"), a, b)
+
+
 def op13_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op6_temporal_url_list, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe, op11_source_divergence, op13_hash_tree)}
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_quality_rules, op3_ngram_jaccard, op4_rp_forest, op5_collision_counting, op6_temporal_url_list, op7_zip_warc, op8_feistel_pii, op9_weighted_fair_mix, op10_byte_bpe, op11_source_divergence, op12_token_alignment, op13_hash_tree)}
 
 SQL = {"op6_temporal_url_list": url_lists.SQL, "op7_zip_warc": warc.SQL, "op9_weighted_fair_mix": mixing.SQL, "op11_source_divergence": divergence.SQL, "op13_hash_tree": sharding.SQL}
