@@ -25,11 +25,31 @@ PHASES = {"base": ("train", "base_bpb", "core", "memory"), "sft": ("train", "sft
 GENERATION, METRIC = "\t<|bos|>", r"^(\t(fwe_bpb|sv2_bpb|rollout_bpb|chat_bpb|val bpb|Peak bytes)|Evaluating:|Total training|Model \()"
 
 
+#: Lines of a log that a window sees at once. What a log said before them comes in as one row.
+SPAN_LINES = 100_000
+
+
+def _scan(lines: DataFrame, log: str, line_no: str, **running: tuple[str, Column]) -> DataFrame:
+    """lines with running values over each log: name=("last", value) is the last value that is not null, ("sum",
+    value) the sum so far, both with the line itself. Spans of SPAN_LINES lines are summed up first, each to a row;
+    these rows are scanned, and every span starts from what lies before it, so no window holds a whole log."""
+    over = {"last": lambda c, w: F.last(c, ignorenulls=True).over(w), "sum": lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))}
+    whole = {"last": lambda c: F.max_by(c, F.when(c.isNotNull(), F.col(line_no))), "sum": lambda c: F.coalesce(F.sum(c), F.lit(0))}
+    rows = lines.withColumn("span_", F.floor(F.col(line_no) / SPAN_LINES)).withColumns({f"{n}_in_": v for n, (_, v) in running.items()})
+    spans = rows.groupBy(log, "span_").agg(*[whole[k](F.col(f"{n}_in_")).alias(f"{n}_all_") for n, (k, _) in running.items()])
+    earlier = Window.partitionBy(log).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)  # a row a span
+    spans = spans.select(F.col(log).alias("log_"), F.col("span_").alias("at_"), *[over[k](F.col(f"{n}_all_"), earlier).alias(f"{n}_before_") for n, (k, _) in running.items()])
+    w = Window.partitionBy(log, "span_").orderBy(line_no).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.join(spans, F.col(log).eqNullSafe(F.col("log_")) & F.col("span_").eqNullSafe(F.col("at_")))
+    own = {n: over[k](F.col(f"{n}_in_"), w) for n, (k, _) in running.items()}
+    met = met.withColumns({n: F.coalesce(own[n], F.col(f"{n}_before_")) if k == "last" else own[n] + F.col(f"{n}_before_") for n, (k, _) in running.items()})
+    return met.drop("span_", "log_", "at_", *[f"{n}{x}" for n in running for x in ("_in_", "_before_")])
+
+
 def with_step(lines: DataFrame, log: str = "log", line_no: str = "line_no", line: str = "line") -> DataFrame:
     """lines with the step that was last announced at or before each; 0 before the first."""
     own = F.regexp_extract(line, STEP, 1)
-    w = Window.partitionBy(log).orderBy(line_no).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("step", F.coalesce(F.last(F.when(own != "", own.cast("bigint")), ignorenulls=True).over(w), F.lit(0)))
+    return _scan(lines, log, line_no, step=("last", F.when(own != "", own.cast("bigint")))).withColumn("step", F.coalesce("step", F.lit(0)))
 
 
 def metrics(lines: DataFrame, *series: str, log: str = "log", line: str = "line") -> DataFrame:
@@ -55,10 +75,9 @@ def scalars(lines: DataFrame, log: str = "log", line: str = "line") -> DataFrame
 def generations(lines: DataFrame, log: str = "log", line: str = "line") -> DataFrame:
     """log, n, text of the last batch of generations, where batches end at steps. A generation starts at its
     mark and ends before the next mark, a step, or a metric's line: islands by running counts."""
-    w = Window.partitionBy(log).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_step, opens = F.col(line).rlike(STEP), F.startswith(F.col(line), F.lit(GENERATION))
     ends = is_step | F.col(line).rlike(METRIC)
-    rows = lines.withColumns({"batch_": F.sum(is_step.cast("int")).over(w), "gen_": F.sum((opens | ends).cast("int")).over(w), "opens_": opens, "ends_": ends & ~opens})
+    rows = _scan(lines, log, "line_no", batch_=("sum", is_step.cast("int")), gen_=("sum", (opens | ends).cast("int"))).withColumns({"opens_": opens, "ends_": ends & ~opens})
     rows = rows.withColumn("text_", F.when(F.col("opens_"), strip(F.col(line))).otherwise(F.col(line)))
     each = rows.groupBy(log, "batch_", "gen_").agg(F.bool_or("opens_").alias("is_gen_"), F.min("line_no").alias("at_"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("ends_"), F.struct("line_no", "text_")))), lambda x: x["text_"]), "\n").alias("text")).filter("is_gen_")
     last = each.withColumn("top_", F.max("batch_").over(Window.partitionBy(log))).filter("batch_ = top_")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Quantiles that a numeric order is cut at, and rows of one range between them: ranges grow with the table.
 RANGES, RANGE_ROWS = 64, 1_000_000
+#: Rows of the range that a budget's boundary is cut from, at most.
+EDGE_ROWS = 100_000
 #: Hexadecimal digits of a shuffle key that make a range: 65,536 ranges, each a task of a window.
 DIGITS = 4
 
@@ -65,11 +66,56 @@ def split(df: DataFrame, test: float, seed: int | str, *keys: str) -> DataFrame:
     return rows.join(F.broadcast(n)).withColumn("split", F.when(F.col("pos_") <= F.floor(F.col("n_") * test), "test").otherwise("train")).drop("pos_", "n_")
 
 
+def _boundary(df: DataFrame, order: str, size: Column, budget: int, crossing: str) -> tuple[Column | None, Column | None, int]:
+    """What is kept whole, what holds the crossing row, and the sizes before that. The order is cut into RANGES at
+    its quantiles and sizes are summed by range; the range that crosses is cut again until it has few rows. Every
+    round reads only the order and the sizes, and after the first only of the crossing range."""
+    rows = df.select(F.col(order).alias("o_"), F.coalesce(size, F.lit(0)).alias("s_"))
+    kept, edge, held, part = None, F.lit(True), 0, rows
+    low = top = None
+    while True:
+        bounds = sorted(set(part.approxQuantile("o_", [i / RANGES for i in range(1, RANGES)], 0.005)))
+        at = F.col("o_").cast("double")
+        cell = F.when(at.isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < at)) if bounds else F.lit(0))
+        cells = part.groupBy(cell.alias("cell_")).agg(F.sum("s_").alias("sum_"), F.max("o_").alias("top_"), F.count(F.lit(1)).alias("n_"))
+        last = None
+        for c in sorted(cells.collect(), key=lambda c: c["cell_"]):  # RANGES rows at most
+            through = held + c["sum_"]
+            if through > budget or (crossing == "lt" and through == budget):
+                last = c
+                break
+            held = through
+            low = c["top_"] if c["top_"] is not None else low
+            kept = F.col(order).isNull() | (F.col(order) <= F.lit(low)) if low is not None else F.col(order).isNull()
+        if last is None:
+            return (F.lit(True), None, held) if part is rows else (kept, None, held)
+        if last["top_"] is None:
+            return None, F.col(order).isNull(), held
+        edge = F.col(order) <= F.lit(last["top_"])
+        if low is not None:
+            edge = (F.col(order) > F.lit(low)) & edge
+        elif kept is not None:
+            edge = F.col(order).isNotNull() & edge
+        if last["n_"] <= EDGE_ROWS or last["top_"] == top or last["top_"] == low:
+            return kept, edge, held
+        top = last["top_"]
+        part = rows.filter((F.col("o_") <= F.lit(top)) & ((F.col("o_") > F.lit(low)) if low is not None else F.col("o_").isNotNull()))
+
+
 def within_budget(df: DataFrame, order: str, size: Column, budget: int, crossing: str = "le") -> DataFrame:
-    """Rows in order until the sizes before them pass the budget: the crossing row is the last one. "le" also
-    takes the row that starts exactly at the budget, "lt" does not."""
-    out = running_sum(df, order, size, "prior_", inclusive=False)
-    return out.filter(F.col("prior_") <= budget if crossing == "le" else F.col("prior_") < budget).drop("prior_")
+    """Rows in a numeric order until the sizes before them pass the budget: the crossing row is the last one. "le"
+    also takes the row that starts exactly at the budget, "lt" does not. Rows without an order come first.
+
+    Two phases: sums by range find the boundary from the order and the sizes alone; then the rows before it are a
+    filter on the order, which reaches the scan and skips what lies behind, and a window cuts the boundary's range.
+    """
+    kept, edge, held = _boundary(df, order, size, budget, crossing)
+    if edge is None:
+        return df.filter(kept) if kept is not None else df.limit(0)
+    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # one range
+    cut = df.filter(edge).withColumn("prior_", F.lit(held) + F.coalesce(F.sum(size).over(w), F.lit(0)))
+    cut = cut.filter(F.col("prior_") <= budget if crossing == "le" else F.col("prior_") < budget).drop("prior_")
+    return cut if kept is None else df.filter(kept).unionByName(cut)
 
 
 def mixture(tasks: list[tuple[DataFrame, int]], seed: int | str, key: str) -> DataFrame:
@@ -115,26 +161,55 @@ def hash_sample(df: DataFrame, group: str, key: str, k: int, seed: int | str) ->
     return df.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= k)
 
 
+def _successors(blocks: DataFrame, shard_size: int) -> DataFrame:
+    """a, b of (block_, size_, through_): a shard that starts at block a closes before block b. There is no row for a
+    start whose shard stays open.
+
+    That is the first block whose running sum reaches a's by shard_size. Sums and goals are sorted together within
+    ranges of shard_size, from the top, so that the nearest sum above a goal has been seen; a goal that no sum of its
+    range reaches takes the first of the next range that has any.
+    """
+    sums = blocks.select(F.floor(F.col("through_") / shard_size).alias("range_"), F.col("through_").alias("at_"), F.col("block_").alias("sum_of_"), F.lit(None).cast("bigint").alias("goal_of_"))
+    goal = F.col("through_") - F.col("size_") + shard_size
+    goals = blocks.select(F.floor(goal / shard_size).alias("range_"), goal.alias("at_"), F.lit(None).cast("bigint").alias("sum_of_"), F.col("block_").alias("goal_of_"))
+    # at equal places the sum comes first: it reaches the goal
+    w = Window.partitionBy("range_").orderBy(F.desc("at_"), F.col("goal_of_").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = sums.unionByName(goals).withColumn("first_", F.min("sum_of_").over(w)).filter("goal_of_ is not null")
+    ranges = sums.select("range_", "sum_of_").unionByName(goals.select("range_", F.lit(None).cast("bigint").alias("sum_of_"))).groupBy("range_").agg(F.min("sum_of_").alias("least_"))
+    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("range_")).rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    ranges = ranges.select(F.col("range_").alias("r_"), F.min("least_").over(above).alias("next_"))
+    out = met.join(ranges, F.col("range_") == F.col("r_"))
+    return out.select(F.col("goal_of_").alias("a"), (F.coalesce("first_", "next_") + 1).alias("b")).filter("b is not null")
+
+
 def shard_cuts(df: DataFrame, order: str, size: Column, shard_size: int, block_rows: int = 1024) -> DataFrame:
     """df with shard: a shard closes at the end of a block of block_rows rows once its sizes reach shard_size.
 
-    The rule resets at each close, so it is a fold, and sequential. It runs over block sums, of which a stream in
-    one task sees one small row for each block_rows rows and holds one number; rows get the shard of their block by
-    a join on the block.
+    The rule resets at each close. Where a shard that starts at a block would close does not depend on where shards
+    start, so it is looked up for all blocks at once; the starts are then what block 0 reaches by these jumps, found
+    by doubling: with jumps of 2^k shards known, the first 2^k starts give as many more. That takes log2(shards) joins
+    over one row a block, and no task sees all of them.
     """
+    from lodestone.sources.shared import Tables
+
+    if shard_size < 1:
+        raise ValueError("a shard holds at least 1")
+    table = Tables(df.sparkSession)
     rows = running_sum(df, order, F.lit(1), "row_", inclusive=False).withColumn("block_", F.floor(F.col("row_") / block_rows).cast("bigint"))
     blocks = rows.groupBy("block_").agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("size_"))
-
-    def fold(batches):
-        shard, held = 0, 0
-        for b in batches:
-            out = []
-            for n in b.column(1).to_pylist():
-                out.append(shard)
-                held += n
-                if held >= shard_size:
-                    shard, held = shard + 1, 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], names=["at_", "shard"])
-
-    cuts = blocks.select("block_", "size_").repartition(1).sortWithinPartitions("block_").mapInArrow(fold, "at_ bigint, shard int")
+    blocks = table(running_sum(blocks, "block_", F.col("size_"), "through_"), "blocks")
+    n = blocks.count()
+    jumps = table(_successors(blocks, shard_size).filter(F.col("b") < n), "jumps")
+    starts, reached = df.sparkSession.createDataFrame([(0,)], "start_ bigint"), 1
+    while True:
+        more = starts.join(jumps, F.col("start_") == F.col("a")).select(F.col("b").alias("start_"))
+        starts = table(starts.unionByName(more), "starts")
+        found = starts.count()
+        if found < 2 * reached:  # some jump led nowhere: the last shard is found
+            break
+        reached = found
+        further = jumps.select(F.col("a").alias("a_"), F.col("b").alias("b_")).join(jumps, F.col("b_") == F.col("a")).select(F.col("a_").alias("a"), "b")
+        jumps = table(further, "jumps")
+    opens = blocks.select("block_").join(starts, F.col("block_") == F.col("start_"), "left").select("block_", F.col("start_").isNotNull().cast("bigint").alias("opens_"))
+    cuts = running_sum(opens, "block_", F.col("opens_"), "shard_").select(F.col("block_").alias("at_"), (F.col("shard_") - 1).cast("int").alias("shard"))
     return rows.join(cuts, F.col("block_") == F.col("at_")).drop("row_", "block_", "at_")

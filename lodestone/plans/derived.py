@@ -25,6 +25,7 @@ from lodestone.operators import scenarios as Y
 from lodestone.operators import tokenizer as K
 from lodestone.plans.queries import query, read, tokenizer
 from lodestone.sources import readers as I
+from lodestone.sources import row_groups as G
 from lodestone.sources import sinks as O
 from lodestone.streaming import streams as T
 
@@ -455,26 +456,33 @@ def _sharded(spark, d) -> str:
 
 @query(f"WITH {_SHARDS.strip()} SELECT DISTINCT shard::BIGINT AS pos, CASE WHEN shard = last THEN 'val' ELSE 'train' END AS split, printf('shard=%05d', shard) AS folder FROM c")
 def src1_list_shards(spark, d):
-    files = spark.read.option("recursiveFileLookup", True).parquet(_sharded(spark, d)).inputFiles()
-    rows = spark.createDataFrame([(f.split("/")[-2], f) for f in files], "folder string, file string")
-    w = F.row_number().over(Window.orderBy("file")) - 1  # one row a file
-    return rows.select(w.cast("bigint").alias("pos"), F.when(F.col("file") == F.lit(max(files)), "val").otherwise("train").alias("split"), "folder")
+    return I.shards(spark, _sharded(spark, d)).select(F.col("pos").cast("bigint").alias("pos"), "split", F.element_at(F.split("file", "/"), -2).alias("folder"))
 
 
 @query(f"WITH {_SHARDS.strip()} SELECT doc_id, CASE WHEN shard = last THEN 'val' ELSE 'train' END AS split, rg, (k % 64)::BIGINT AS pos FROM c WHERE rg >= 1 AND (rg - 1) % 2 = 0")
 def src2_row_groups(spark, d):
     path = _sharded(spark, d)
-    got = [I.corpus(spark, path, s, start=1, step=2).withColumn("split", F.lit(s)) for s in ("train", "val")]
-    both = got[0].unionByName(got[1]).withColumn("h", F.md5(F.col("text").cast("binary")))
+    plan = G.plan(spark, path)
+    hashed = lambda df, s: df.select("file", "rg", "pos", F.md5(F.col("text").cast("binary")).alias("h"), F.lit(s).alias("split"))
+    both = hashed(I.corpus(spark, path, "train", start=1, step=2, plan=plan), "train").unionByName(hashed(I.corpus(spark, path, "val", start=1, step=2, plan=plan), "val"))
     # texts that repeat are told apart by their order, which the shards keep
     at = lambda *o: F.row_number().over(Window.partitionBy("h").orderBy(*o))
     docs = read(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("h"))
-    every = [I.corpus(spark, path, s).withColumn("split", F.lit(s)) for s in ("train", "val")]
-    every = every[0].unionByName(every[1]).withColumn("h", F.md5(F.col("text").cast("binary")))
+    every = hashed(G.scan(spark, plan), "")
     named = every.withColumn("n", at("file", "rg", "pos")).join(docs.withColumn("n", at("doc_id")), ["h", "n"]).select("doc_id", "file", "rg", "pos")
     return both.join(named, ["file", "rg", "pos"]).select("doc_id", "split", "rg", "pos")
 
 
+@query(f"""
+WITH {_SHARDS.strip()}, x AS (SELECT shard, rg, (k % 64)::BIGINT AS pos, substr(text, 1, 500) AS text, last FROM c),
+y AS (SELECT *, sum(length(text)) OVER (ORDER BY shard, rg, pos ROWS UNBOUNDED PRECEDING) - length(text) AS prior FROM x WHERE shard <> last)
+SELECT shard::INT AS shard, rg, pos, md5(text) AS h FROM y WHERE prior <= 100000""")
+def lim5_early_stop(spark, d):
+    """A scan of the train shards that stops at its budget of characters, each document cropped to 500."""
+    got = I.early_stop(spark, _sharded(spark, d), 100_000, crop=500)
+    return got.select(F.regexp_extract("file", r"shard=(\d+)", 1).cast("int").alias("shard"), "rg", "pos", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
 @query("""
 WITH c AS (SELECT conv_id, count(*) AS n, min_by(role, turn) AS first FROM conversations GROUP BY conv_id)
 SELECT conv_id AS _source_idx, copy AS _source, n::INT AS n FROM c, (VALUES ('once', 1), ('again', 2)) t(copy, i) WHERE NOT (copy = 'once' AND conv_id % 4 = 0)""")

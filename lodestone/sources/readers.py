@@ -11,56 +11,79 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import conversations as C
 from lodestone.operators.sampling import head_fraction, running_sum, shuffled
+from lodestone.sources import row_groups, shared
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
     """Files of a corpus in lexicographic order: file, pos, split (the last one is val)."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file"))
-    w = Window.orderBy("file")  # one row a file
-    out = names.withColumns({"pos": F.row_number().over(w) - 1, "n_": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
-    return out.select("file", "pos", F.when(F.col("pos") == F.col("n_") - 1, "val").otherwise("train").alias("split"))
-
-
-def row_groups(spark: SparkSession, files: list[str]) -> DataFrame:
-    """file, rg, first, n of the row groups that the footers of these files state: one read of a footer a file."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for file in files:
-        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(at, conf))
-        try:
-            first = 0
-            for k, group in enumerate(reader.getRowGroups()):
-                out.append((at.toString(), k, first, group.getRowCount()))
-                first += group.getRowCount()
-        finally:
-            reader.close()
-    return spark.createDataFrame(out, "file string, rg int, first bigint, n bigint")
-
-
-def corpus(spark: SparkSession, path: str, split: str, row_group: int | None = None, start: int = 0, step: int = 1, text: str = "text") -> DataFrame:
+    return row_groups.files(spark, path)
+
+
+def corpus(spark: SparkSession, path: str, split: str, row_group: int | None = None, start: int = 0, step: int = 1, text: str = "text", plan: str | None = None) -> DataFrame:
     """text, file, rg, pos of a split: all files but the last are train, the last is val; of each file the row
     groups start, start + step, ..., as the file's footer has them, or of row_group rows where that is given; pos is
-    the place in the group.
+    the place in the group. plan is that of `row_groups.plan`, for several reads of one corpus.
 
     A corpus of one file has no train split, which is an error rather than an empty corpus.
     """
     if split not in ("train", "val"):
         raise ValueError("split is train or val")
-    df = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
-    files = sorted(df.inputFiles())
-    chosen = files[:-1] if split == "train" else files[-1:]
-    if not chosen:
+    plan = plan or row_groups.plan(spark, path)
+    if split == "train" and row_groups.chosen(spark, plan).filter("split = 'train'").isEmpty() and not row_groups.chosen(spark, plan).isEmpty():
         raise ValueError("a corpus of one shard has no train split")
-    rows = spark.read.parquet(*chosen).select(F.col(text).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_"))
-    if row_group is not None:
-        rows = rows.withColumns({"rg": F.floor(F.col("row_") / row_group).cast("int"), "pos": F.pmod("row_", F.lit(row_group))})
-        return rows.filter((F.col("rg") >= start) & (F.pmod(F.col("rg") - start, F.lit(step)) == 0)).drop("row_")
-    groups = row_groups(spark, chosen).withColumn("wanted_", (F.col("rg") >= start) & (F.pmod(F.col("rg") - start, F.lit(step)) == 0))
-    starts = groups.groupBy(F.col("file").alias("file_")).agg(F.array_sort(F.collect_list(F.struct("first", "rg", "wanted_"))).alias("groups_"))  # as many as a footer has
-    met = rows.join(starts, F.col("file") == F.col("file_"))
-    met = met.withColumn("g_", F.element_at(F.filter("groups_", lambda g: g["first"] <= F.col("row_")), -1)).filter("g_.wanted_")
-    return met.select("text", "file", F.col("g_.rg").alias("rg"), (F.col("row_") - F.col("g_.first")).alias("pos"))
+    if row_group is None:
+        return row_groups.scan(spark, plan, f"{text} string, file string, rg int, pos bigint", split, start, step).withColumnRenamed(text, "text")
+    rows = row_groups.scan(spark, plan, f"{text} string, file string, row bigint", split).withColumnRenamed(text, "text")
+    rows = rows.withColumns({"rg": F.floor(F.col("row") / row_group).cast("int"), "pos": F.pmod("row", F.lit(row_group))})
+    return rows.filter((F.col("rg") >= start) & (F.pmod(F.col("rg") - start, F.lit(step)) == 0)).drop("row")
+
+
+def early_stop(spark: SparkSession, path: str, budget: int, crop: int | None = None, split: str | None = "train", start: int = 0, step: int = 1, text: str = "text", crossing: str = "le", plan: str | None = None) -> DataFrame:
+    """text, file, file_pos, rg, pos of a corpus in its order, until the characters before a row pass the budget, as
+    `within_budget` has it; texts are cropped to `crop` characters, and count so.
+
+    Row groups are read in waves. The footers tell how many bytes of text each group has, so a wave takes the groups
+    that should fill what is left of the budget; it sums their characters, a row for each group. Then the groups before
+    the boundary are read whole and the boundary group alone is cut by a window. Groups behind the last wave are never
+    read.
+    """
+    plan = plan or row_groups.plan(spark, path)
+    head = (lambda c: F.substring(c, 1, crop)) if crop is not None else F.col
+    groups = row_groups.chosen(spark, plan).filter((F.col("rg") >= start) & (F.pmod(F.col("rg") - start, F.lit(step)) == 0))
+    if split is not None:
+        groups = groups.filter(F.col("split") == split)
+    size = F.coalesce(F.col("column_bytes")[text], F.lit(0))
+    most = F.least(size, F.col("n") * crop) if crop is not None else size  # no group has more characters
+    groups = running_sum(groups.filter("n > 0").withColumn("place_", F.col("file_pos").cast("bigint") * (1 << 31) + F.col("rg")), "place_", most, "through_").select("file_pos", "rg", "place_", "through_")
+    groups = shared.table(groups, "groups")
+    reached = lambda total: total > budget if crossing == "le" else total >= budget
+    waves, held, after, through = None, 0, None, 0
+    while not reached(held):
+        want = max(int((budget - held) * 1.1), 1)
+        left = groups if after is None else groups.filter(F.col("place_") > (after[0] << 31) + after[1])
+        ends = left.agg(F.min(F.when(F.col("through_") >= through + want, F.col("place_"))), F.max("place_")).first()
+        last = ends[1] if ends[0] is None else ends[0]
+        if last is None:
+            break  # the whole corpus is within the budget
+        until = last >> 31, last & ((1 << 31) - 1)
+        wave = row_groups.scan(spark, plan, f"{text} string, file_pos int, rg int", split, start, step, after, until)
+        wave = shared.table(wave.groupBy("file_pos", "rg").agg(F.coalesce(F.sum(F.length(head(text)).cast("bigint")), F.lit(0)).alias("size_")), "wave")
+        waves = wave if waves is None else waves.unionByName(wave)
+        held += wave.agg(F.sum("size_")).first()[0] or 0
+        after, through = until, groups.filter(F.col("place_") == last).first()["through_"]
+    schema = f"{text} string, file string, file_pos int, rg int, pos bigint"
+    rows = lambda *span: row_groups.scan(spark, plan, schema, split, start, step, *span).withColumn(text, head(text)).withColumnRenamed(text, "text")
+    if not reached(held):
+        return rows()
+    if waves is None:
+        return rows((0, -1), (0, -1))
+    sums = running_sum(waves.withColumn("place_", F.col("file_pos").cast("bigint") * (1 << 31) + F.col("rg")), "place_", F.col("size_"), "sum_")
+    cut_at = sums.filter(F.col("sum_") > budget if crossing == "le" else F.col("sum_") >= budget).orderBy("place_").first()
+    edge, before = (cut_at["file_pos"], cut_at["rg"]), cut_at["sum_"] - cut_at["size_"]
+    w = Window.partitionBy("rg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)  # one row group
+    cut = rows((edge[0], edge[1] - 1), edge).withColumn("prior_", before + F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
+    cut = cut.filter(F.col("prior_") <= budget if crossing == "le" else F.col("prior_") < budget).drop("prior_")
+    return rows(None, (edge[0], edge[1] - 1)).unionByName(cut)
 
 
 def conversations(spark: SparkSession, path: str, seed: int | None = None, system_prompt: str | None = None, mode: str = "PERMISSIVE") -> DataFrame:
@@ -156,9 +179,17 @@ def eval_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """log, line_no, line of text logs. A log is one file, and is split as a whole so that its lines keep their order."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("log"), "value")
-    return df.select("log", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
+    """log, line_no, line of text logs, whose lines end with a line feed. A long log is read in blocks by many tasks:
+    lines are numbered within their block, and blocks by the lines of those before, so no task has a whole log.
+    What follows the last line feed is a line if there is any of it."""
+    at = F.monotonically_increasing_id()  # rises with the place in a block
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("block_"), at.alias("at_"), F.col("value").alias("line"))
+    blocks = rows.groupBy("log", "block_").agg(F.count(F.lit(1)).alias("n_"), F.min("at_").alias("first_"))
+    earlier = Window.partitionBy("log").orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = blocks.select(F.col("log").alias("log_"), F.col("block_").alias("b_"), "first_", F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("before_"))
+    met = rows.join(blocks, (F.col("log") == F.col("log_")) & (F.col("block_") == F.col("b_")))
+    lines = met.select("log", (F.col("before_") + F.col("at_") - F.col("first_")).cast("int").alias("line_no"), "line")
+    return lines.sortWithinPartitions("log", "line_no")
 
 
 def blobs(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:

@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.sampling import shard_cuts
 from lodestone.operators.tokenizer import Tokenizer
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share, spark.checkpoint.dir. Where it is unset, a local
-    master gets a temporary folder; on any other, whose machines share no such folder, it is an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is unset")
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+from lodestone.sources.shared import scratch  # noqa: F401
 
 
 def write_shards(df: DataFrame, path: str, order: str, text: str = "text", shard_chars: int = 250_000_000, row_group: int = 1024, max_chars: int | None = None) -> None:
@@ -36,7 +23,8 @@ def write_shards(df: DataFrame, path: str, order: str, text: str = "text", shard
         df = within_budget(df, order, size, max_chars, "lt")
     cut = shard_cuts(df.select(order, text), order, size, shard_chars, row_group)
     n = cut.agg(F.max("shard")).first()[0]
-    rows = cut.repartition((n or 0) + 1, "shard").sortWithinPartitions("shard", order).select(F.format_string("%05d", "shard").alias("shard"), text)
+    # sorted by the very column that the writer partitions by: a sort of its own would undo the order in a shard
+    rows = cut.select(F.format_string("%05d", "shard").alias("shard"), order, text).repartition((n or 0) + 1, "shard").sortWithinPartitions("shard", order).select("shard", text)
     out = rows.write.mode("overwrite").option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.block.row.count.limit", row_group)
     out.partitionBy("shard").parquet(path)
 
