@@ -1,13 +1,17 @@
 """Packing token sequences into fixed rows: best fit with cropping, best fit with padding, preference batches.
 
-Packing is a loop over a bounded buffer, so it runs as one kernel per pack partition: the buffer and the
-row are all that is held. Documents are dealt to pack partitions by their place, as ranks would read them.
+Packing is a loop over a bounded buffer. The documents of a rank are cut into segments of consecutive places, which are
+packed side by side, each by a kernel that holds its buffer and one row; what the buffers of neighbouring segments still
+hold at their ends is packed together in a second round. So tasks grow with the table, whatever the number of ranks, and
+a rank of one segment gets the rows that one loop over it gives.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,130 +19,277 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import arrays as A
 
+#: Places of a rank that make a segment, and segments whose rests are packed together.
+SEGMENT, SEGMENTS = 16_384, 16
 
-class _Buffer:
-    """Waiting sequences by length; of equal lengths the first come goes first."""
 
-    def __init__(self):
-        self.by: list[tuple[int, int]] = []
+class _Buffer:
+    """Waiting sequences by length, of equal lengths the first come goes first. Lengths up to `limit` that are present
+    are bits of one number, so that the longest that fits is its highest bit below the room; longer ones never fit and
+    stand in a list, as only the shortest of them is ever asked for."""
+
+    def __init__(self, limit: int):
+        self.limit, self.bits, self.n = limit, 0, 0
+        self.by: dict[int, deque] = {}
+        self.longer: list[tuple[int, int]] = []
         self.held: dict[int, object] = {}
-        self.n = 0
 
     def add(self, length: int, item) -> None:
-        bisect.insort(self.by, (length, self.n))
-        self.held[self.n] = item
+        if length <= self.limit:
+            self.by.setdefault(length, deque()).append((self.n, item))
+            self.bits |= 1 << length
+        else:
+            bisect.insort(self.longer, (length, self.n))
+            self.held[self.n] = item
         self.n += 1
 
     def __len__(self) -> int:
-        return len(self.by)
+        return sum(map(len, self.by.values())) + len(self.longer)
 
     def best(self, room: int):
         """The longest that fits, or None."""
-        at = bisect.bisect_right(self.by, (room, self.n)) - 1
-        if at < 0 or not self.by[at][0]:
-            return None
-        return self._pop(bisect.bisect_left(self.by, (self.by[at][0], -1)))
+        n = (self.bits & ((1 << (min(room, self.limit) + 1)) - 1)).bit_length() - 1
+        return self._pop(n) if n > 0 else None
 
     def shortest(self):
-        return self._pop(0)
+        if self.bits:
+            return self._pop((self.bits & -self.bits).bit_length() - 1)
+        return self.held.pop(self.longer.pop(0)[1])
+
+    def _pop(self, length: int):
+        queue = self.by[length]
+        item = queue.popleft()[1]
+        if not queue:
+            del self.by[length]
+            self.bits ^= 1 << length
+        return item
+
+    def rest(self) -> list:
+        """All that waits, in the order in which it came."""
+        every = [x for q in self.by.values() for x in q] + list(self.held.items())
+        return [item for _, item in sorted(every, key=lambda x: x[0])]
+
+
+class Cropped:
+    """Best fit with cropping, fed one document at a time: rows of exactly capacity ids, and the pieces that they are
+    made of, (tag, ids taken, ids that the document has). If no waiting document fits, the shortest fills the row and
+    the rest of it is discarded."""
+
+    def __init__(self, capacity: int, buffer: int = 1000):
+        self.capacity, self.buffer = capacity, buffer
+        self.waiting, self.n = _Buffer(capacity), 0
+        self.ids: list[int] = []
+        self.pieces: list[tuple] = []
+
+    def _take(self, tag, ids) -> Iterator[tuple[list[int], list[tuple]]]:
+        part = ids[: self.capacity - len(self.ids)]
+        self.ids += part
+        self.pieces.append((tag, len(part), len(ids)))
+        if len(self.ids) == self.capacity:
+            yield self.ids, self.pieces
+            self.ids, self.pieces = [], []
+
+    def _step(self) -> Iterator[tuple[list[int], list[tuple]]]:
+        got = self.waiting.best(self.capacity - len(self.ids))
+        self.n -= 1
+        yield from self._take(*(self.waiting.shortest() if got is None else got))
+
+    def resume(self, tag, ids) -> None:
+        """A document that an earlier round had placed in a row that was not full."""
+        for _ in self._take(tag, ids):
+            raise AssertionError("the row was full")
+
+    def wait(self, length: int, ids, tag=None) -> None:
+        self.waiting.add(length, (tag, ids))
+        self.n += 1
 
-    def _pop(self, at: int):
-        return self.held.pop(self.by.pop(at)[1])
+    def add(self, tag, ids) -> Iterator[tuple[list[int], list[tuple]]]:
+        """Rows that are full once this document waits too; they are packed while the buffer is full."""
+        if len(ids):
+            self.wait(len(ids), ids, tag)
+        while self.n >= self.buffer:
+            yield from self._step()
+
+    def finish(self) -> Iterator[tuple[list[int], list[tuple]]]:
+        """Rows that what waits still fills."""
+        while self.n:
+            yield from self._step()
+
+    def rest(self) -> list[tuple[bool, object, list[int]]]:
+        """(whether it stands in the row that is not full, tag, ids) of what no row has."""
+        out, at = [], 0
+        for tag, taken, _ in self.pieces:
+            out.append((True, tag, self.ids[at : at + taken]))
+            at += taken
+        return out + [(False, *x) for x in self.waiting.rest()]
+
+
+class Padded:
+    """Best fit with padding, fed one conversation (ids, mask) at a time: rows of capacity ids and mask, padded with
+    mask 0 once nothing that waits fits, and their pieces. Only what is longer than a row is cut."""
+
+    def __init__(self, capacity: int, pad: int, buffer: int = 100):
+        self.capacity, self.pad, self.buffer = capacity, pad, buffer
+        self.waiting, self.n = _Buffer(capacity), 0
+        self.ids: list[int] = []
+        self.mask: list[int] = []
+        self.pieces: list[tuple] = []
+
+    def _close(self) -> Iterator[tuple[list[int], list[int], list[tuple]]]:
+        room = self.capacity - len(self.ids)
+        yield self.ids + [self.pad] * room, self.mask + [0] * room, self.pieces
+        self.ids, self.mask, self.pieces = [], [], []
+
+    def _take(self, tag, item) -> Iterator[tuple[list[int], list[int], list[tuple]]]:
+        ids, mask = item[0][: self.capacity], item[1][: self.capacity]
+        self.ids, self.mask = self.ids + ids, self.mask + mask
+        self.pieces.append((tag, len(ids), len(item[0])))
+        if len(self.ids) == self.capacity:
+            yield from self._close()
+
+    def _step(self) -> Iterator[tuple[list[int], list[int], list[tuple]]]:
+        got = self.waiting.best(self.capacity - len(self.ids))
+        if got is None:
+            yield from self._close()
+        else:
+            self.n -= 1
+            yield from self._take(*got)
+
+    def resume(self, tag, item) -> None:
+        for _ in self._take(tag, item):
+            raise AssertionError("the row was full")
+
+    def add(self, tag, item) -> Iterator[tuple[list[int], list[int], list[tuple]]]:
+        if item[0]:
+            self.waiting.add(min(len(item[0]), self.capacity), (tag, item))
+            self.n += 1
+        while self.n >= self.buffer:
+            yield from self._step()
+
+    def finish(self) -> Iterator[tuple[list[int], list[int], list[tuple]]]:
+        while self.n:
+            yield from self._step()
+        if self.ids:
+            yield from self._close()
+
+    def rest(self) -> list[tuple[bool, object, tuple]]:
+        out, at = [], 0
+        for tag, taken, _ in self.pieces:
+            out.append((True, tag, (self.ids[at : at + taken], self.mask[at : at + taken])))
+            at += taken
+        return out + [(False, *x) for x in self.waiting.rest()]
+
+
+class Feed:
+    """What a packer is fed in one round: (tag, document) of each, what an earlier round had placed in a row that was
+    not full, and afterwards `left`, what this round has not packed."""
+
+    def __init__(self, documents: Iterable[tuple], placed: Iterable[tuple] = ()):
+        self.documents, self.placed, self.left = documents, placed, []
+
+
+def _packed(packer: Cropped | Padded, docs: Iterable | Feed, finish: bool) -> Iterator[tuple]:
+    feed = docs if isinstance(docs, Feed) else Feed(enumerate(docs))
+    for tag, item in feed.placed:
+        packer.resume(tag, item)
+    for tag, item in feed.documents:
+        yield from packer.add(tag, item)
+    if finish:
+        yield from packer.finish()
+    feed.left = packer.rest()
+
+
+def pack_cropped(docs: Iterable[list[int]] | Feed, capacity: int, buffer: int = 1000, finish: bool = True) -> Iterator:
+    """Rows of exactly capacity ids. If no waiting document fits, the shortest fills the row and the rest of it
+    is discarded. finish goes on when the input has ended, as long as rows can be filled. A Feed gives rows with their
+    pieces."""
+    rows = _packed(Cropped(capacity, buffer), docs, finish)
+    return rows if isinstance(docs, Feed) else (ids for ids, _ in rows)
 
 
-def pack_cropped(docs: Iterable[list[int]], capacity: int, buffer: int = 1000, finish: bool = True) -> Iterator[list[int]]:
-    """Rows of exactly capacity ids. If no waiting document fits, the shortest fills the row and the rest of it
-    is discarded. finish goes on when the input has ended, as long as rows can be filled."""
-    source, waiting, row, ended = iter(docs), _Buffer(), [], False
-    while True:
-        while not ended and len(waiting) < buffer:
-            d = next(source, None)
-            if d is None:
-                ended = True
-            elif d:
-                waiting.add(len(d), d)
-        if not len(waiting) or (ended and not finish):
-            return
-        d = waiting.best(capacity - len(row))
-        row += waiting.shortest()[: capacity - len(row)] if d is None else d
-        if len(row) == capacity:
-            yield row
-            row = []
-
-
-def pack_padded(conversations: Iterable[tuple[list[int], list[int]]], capacity: int, pad: int, buffer: int = 100) -> Iterator[tuple[list[int], list[int]]]:
+def pack_padded(conversations: Iterable[tuple[list[int], list[int]]] | Feed, capacity: int, pad: int, buffer: int = 100, finish: bool = True) -> Iterator:
     """Rows of capacity (ids, mask): best fit, and padding with mask 0 once nothing fits. Nothing is cropped."""
-    source, waiting, ended = iter(conversations), _Buffer(), False
-    ids: list[int] = []
-    mask: list[int] = []
-    while True:
-        while not ended and len(waiting) < buffer:
-            c = next(source, None)
-            if c is None:
-                ended = True
-            elif c[0]:
-                waiting.add(min(len(c[0]), capacity), (c[0][:capacity], c[1][:capacity]))
-        got = waiting.best(capacity - len(ids)) if len(waiting) else None
-        if got is not None:
-            ids, mask = ids + got[0], mask + got[1]
-        if ids and (got is None or len(ids) == capacity):
-            room = capacity - len(ids)
-            yield ids + [pad] * room, mask + [0] * room
-            ids, mask = [], []
-        elif got is None:
-            return
+    rows = _packed(Padded(capacity, pad, buffer), conversations, finish)
+    return rows if isinstance(conversations, Feed) else ((ids, mask) for ids, mask, _ in rows)
 
 
 def _kernel(df: DataFrame, pos: str, world: int, columns: list[str], schema: str, of) -> DataFrame:
-    """of(iterator of rows) -> iterator of output tuples, for each rank's rows in their order, streamed."""
-    ranked = df.withColumn("rank", F.pmod(F.col(pos), F.lit(world)).cast("int")).select("rank", pos, *columns)
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                yield from b.to_pylist()
-
-        def one_rank(first, rest, end):
-            yield first
-            for r in rest:
-                if r["rank"] != first["rank"]:
-                    end.append(r)
-                    return
-                yield r
-
-        stream, head = rows(), None
-        head = next(stream, None)
-        while head is not None:
-            end: list = []
-            rank, out = head["rank"], []
-            for n, t in enumerate(of(one_rank(head, stream, end))):
-                out.append((rank, n, *t))
-                if len(out) == 64:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)), schema=target)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out, strict=True)), strict=True)), schema=target)
-            if not end:
-                for r in stream:  # what a kernel left unread of its rank
-                    if r["rank"] != rank:
-                        end.append(r)
-                        break
-            head = end[0] if end else None
-
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "array<int>": pa.list_(pa.int32())}
-    target = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    return ranked.repartition(max(world, 1), "rank").sortWithinPartitions("rank", pos).mapInArrow(run, schema)
-
-
-def packed_rows(df: DataFrame, capacity: int, pos: str = "pos", ids: str = "ids", world: int = 8, buffer: int = 1000) -> DataFrame:
-    """rank, row_id, tokens of length capacity: best fit with cropping in each rank."""
-    return _kernel(df, pos, world, [ids], "rank int, row_id bigint, tokens array<int>", lambda rows: ((r,) for r in pack_cropped((x[ids] for x in rows if x[ids]), capacity, buffer)))
-
-
-def padded_rows(df: DataFrame, capacity: int, pad: int, pos: str = "pos", world: int = 8, buffer: int = 100) -> DataFrame:
-    """rank, row_id, tokens, mask of length capacity: best fit with padding in each rank."""
-    return _kernel(df, pos, world, ["ids", "mask"], "rank int, row_id bigint, tokens array<int>, mask array<int>", lambda rows: pack_padded(((x["ids"], x["mask"]) for x in rows if x["ids"]), capacity, pad, buffer))
+    """The columns of schema, whose last may be pieces; of(rows, finish, placed) -> (feed, rows) of a packer for rows
+    in order."""
+    from lodestone.sources.shared import table
+
+    schema, wanted, _ = schema.partition(", pieces")
+    place = F.coalesce(F.col(pos), F.lit(0)).cast("bigint")
+    inner = "rank int, segment bigint, n bigint, seq bigint, placed boolean, " + schema.partition("row_id bigint, ")[2] + ", pieces array<struct<pos:bigint,taken:int,length:int>>"
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    names = [c.split()[0] for c in inner.split(", ")]
+    target = pa.schema([(c.split()[0], kinds.get(c.split()[1], pa.list_(pa.struct([("pos", pa.int64()), ("taken", pa.int32()), ("length", pa.int32())])))) for c in inner.split(", ")])
+    fields = names[5:-1]
+
+    def kernel(finish: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*held, strict=True)), strict=True)), schema=target)
+            held.clear()
+            return made
+
+        each = (r for b in batches for r in b.to_pylist())
+        for (rank, segment), rows in groupby(each, lambda r: (r["rank"], r["segment"])):
+            # of what segments had placed in rows, that of the first goes on as a row
+            first = next(rows)
+            placed = []
+            while first is not None and first["placed"] and (not placed or first["of"] == placed[0]["of"]):
+                placed.append(first)
+                first = next(rows, None)
+            feed, out = of(rows if first is None else chain([first], rows), finish, placed)
+            for n, (*row, pieces) in enumerate(out):
+                held.append((rank, segment, n, None, None, *row, pieces))
+                if len(held) == 64:
+                    yield batch()
+            for seq, (in_row, tag, item) in enumerate(feed.left):
+                item = item if isinstance(item, tuple) else (item,)
+                held.append((rank, segment, None, seq, in_row, *item, [(tag, 0, len(item[0]))]))
+                if len(held) == 64:
+                    yield batch()
+        if held:
+            yield batch()
+
+    of_segment = F.floor(place / (world * SEGMENT)).cast("bigint")
+    ranked = df.select(F.pmod(place, F.lit(world)).cast("int").alias("rank"), of_segment.alias("segment"), F.lit(False).alias("placed"), of_segment.alias("of"), place.alias("pos_"), *[F.col(c).alias(f) for c, f in zip(columns, fields, strict=True)])
+    first = ranked.repartition("rank", "segment").sortWithinPartitions("rank", "segment", "pos_").mapInArrow(lambda b: kernel(False, b), inner)
+    first = table(first, "packed")
+    rest = first.filter("seq is not null").select("rank", F.floor(F.col("segment") / SEGMENTS).cast("bigint").alias("segment"), "placed", F.col("segment").alias("of"), F.col("pieces")[0]["pos"].alias("pos_"), "seq", *fields)
+    second = rest.repartition("rank", "segment").sortWithinPartitions("rank", "segment", F.desc("placed"), "of", "seq").drop("seq").mapInArrow(lambda b: kernel(True, b), inner)
+    second = table(second.filter("n is not null"), "rests")
+    # numbers of a rank: rows of its segments, then those of their rests
+    rounds = first.filter("n is not null").withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
+    before = Window.partitionBy("rank").orderBy("round", "segment").rowsBetween(Window.unboundedPreceding, -1)  # a row a segment
+    starts = rounds.groupBy("rank", "round", "segment").agg(F.count(F.lit(1)).alias("rows_")).withColumn("start_", F.coalesce(F.sum("rows_").over(before), F.lit(0))).drop("rows_")
+    return rounds.join(starts, ["rank", "round", "segment"]).select("rank", (F.col("start_") + F.col("n")).alias("row_id"), *fields, *(["pieces"] if wanted else []))
+
+
+def packed_rows(df: DataFrame, capacity: int, pos: str = "pos", ids: str = "ids", world: int = 8, buffer: int = 1000, pieces: bool = False) -> DataFrame:
+    """rank, row_id, tokens of length capacity: best fit with cropping in each rank. With pieces also the documents
+    that a row is made of, in order: (pos, ids taken, ids it has)."""
+
+    def of(rows, finish: bool = True, placed: Iterable = ()):
+        tagged = lambda xs: ((x["pos_"], x["tokens"]) for x in xs if x["tokens"])
+        feed = Feed(tagged(rows), tagged(placed))
+        return feed, pack_cropped(feed, capacity, buffer, finish)
+
+    return _kernel(df, pos, world, [ids], "rank int, row_id bigint, tokens array<int>" + ", pieces" * pieces, of)
+
+
+def padded_rows(df: DataFrame, capacity: int, pad: int, pos: str = "pos", world: int = 8, buffer: int = 100, pieces: bool = False) -> DataFrame:
+    """rank, row_id, tokens, mask of length capacity: best fit with padding in each rank, with pieces as above."""
+
+    def of(rows, finish: bool = True, placed: Iterable = ()):
+        tagged = lambda xs: ((x["pos_"], (x["tokens"], x["mask"])) for x in xs if x["tokens"])
+        feed = Feed(tagged(rows), tagged(placed))
+        return feed, pack_padded(feed, capacity, pad, buffer, finish)
+
+    return _kernel(df, pos, world, ["ids", "mask"], "rank int, row_id bigint, tokens array<int>, mask array<int>" + ", pieces" * pieces, of)
 
 
 def preference_batches(df: DataFrame, batch: int, minibatch: int, devices: int = 1, pos: str = "pos") -> DataFrame:

@@ -21,6 +21,7 @@ from lodestone.operators import evals as E
 from lodestone.operators import logs as L
 from lodestone.operators import packing as P
 from lodestone.operators import rollouts as R
+from lodestone.operators import sampling as Z
 from lodestone.operators import scenarios as Y
 from lodestone.operators import tokenizer as K
 from lodestone.plans.queries import query, read, tokenizer
@@ -647,6 +648,44 @@ def pck1_ranks(spark, d):
     return held.join(used, "rank", "left").select("rank", (F.col("used").isNull() | ((F.col("least") == 65) & (F.col("most") == 65) & (F.col("used") <= F.col("n")))).alias("some"))
 
 
+_PACKED = """
+d AS (SELECT doc_id % 4 AS rank, length(text) + 1 AS n FROM documents)
+SELECT rank::INT AS rank, count(*) AS n_docs, sum(n)::BIGINT AS n_ids, 0::BIGINT AS broken, 0::BIGINT AS short_rows FROM d GROUP BY rank"""
+
+
+def _kept(rows, docs, capacity):
+    """By rank: documents and ids, counted from the rows' pieces, what they crop and what is in no row; pieces that are
+    not the head of their document, and rows of another length."""
+    at = F.transform(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.aggregate(F.slice("pieces", 1, i - 1), F.lit(0), lambda n, p: n + p["taken"]))
+    each = rows.withColumn("p_", F.explode(F.arrays_zip("pieces", at.alias("at"))))
+    each = each.select("rank", F.col("p_.pieces.pos").alias("pos"), F.col("p_.pieces.length").alias("length"), F.md5(F.to_json(F.slice("tokens", F.col("p_.at") + 1, F.col("p_.pieces.taken"))).cast("binary")).alias("h"), F.col("p_.pieces.taken").alias("taken"))
+    met = docs.join(each.withColumnRenamed("rank", "of_rank"), "pos", "full")
+    head = F.md5(F.to_json(F.slice("ids", 1, F.col("taken"))).cast("binary"))
+    met = met.groupBy(F.coalesce("of_rank", F.pmod("pos", F.lit(4)).cast("int")).alias("rank")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.coalesce("length", F.size("ids"))).alias("n_ids"), F.count_if(F.col("h").isNotNull() & ~F.col("h").eqNullSafe(head)).alias("broken"))
+    short = rows.groupBy("rank").agg(F.count_if(F.size("tokens") != capacity).alias("short"))
+    return met.join(short, "rank", "left").select("rank", "n_docs", "n_ids", "broken", F.coalesce("short", F.lit(0)).alias("short_rows"))
+
+
+def _lettered(spark, d):
+    """pos and ids of documents: 1, and the code points of the text."""
+    points = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), F.ascii)
+    return read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat(F.array(F.lit(1)), points).alias("ids"))
+
+
+@query(f"WITH {_PACKED.strip()}")
+def pck1_pieces(spark, d):
+    """Every document is in one row of its rank at most, by its head; what is in rows, cropped and left is all there is."""
+    docs = _lettered(spark, d)
+    return _kept(P.packed_rows(docs, 2048, world=4, pieces=True), docs, 2048)
+
+
+@query(f"WITH {_PACKED.strip()}")
+def pck2_pieces(spark, d):
+    docs = _lettered(spark, d)
+    rows = P.padded_rows(docs.withColumn("mask", F.transform("ids", lambda x: F.lit(1))), 4096, 0, world=4, pieces=True)
+    return _kept(rows, docs, 4096)
+
+
 # ---- streams
 
 
@@ -665,3 +704,24 @@ def stm4_resumable_append(spark, d):
         stream = T.documents(spark, source, events.schema, 1)
         T.resumable_append(stream, lambda b: b.filter("event_id % 3 <> 0"), out, O.scratch(spark, f"run{run}"), ["event_id"]).awaitTermination()
     return spark.read.schema(events.schema).parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents),
+k AS (SELECT *, pos % 4 AS rank, pos // 4 // 2 AS row_id, pos // 4 % 2 AS odd FROM p)
+SELECT rank::INT AS rank, row_id, min(doc_id) FILTER (odd = 1) AS first, min(doc_id) FILTER (odd = 0) AS second FROM k GROUP BY ALL HAVING count(*) = 2""")
+def stm2_packed_stream(spark, d):
+    """Documents of three and of five ids by turns, in rows of eight: five and three of them, each in its order. The
+    stream comes in four parts, each a run of its own from the checkpoint, and one that ends the ranks."""
+    source, out, checkpoint = O.scratch(spark, "stream"), O.scratch(spark, "packed"), O.scratch(spark, "packing")
+    docs = Z.running_sum(read(spark, d, "documents").select("doc_id"), "doc_id", F.lit(1), "pos", inclusive=False)
+    five = F.pmod(F.floor(F.col("pos") / 4), F.lit(2)) == 1
+    rows = docs.select("pos", F.array_repeat(F.col("doc_id").cast("int"), F.when(five, 5).otherwise(3)).alias("ids"), F.lit(False).alias("last"))
+    n = docs.count()
+    ends = spark.range(4).select(F.col("id").alias("pos"), F.lit(None).cast("array<int>").alias("ids"), F.lit(True).alias("last"))
+    for k in range(5):
+        part = rows.filter((F.col("pos") >= k * n // 4) & (F.col("pos") < (k + 1) * n // 4)) if k < 4 else ends
+        part.write.mode("append").parquet(source)
+        stream = T.packed(T.documents(spark, source, "pos long, ids array<int>, last boolean", 1000), 8, end="last")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("rank", "row_id", F.col("tokens")[0].cast("bigint").alias("first"), F.col("tokens")[5].cast("bigint").alias("second"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+
+from lodestone.operators.packing import Cropped
 
 
 def documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -34,31 +35,95 @@ def resumable_append(stream: DataFrame, transform, path: str, checkpoint: str, k
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def packed(stream: DataFrame, capacity: int, buffer: int = 1000, world: int = 4, pos: str = "pos", ids: str = "ids") -> DataFrame:
-    """rank, row_id, tokens: best-fit packing whose buffer is carried from batch to batch in state.
+class Packing(StatefulProcessor):
+    """Best-fit packing of one rank whose buffer lives in state from batch to batch.
 
-    A rank packs only while its buffer is full, so what waits at the end of the stream stays in state.
+    A waiting document is an entry of a map of its own, under its length and its number: a batch reads the keys, and
+    the documents that it packs; it writes those that it adds and takes away those that it has packed. The row that is
+    not full is a value. A rank packs while its buffer is full; a row that says `end`, or no row for `idle`, has it
+    pack all that waits, as the end of a table does.
     """
-    from lodestone.operators.packing import _Buffer
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, row, n = pickle.loads(state.get[0]) if state.exists else (_Buffer(), [], 0)
+    def __init__(self, capacity: int, buffer: int, idle_ms: int | None):
+        self.capacity, self.buffer, self.idle_ms = capacity, buffer, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "length int, seq long", "ids array<int>")
+        self.row = handle.getValueState("row", "ids array<int>, seq long, row_id long")
+
+    def close(self) -> None:
+        pass
+
+    def _pack(self, key: tuple, rows: list[list[int]], finish: bool) -> pd.DataFrame:
+        ids, seq, row_id = self.row.get() if self.row.exists() else ([], 0, 0)
+        packer = Cropped(self.capacity, self.buffer)
+        if len(ids):
+            packer.resume(None, list(ids))
+        for length, n in sorted(map(tuple, self.waiting.keys()), key=lambda k: k[1]):
+            packer.wait(length, _Waiting(self, length, n))
         out = []
-        for b in batches:
-            for d in b.sort_values(pos)[ids]:
-                if d is not None and len(d):
-                    waiting.add(len(d), list(d))
-                while len(waiting) >= buffer:
-                    got = waiting.best(capacity - len(row))
-                    row += waiting.shortest()[: capacity - len(row)] if got is None else got
-                    if len(row) == capacity:
-                        out.append((key[0], n, row))
-                        row, n = [], n + 1
-        state.update((pickle.dumps((waiting, row, n)),))
-        yield pd.DataFrame(out, columns=["rank", "row_id", "tokens"])
-
-    ranked = stream.withColumn("rank", F.pmod(F.col(pos), F.lit(world)).cast("int"))
-    return ranked.groupBy("rank").applyInPandasWithState(step, "rank int, row_id long, tokens array<int>", "state binary", "append", GroupStateTimeout.NoTimeout)
+        for d in rows:
+            new = _Waiting(self, len(d), seq, d)
+            seq += 1
+            out += [row for row, _ in packer.add(None, new)]
+        if finish:
+            out += [row for row, _ in packer.finish()]
+        for _, _, item in packer.rest():
+            if isinstance(item, _Waiting):
+                item.keep()
+        self.row.update(([int(x) for x in packer.ids], seq, row_id + len(out)))
+        return pd.DataFrame({"rank": pd.Series([key[0]] * len(out), dtype="int32"), "row_id": pd.Series(range(row_id, row_id + len(out)), dtype="int64"), "tokens": pd.Series(out, dtype="object")})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        b = pd.concat(list(rows)).sort_values("pos_", kind="stable")
+        docs = [list(map(int, d)) for d in b["ids_"] if d is not None and len(d)]
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._pack(key, docs, bool(b["end_"].any()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._pack(key, [], True)
+
+
+class _Waiting:
+    """A document of the state: its length is known, its ids are read when it is packed."""
+
+    def __init__(self, owner: Packing, length: int, seq: int, ids: list[int] | None = None):
+        self.owner, self.length, self.seq, self.ids = owner, length, seq, ids
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, part: slice) -> list[int]:
+        """The ids of a document that leaves the buffer."""
+        if self.ids is None:
+            self.ids = [int(x) for x in self.owner.waiting.getValue((self.length, self.seq))[0]]
+            self.owner.waiting.removeKey((self.length, self.seq))
+        return self.ids[part]
+
+    def keep(self) -> None:
+        if self.ids is not None:
+            self.owner.waiting.updateValue((self.length, self.seq), (self.ids,))
+
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def packed(stream: DataFrame, capacity: int, buffer: int = 1000, world: int = 4, pos: str = "pos", ids: str = "ids", end: str | None = None, idle_ms: int | None = None) -> DataFrame:
+    """rank, row_id, tokens: best-fit packing whose buffer is carried from batch to batch in state (see `Packing`).
+
+    Over any batches that follow the places, and with a last row of each rank whose column `end` is true, the rows are
+    those that `pack_cropped` makes of each rank's documents. Such a row may have no ids. State of this kind needs
+    RocksDB, which is set as the session's state store.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    last = F.coalesce(F.col(end), F.lit(False)) if end else F.lit(False)
+    ranked = stream.select(F.pmod(F.col(pos), F.lit(world)).cast("int").alias("rank"), F.col(pos).cast("long").alias("pos_"), F.col(ids).alias("ids_"), last.alias("end_"))
+    mode = "none" if idle_ms is None else "ProcessingTime"
+    return ranked.groupBy("rank").transformWithStateInPandas(Packing(capacity, buffer, idle_ms), "rank int, row_id long, tokens array<int>", "append", mode)
 
 
 def event_counts(stream: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
