@@ -703,7 +703,7 @@ def stm4_resumable_append(spark, d):
     for run in range(2):
         stream = T.documents(spark, source, events.schema, 1)
         T.resumable_append(stream, lambda b: b.filter("event_id % 3 <> 0"), out, O.scratch(spark, f"run{run}"), ["event_id"]).awaitTermination()
-    return spark.read.schema(events.schema).parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return T.appended(spark, out, events.schema).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,22 +19,73 @@ def documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 8
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+class Unseen(StatefulProcessor):
+    """Rows whose key has not been seen: the keys are a map in state, in buckets, so a batch looks up its own keys
+    alone. What a sink holds when a run begins is put into the state once, as initial state."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle) -> None:
+        self.seen = handle.getMapState("seen", "key string", "n int")
+
+    def close(self) -> None:
+        pass
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  Spark's names
+        for k in initialState["key_"]:
+            self.seen.updateValue((k,), (1,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for b in rows:
+            new = []
+            for k in b["key_"]:
+                new.append(not self.seen.containsKey((k,)))
+                if new[-1]:
+                    self.seen.updateValue((k,), (1,))
+            yield b.loc[new, self.columns]
+
+
+#: Buckets of keys of a sink: a task of a batch holds some of them at a time.
+BUCKETS = 1024
+
+
+def unseen(stream: DataFrame, keys: list[str], done: DataFrame | None = None) -> DataFrame:
+    """The first row of each key of a stream, of those keys that are not in done. Null is a key like others."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    keyed = lambda df: df.withColumn("key_", F.to_json(F.struct(*keys))).withColumn("bucket_", F.pmod(F.xxhash64("key_"), F.lit(BUCKETS)).cast("int"))
+    first = keyed(done).select("bucket_", "key_").distinct().groupBy("bucket_") if done is not None else None
+    return keyed(stream).groupBy("bucket_").transformWithStateInPandas(Unseen(stream.columns), stream.schema, "append", "none", first)
+
+
+def _runs(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the runs that have appended to a sink."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/run=*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return sorted(f.getPath().toString() for f in found or ())
+
+
+def appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What the runs of `resumable_append` have committed: each run's folder keeps a log of its batches, and files
+    that no batch has committed are not read."""
+    parts = [spark.read.schema(schema).parquet(p) for p in _runs(spark, path)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
 def resumable_append(stream: DataFrame, transform, path: str, checkpoint: str, keys: list[str]):
-    """Appends transform(batch) to the parquet folder, leaving out rows whose keys it already holds: a batch that
-    runs again after a failure adds nothing twice."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        rows = transform(batch)
-        spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(path).select(*keys).distinct()
-            rows = rows.join(done, keys, "left_anti")
-        except Exception as e:  # the first batch finds no folder
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Appends transform(stream) to a sink of parquet files, each key once, whatever was appended before.
+
+    A run is told by its checkpoint and has a folder of its own below path, to which Spark's file sink appends with a
+    log by batch: a batch that is killed before its entry is written, and run again, adds nothing twice. A run that goes
+    on from its checkpoint knows its keys from its state; a new one takes those of all earlier runs in when it begins.
+    After that no batch reads the sink, so of two checkpoints only the one that began last may go on.
+    """
+    spark = stream.sparkSession
+    rows = transform(stream)
+    run = f"{path}/run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+    done = appended(spark, path, rows.schema).select(*keys)
+    sink = unseen(rows, keys, done).writeStream.format("parquet").option("path", run)
+    return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Packing(StatefulProcessor):

@@ -161,3 +161,36 @@ def test_a_silent_stream_packs_what_waits(spark, tmp_path):
     finally:
         q.stop()
     assert got == want
+
+
+# ---- appends
+
+
+def test_appends_once(spark, tmp_path):
+    """Keys that repeat in a batch, in a later one and in another run; a batch that ran without being committed."""
+    import os
+
+    src, out, c = (str(tmp_path / x) for x in ("src", "out", "c"))
+    schema = "k long, part string, v string"
+    add = lambda *rows: (spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src), time.sleep(0.02))
+    go = lambda checkpoint: streams.resumable_append(streams.documents(spark, src, schema, 1), lambda s: s.filter("v <> 'no'"), out, checkpoint, ["k", "part"]).awaitTermination()
+    key = lambda rows: sorted(rows, key=repr)
+    got = lambda: key((r["k"], r["part"]) for r in streams.appended(spark, out, schema).collect())
+    assert got() == []
+    add((1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (2, "a", "no"), (None, "a", "x"), (None, "a", "x"))
+    add((1, "a", "x"), (2, "a", "yes"))
+    go(c)
+    assert got() == key([(1, "a"), (1, "b"), (2, "a"), (None, "a")])
+    # the last batch is killed after its files were written: neither the sink nor the run knows of it
+    (run,) = (tmp_path / "out").glob("run=*")
+    for log in (run / "_spark_metadata", tmp_path / "c" / "commits"):
+        last = max(int(p.name) for p in log.iterdir() if p.name.isdigit())
+        os.remove(log / str(last))
+        (log / f".{last}.crc").unlink(missing_ok=True)
+    assert got() == key([(1, "a"), (1, "b"), (None, "a")])
+    go(c)
+    assert got() == key([(1, "a"), (1, "b"), (2, "a"), (None, "a")])
+    assert spark.read.schema(schema).parquet(*[str(p) for p in run.glob("*.parquet")]).count() > len(got())  # files of no batch
+    add((3, "a", "x"), (1, "a", "z"))
+    go(str(tmp_path / "another"))  # another checkpoint: it reads all of the source again
+    assert got() == key([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (None, "a")])
