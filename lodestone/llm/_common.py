@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -81,6 +82,8 @@ class Tables:
         self.drop(*[df for k, (df, _) in list(self.paths.items()) if k not in held])
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
 _ARROW = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -168,6 +171,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Hands free memory of this worker back to the machine: idle workers share it with the JVM and with each other."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(column: pa.Array, most: int = 2 << 20, rows: int = 512) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `rows` rows and about `most` bytes of text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
@@ -191,6 +201,7 @@ def grouped_arrow(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table]
                 yield from fn(key, group)
         finally:
             done()
+            release()
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Bounded, arrow_schema, batch, slices
+from lodestone.llm._common import Bounded, arrow_schema, batch, release, slices
 
 _NONE = 1 << 62
 _POS = 32
@@ -326,6 +326,7 @@ def _coded(df: DataFrame, ranks_path: str, pattern: str, text: str, made: dict[s
                     yield batch(out, **{n: part.column(n) for n in kept}, **columns(codec, lengths, ids))
         finally:
             codec.forget()
+            release()
 
     return df.mapInArrow(run, schema)
 

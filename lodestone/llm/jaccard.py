@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import Bounded, Tables, arrow_schema, batch, grouped_arrow, slices
+from lodestone.llm._common import Bounded, Tables, arrow_schema, batch, grouped_arrow, release, slices
 from lodestone.llm.components import connected, forest, met_places, place, units
 from lodestone.llm.vectors import blocked
 
@@ -44,7 +44,7 @@ BANDS, BAND = 30, 4
 HASHES = BANDS * BAND
 STEP = 8
 #: Members of one block of a bucket; members and shingles of one block of a group.
-BUCKET_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 1024, 500_000
+BUCKET_MEMBERS, BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1024, 500_000
 #: Bits of a filter on keys before a shuffle, at most: 16 MB.
 FILTER_BITS = 1 << 27
 PUNCTUATION = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡§«·»¿‘’“”„–—…"
@@ -97,6 +97,7 @@ def _parts(batches: Iterator[pa.RecordBatch], text: int | str) -> Iterator[pa.Re
                 yield b.slice(lo, hi - lo)
     finally:
         _words.clear()
+        release()
 
 
 def _class_keys(words: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
@@ -170,9 +171,9 @@ def surviving(a: np.ndarray, b: np.ndarray, band: int | None, rules: list[tuple[
                 seen = (rows[pi, : until * BAND] == b[pj, : until * BAND]).reshape(len(pi), until, BAND).all(2).any(1)
                 go = seen if band is None else ~seen
                 pi, pj = pi[go], pj[go]
-            left.append(pi + lo)
-            right.append(pj)
-    none = np.zeros(0, np.int64)
+            left.append((pi + lo).astype(np.int32))  # a block has few members
+            right.append(pj.astype(np.int32))
+    none = np.zeros(0, np.int32)
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
