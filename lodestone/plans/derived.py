@@ -28,6 +28,7 @@ from lodestone.plans.queries import query, read, tokenizer
 from lodestone.sources import readers as I
 from lodestone.sources import row_groups as G
 from lodestone.sources import sinks as O
+from lodestone.streaming import endless as X
 from lodestone.streaming import streams as T
 
 
@@ -725,3 +726,32 @@ def stm2_packed_stream(spark, d):
         stream = T.packed(T.documents(spark, source, "pos long, ids array<int>, last boolean", 1000), 8, end="last")
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("rank", "row_id", F.col("tokens")[0].cast("bigint").alias("first"), F.col("tokens")[5].cast("bigint").alias("second"))
+
+
+_ENDLESS = """
+a AS (SELECT 0 AS source, b, n, c, count(*) OVER () AS groups FROM (SELECT b, count(*) AS n, sum(length(text))::BIGINT AS c FROM (SELECT text, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS b FROM documents) GROUP BY b)),
+p AS (SELECT 1 AS source, b, n, c, count(*) OVER () AS groups FROM (SELECT b, count(*) AS n, sum(length(html))::BIGINT AS c FROM (SELECT html, (row_number() OVER (ORDER BY page_id) - 1) // 16 AS b FROM pages) GROUP BY b)),
+g AS (FROM a UNION ALL FROM p),
+s AS (SELECT step, (('0x' || substr(md5('e:' || step), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < 0.3)::INT AS source FROM range((SELECT 4 * max(groups) FROM a)) t(step)),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY step) - 1 AS k FROM s),
+e AS (SELECT k.step, k.source, k // m.groups AS epoch, k % m.groups AS x, m.groups AS m FROM k JOIN (SELECT DISTINCT source, groups FROM g) m USING (source)),
+h AS (SELECT *, ('0x' || substr(md5('e:' || epoch || ':a'), 1, 8))::BIGINT % m AS a0, ('0x' || substr(md5('e:' || epoch || ':b'), 1, 8))::BIGINT AS b0 FROM e),
+o AS (SELECT *, ([y FOR y IN range(greatest(a0, 1), greatest(a0, 1) + m + 1) IF gcd(y, m) = 1][1] * x + b0) % m AS at FROM h)
+SELECT o.step, o.source::INT AS source, o.epoch, g.n, g.c AS n_chars FROM o JOIN g ON g.source = o.source AND g.b = o.at"""
+
+
+@query(f"WITH {_ENDLESS.strip()}")
+def stm1_endless_mix(spark, d):
+    """Four epochs of documents in row groups of 64, mixed with pages in row groups of 16, each epoch in an order of its
+    own; the stream is stopped three times and goes on from its checkpoint."""
+    plans = []
+    for table, key, text, rows in (("documents", "doc_id", "text", 64), ("pages", "page_id", "html", 16)):
+        path = O.scratch(spark, table)
+        O.write_shards(read(spark, d, table).select(key, F.col(text).alias("text")), path, key, shard_chars=1, row_group=rows)
+        plans.append(G.plan(spark, path))
+    n = 4 * G.chosen(spark, plans[0]).count()
+    out, checkpoint = O.scratch(spark, "mixed"), O.scratch(spark, "mixing")
+    for _ in range(4):
+        stream = X.texts(X.steps(spark, plans, 0.3, "e", True, per_trigger=-(-n // 4), last=n))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("step", "source", "epoch").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("bigint")).alias("n_chars"))
