@@ -73,8 +73,10 @@ def late_decay(step: Column, steps: int, share: float = 0.7, slope: float = 0.7)
     return F.when(p < share, F.lit(1.0)).otherwise(1 - (p - share) / slope)
 
 
-def training_steps(tokens_per_parameter: float, parameters: int, tokens_per_step: int) -> int:
-    """Steps that a data ratio asks for, and one more."""
+def training_steps(tokens_per_parameter: float, parameters: int | Column, tokens_per_step: int | Column) -> int | Column:
+    """Steps that a data ratio asks for, and one more, for numbers or columns."""
+    if isinstance(parameters, Column) or isinstance(tokens_per_step, Column):
+        return F.ceil(F.floor(tokens_per_parameter * parameters) / tokens_per_step) + 1
     return -(-int(tokens_per_parameter * parameters) // tokens_per_step) + 1
 
 
@@ -87,8 +89,8 @@ def throughput(tokens: Column, seconds: Column) -> Column:
     return F.floor(tokens / seconds)
 
 
-def flops_per_token(parameters: int, embedding: int, layers: int, heads: int, head_dim: int, sequence: int) -> int:
-    """Forward and backward operations for a token of a dense transformer."""
+def flops_per_token(parameters: int | Column, embedding: int | Column, layers: int | Column, heads: int | Column, head_dim: int | Column, sequence: int | Column) -> int | Column:
+    """Forward and backward operations for a token of a dense transformer, for numbers or columns."""
     return 6 * (parameters - embedding) + 12 * layers * heads * head_dim * sequence
 
 

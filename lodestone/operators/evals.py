@@ -46,7 +46,7 @@ def prompts(item: Column, task_type: Column, delimiter: str, shots: Column) -> C
 
 
 def few_shot(items: DataFrame, n: int, seed: int = 1234, task: str = "task", pos: str = "pos") -> DataFrame:
-    """items with shots: n others of their task, by the hash of seed, the item's first equal place, and the other.
+    """items with shots: n others of their task, by the MD5 of seed, the item's first equal place, and the draw.
 
     Places are drawn without replacement by arithmetic on the hash, so no item meets all others: a draw among the
     places that are left moves up past each place, in order, that was taken before it, the item's own first. A task
@@ -63,7 +63,8 @@ def few_shot(items: DataFrame, n: int, seed: int = 1234, task: str = "task", pos
     rows = rows.filter(enough.isNull())
 
     def draw(taken: Column, k: Column) -> Column:
-        left = F.pmod(F.xxhash64(F.lit(seed) + F.col("first_"), k), F.col("n_") - F.size(taken))
+        drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("first_").cast("string"), k.cast("string")).cast("binary"))
+        left = F.pmod(F.conv(F.substring(drawn, 1, 8), 16, 10).cast("bigint"), F.col("n_") - F.size(taken))
         place = F.aggregate(F.array_sort(taken), left, lambda p, x: F.when(p >= x, p + 1).otherwise(p))
         return F.concat(taken, F.array(place))
 
@@ -131,10 +132,9 @@ def task_scores(items: DataFrame, baselines: DataFrame, task: str = "task") -> D
 
 
 def with_token_bytes(tokens: DataFrame, vocabulary: DataFrame, target: str = "target") -> DataFrame:
-    """tokens with n_bytes of their targets; 0 for special tokens and ignored targets. The vocabulary is a tokenizer's
-    table, whose size the corpus does not change."""
+    """tokens with n_bytes of their targets; 0 for special tokens and ignored targets."""
     table = vocabulary.select(F.col("id").alias("id_"), F.col("n_bytes").cast("bigint").alias("n_bytes"))
-    out = tokens.join(F.broadcast(table), F.col(target) == F.col("id_"), "left").drop("id_")
+    out = tokens.join(table, F.col(target) == F.col("id_"), "left").drop("id_")
     return out.withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0)))
 
 

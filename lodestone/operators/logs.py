@@ -95,6 +95,30 @@ def report(values: DataFrame, log: str = "log") -> DataFrame:
     return s.select(log, F.concat(F.lit("| "), "series", F.lit(" | "), "name", F.lit(" | "), metric_text(F.col("name"), F.col("first_value")), F.lit(" | "), metric_text(F.col("name"), F.col("last_value")), F.lit(" |")).alias("line"))
 
 
+def phase_report(lines: DataFrame, phase: str = "phase", log: str = "log") -> DataFrame:
+    """log, phase, place, line: a Markdown report of each log by its phase, one of PHASES. A heading, the time that the
+    training took if the log says so, a table of the first and last values of the phase's series in their order, and
+    the last generations. Logs of other phases have no report."""
+    known = lines.filter(F.col(phase).isin(*PHASES))
+    order = F.create_map(*[x for name, series in PHASES.items() for x in (F.lit(name), F.array(*map(F.lit, series)))])
+    of = known.select(F.col(log).alias("log_"), F.col(phase).alias("phase_")).distinct()
+    met = lambda df: df.join(of, F.col(log).eqNullSafe(F.col("log_"))).drop("log_").withColumnRenamed("phase_", "phase")
+    row = lambda part, at, sub, text: (F.col(log), F.col("phase"), F.lit(part).alias("part_"), at.alias("at_"), sub.alias("sub_"), text.alias("line"))
+    zero, none = F.lit(0), F.lit("")
+    head = of.select(F.col("log_").alias(log), F.col("phase_").alias("phase")).select(*row(0, zero, none, F.concat(F.lit("## "), F.col("phase"))))
+    time = met(scalars(known, log)).filter("training_minutes is not null").select(*row(1, zero, none, F.format_string("Training took %.2f minutes.", "training_minutes")))
+    title = head.select(*row(2, zero, none, F.lit("| series | name | first | last |")))
+    rule = head.select(*row(2, F.lit(1), none, F.lit("|-|-|-|-|")))
+    s = met(summary(metrics(known, log=log), log)).withColumn("in_", F.array_position(F.element_at(order, F.col("phase")), F.col("series"))).filter("in_ > 0")
+    name = F.col("name")
+    told = F.concat(F.lit("| "), "series", F.lit(" | "), "name", F.lit(" | "), metric_text(name, F.col("first_value")), F.lit(" | "), metric_text(name, F.col("last_value")), F.lit(" |"))
+    values = s.select(*row(3, F.col("in_").cast("int"), name, told))
+    shown = met(generations(known, log)).select(*row(4, F.col("n").cast("int"), none, F.concat(F.lit("> "), F.regexp_replace("text", "\n", "\n> "))))
+    every = head.unionByName(time).unionByName(title).unionByName(rule).unionByName(values).unionByName(shown)
+    w = Window.partitionBy(log).orderBy("part_", "at_", "sub_")  # the lines of one report
+    return every.select(log, "phase", F.row_number().over(w).alias("place"), "line")
+
+
 def parse_eval_csv(lines: DataFrame, line: str = "line") -> DataFrame:
     """task, accuracy, centered of the three-field rows but the header; empty fields are null."""
     part = F.transform(F.split(line, ",", -1), strip)

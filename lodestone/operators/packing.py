@@ -292,19 +292,24 @@ def padded_rows(df: DataFrame, capacity: int, pad: int, pos: str = "pos", world:
     return _kernel(df, pos, world, ["ids", "mask"], "rank int, row_id bigint, tokens array<int>, mask array<int>" + ", pieces" * pieces, of)
 
 
-def preference_batches(df: DataFrame, batch: int, minibatch: int, devices: int = 1, pos: str = "pos") -> DataFrame:
-    """Places of (chosen, rejected) pairs in batches: step, minibatch_id, device, slot, side.
+def preference_batches(df: DataFrame, batch: int, minibatch: int, devices: int = 1, pos: str = "pos", epochs: int = 1) -> DataFrame:
+    """Places of (chosen, rejected) pairs in batches: step, minibatch_id, device, slot, side, and with several epochs
+    the epoch of each.
 
-    A minibatch takes minibatch * devices pairs; each device gets its chosen ones, then its rejected ones.
-    Pairs of a last minibatch or batch that is not full are left for the next epoch.
+    A minibatch takes minibatch * devices pairs; each device gets its chosen ones, then its rejected ones. Pairs are
+    taken epoch after epoch, and what an epoch leaves of a minibatch or batch goes on in the next; only what does not
+    fill a batch after the last is left.
     """
     per, steps = minibatch * devices, batch // minibatch
     n = df.agg(F.count(F.lit(1)).alias("n_"))
-    rows = df.join(F.broadcast(n)).withColumns({"mini_": F.floor(F.col(pos) / per), "in_": F.pmod(F.col(pos), F.lit(per))})
-    rows = rows.withColumn("step", F.floor(F.col("mini_") / steps)).filter(F.col("step") < F.floor(F.floor(F.col("n_") / per) / steps))
+    rows = df.join(F.broadcast(n)).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    rows = rows.withColumn("at_", F.col("epoch") * F.col("n_") + F.col(pos))
+    rows = rows.withColumns({"mini_": F.floor(F.col("at_") / per), "in_": F.pmod(F.col("at_"), F.lit(per))})
+    rows = rows.withColumn("step", F.floor(F.col("mini_") / steps)).filter(F.col("step") < F.floor(F.floor(F.col("n_") * epochs / per) / steps))
     rows = rows.withColumns({"minibatch_id": F.pmod("mini_", F.lit(steps)), "device": F.floor(F.col("in_") / minibatch), "place_": F.pmod(F.col("in_"), F.lit(minibatch))})
     sides = rows.withColumn("side", F.explode(F.array(F.lit("chosen"), F.lit("rejected"))))
-    return sides.withColumn("slot", F.col("place_") + F.when(F.col("side") == "rejected", minibatch).otherwise(0)).drop("mini_", "in_", "place_", "n_")
+    out = sides.withColumn("slot", F.col("place_") + F.when(F.col("side") == "rejected", minibatch).otherwise(0)).drop("mini_", "in_", "at_", "place_", "n_")
+    return out if epochs > 1 else out.drop("epoch")
 
 
 def fixed_batch(df: DataFrame, size: int, length: int, pad: int, pos: str = "pos") -> DataFrame:

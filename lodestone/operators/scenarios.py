@@ -21,10 +21,12 @@ def _drawn(values: list[str], seed: str, batch: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["v"])
 
 
-def batches(spark: SparkSession, n: int, tasks: list[str], domains: list[str], modifiers: list[str], seed: str = "scenario", k: int = 5) -> DataFrame:
-    """batch, tasks, domains, notes: k task types and domains for each batch, and one modifier or none."""
+def batches(spark: SparkSession, n: int | DataFrame, tasks: list[str], domains: list[str], modifiers: list[str], seed: str = "scenario", k: int = 5) -> DataFrame:
+    """batch, tasks, domains, notes: k task types and domains for each batch, and one modifier or none. The batches are
+    0 to n - 1, or those of a table that has a column batch."""
     b = F.col("batch")
-    return spark.range(n).select(F.col("id").alias("batch")).select("batch", _drawn(tasks, seed + "t", b, k).alias("tasks"), _drawn(domains, seed + "d", b, k).alias("domains"), F.get(_drawn(modifiers, seed + "m", b, 1), F.lit(0)).alias("notes"))
+    own = n.select("batch") if isinstance(n, DataFrame) else spark.range(n).select(F.col("id").alias("batch"))
+    return own.select("batch", _drawn(tasks, seed + "t", b, k).alias("tasks"), _drawn(domains, seed + "d", b, k).alias("domains"), F.get(_drawn(modifiers, seed + "m", b, 1), F.lit(0)).alias("notes"))
 
 
 def collected(answers: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,21 +193,35 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.sortWithinPartitions("log", "line_no")
 
 
-def blobs(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """path and content of gzip files decoded with replacement; null where that fails."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+def decoded_blobs(rows: DataFrame, content: str = "content", encoding: str = "encoding", default: str = "utf-8", text: str = "text") -> DataFrame:
+    """rows with the text of their gzip content in place of it, decoded with replacement by each row's own encoding
+    (null: the default), and failed: content that is null, no gzip or cut off, or an encoding that is not known, has
+    no text."""
+    schema = rows.drop(content, text, "failed").withColumns({text: F.lit(None).cast("string"), "failed": F.lit(True)}).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(b: bytes) -> str | None:
-            try:
-                return gzip.decompress(b).decode(encoding, errors="replace")
-            except (OSError, EOFError, LookupError):
-                return None
+    def one(raw: bytes | None, name: str | None) -> str | None:
+        try:
+            return None if raw is None else gzip.decompress(raw).decode(name or default, errors="replace")
+        except (OSError, EOFError, LookupError, ValueError, zlib.error):
+            return None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"path": b["path"], "content": b["content"].map(one)})
+            names = b.schema.names
+            held = b.column(names.index(encoding)).to_pylist() if encoding in names else [None] * b.num_rows
+            for lo in range(0, b.num_rows, 64):  # contents are files
+                part = b.slice(lo, 64)
+                got = [one(raw, name) for raw, name in zip(part.column(names.index(content)).to_pylist(), held[lo : lo + 64], strict=True)]
+                kept = [part.column(names.index(f.name)) for f in schema.fields[:-2]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(got, pa.string()), pa.array([t is None for t in got], pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
-    return raw.mapInPandas(run, "path string, content string")
+
+def blobs(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """path and content of gzip files decoded with replacement; null where that fails."""
+    raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decoded_blobs(raw, default=encoding).select("path", F.col("text").alias("content"))
 
 
 def repository_files(repos: DataFrame, min_stars: int, min_bytes: int, max_bytes: int, language: str = "Python", budget: float | None = None, slack: float = 1.2) -> DataFrame:

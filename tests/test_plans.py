@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from lodestone.plans import derived  # noqa: F401  registers its queries
+from lodestone.plans import derived, measured  # noqa: F401  they register their queries
 from lodestone.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
