@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 RANGES, RANGE_ROWS = 64, 1_000_000
 #: Rows of the range that a budget's boundary is cut from, at most.
 EDGE_ROWS = 100_000
+#: Blocks of a shard cut that a task follows at once.
+CHUNK = 65_536
 #: Hexadecimal digits of a shuffle key that make a range: 65,536 ranges, each a task of a window.
 DIGITS = 4
 
@@ -182,34 +187,68 @@ def _successors(blocks: DataFrame, shard_size: int) -> DataFrame:
     return out.select(F.col("goal_of_").alias("a"), (F.coalesce("first_", "next_") + 1).alias("b")).filter("b is not null")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of the rows of each chunk, without the chunk."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for _, part in groupby(rows, lambda r: r[0]):
+        yield list(map(list, zip(*part, strict=True)))[1:]
+
+
+def _exits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Of each start a of a chunk, the first place b behind the chunk that jumps lead to; none where they end in it."""
+    for a, b in _chunks(batches):
+        end, out = (a[0] // size + 1) * size, {}
+        for start, to in zip(reversed(a), reversed(b), strict=True):
+            out[start] = to if to >= end else out.get(to)
+        some = [(x, y) for x, y in out.items() if y is not None]
+        yield pa.RecordBatch.from_pydict({"a": [x for x, _ in some], "b": [y for _, y in some]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _walks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The starts of a chunk that its entry leads to."""
+    for a, b, entry in _chunks(batches):
+        jumps, at = dict(zip(a, b, strict=True)), entry[0]
+        end, out = (at // size + 1) * size, []
+        while (at := jumps.get(at)) is not None and at < end:
+            out.append(at)
+        yield pa.RecordBatch.from_pydict({"start_": out}, schema=pa.schema([("start_", pa.int64())]))
+
+
 def shard_cuts(df: DataFrame, order: str, size: Column, shard_size: int, block_rows: int = 1024) -> DataFrame:
     """df with shard: a shard closes at the end of a block of block_rows rows once its sizes reach shard_size.
 
     The rule resets at each close. Where a shard that starts at a block would close does not depend on where shards
-    start, so it is looked up for all blocks at once; the starts are then what block 0 reaches by these jumps, found
-    by doubling: with jumps of 2^k shards known, the first 2^k starts give as many more. That takes log2(shards) joins
-    over one row a block, and no task sees all of them.
+    start, so it is looked up for all blocks at once. Within a chunk of CHUNK blocks these jumps are followed from the
+    last block to the first, which tells for each where a walk from it leaves the chunk; the places where the walk from
+    block 0 enters the chunks are found by doubling over these exits, in log2(chunks) joins; and from its entry each
+    chunk's own shards are walked. No task sees the blocks of more than one chunk.
     """
     from lodestone.sources.shared import Tables
 
     if shard_size < 1:
         raise ValueError("a shard holds at least 1")
-    table = Tables(df.sparkSession)
+    table, chunk_size = Tables(df.sparkSession), CHUNK
     rows = running_sum(df, order, F.lit(1), "row_", inclusive=False).withColumn("block_", F.floor(F.col("row_") / block_rows).cast("bigint"))
     blocks = rows.groupBy("block_").agg(F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("size_"))
-    blocks = table(running_sum(blocks, "block_", F.col("size_"), "through_"), "blocks")
+    dense = lambda df, value, name: _running(df, F.floor(F.col("block_") / chunk_size), ["block_"], value, name, True)
+    blocks = table(dense(blocks, F.col("size_"), "through_"), "blocks")
     n = blocks.count()
-    jumps = table(_successors(blocks, shard_size).filter(F.col("b") < n), "jumps")
-    starts, reached = df.sparkSession.createDataFrame([(0,)], "start_ bigint"), 1
-    while True:
-        more = starts.join(jumps, F.col("start_") == F.col("a")).select(F.col("b").alias("start_"))
-        starts = table(starts.unionByName(more), "starts")
-        found = starts.count()
-        if found < 2 * reached:  # some jump led nowhere: the last shard is found
+    chunk = lambda c: F.floor(F.col(c) / chunk_size)
+    jumps = table(_successors(blocks, shard_size).filter(F.col("b") < n).withColumn("chunk_", chunk("a")), "jumps")
+    by_chunk = lambda df: df.repartition("chunk_").sortWithinPartitions("chunk_", "a")
+    exits = table(by_chunk(jumps).select("chunk_", "a", "b").mapInArrow(lambda b: _exits(b, chunk_size), "a bigint, b bigint"), "exits")
+    entries, reached = df.sparkSession.createDataFrame([(0,)], "start_ bigint"), 1
+    while reached <= n // CHUNK:
+        more = entries.join(exits, F.col("start_") == F.col("a")).select(F.col("b").alias("start_"))
+        entries = table(entries.unionByName(more), "entries")
+        found = entries.count()
+        if found < 2 * reached:  # some exit led nowhere: the last chunk is found
             break
         reached = found
-        further = jumps.select(F.col("a").alias("a_"), F.col("b").alias("b_")).join(jumps, F.col("b_") == F.col("a")).select(F.col("a_").alias("a"), "b")
-        jumps = table(further, "jumps")
+        further = exits.select(F.col("a").alias("a_"), F.col("b").alias("b_")).join(exits, F.col("b_") == F.col("a")).select(F.col("a_").alias("a"), "b")
+        exits = table(further, "exits")
+    met = jumps.join(entries.withColumn("of_", chunk("start_")), F.col("chunk_") == F.col("of_")).select("chunk_", "a", "b", "start_")
+    starts = entries.unionByName(by_chunk(met).mapInArrow(lambda b: _walks(b, chunk_size), "start_ bigint"))
     opens = blocks.select("block_").join(starts, F.col("block_") == F.col("start_"), "left").select("block_", F.col("start_").isNotNull().cast("bigint").alias("opens_"))
-    cuts = running_sum(opens, "block_", F.col("opens_"), "shard_").select(F.col("block_").alias("at_"), (F.col("shard_") - 1).cast("int").alias("shard"))
+    cuts = dense(opens, F.col("opens_"), "shard_").select(F.col("block_").alias("at_"), (F.col("shard_") - 1).cast("int").alias("shard"))
     return rows.join(cuts, F.col("block_") == F.col("at_")).drop("row_", "block_", "at_")

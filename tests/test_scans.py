@@ -146,8 +146,10 @@ def test_the_budget_reaches_the_scan(spark, tmp_path):
 # ---- shards
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_cuts_are_the_fold(spark, seed):
+@pytest.mark.parametrize("chunk", [3, 16, 65_536])
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_are_the_fold(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(sampling, "CHUNK", chunk)
     rng = random.Random(seed)
     n = rng.choice([1, 7, 60, 200])
     sizes = [rng.choice([0, 0, 1, 3, rng.randrange(40), 500 if seed % 2 else 9]) for _ in range(n)]
