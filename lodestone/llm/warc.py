@@ -4,7 +4,9 @@ An archive is a ZIP file whose members are stored, not deflated: archive/*.warc.
 for each record, indexes/*.cdxj one line for each record with its member, offset and length. The reader
 finds the central directory from the end of the file (ZIP64 directories and extra fields included),
 locates the stored members, and reads single records by their ranges. Nothing is unpacked to disk.
-Archives without an index are read record by record from the start of each member.
+Archives without an index are read record by record from the start of each member, a bounded window at a time. An
+index that names a member or a range that is not there, a record that is cut off or has no length, a compressed member
+and a file without a directory are errors that name the archive; records that an index names twice are read once.
 
 Every row becomes a record. A null payload counts as empty. Of equal payloads of at least
 `least_revisit` bytes that with the smallest id is a response and the others are revisits of it; rows that
@@ -22,8 +24,10 @@ import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,6 +38,8 @@ from lodestone.llm._common import arrow_schema, batch, scratch, table
 
 #: Bytes of records after which a member, and of members after which an archive, is closed.
 MEMBER_BYTES, ARCHIVE_BYTES = 8 << 20, 24 << 20
+#: Bytes of a member whose records one task reads, bytes read at a time, and bytes of them that are unpacked at a time.
+SPAN, READ, PIECE = 8 << 20, 1 << 20, 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 RECORDS = "path string, member string, offset bigint, length bigint, record_id string, warc_type string, target_uri string, warc_date string, refers_to string, payload_digest string, payload_length bigint, payload binary"
 
@@ -136,56 +142,120 @@ def data_start(f, m: Member) -> int:
     return m.header + 30 + n + extra
 
 
-def _entries(f, members: list[Member]) -> Iterator[tuple[Member, int, int]]:
-    """(member, offset, length) of each record by the indexes; without any, (member, 0, size) of each member."""
+class _Window:
+    """Bytes of a range of a file, in order: read READ at a time, handed out PIECE at a time."""
+
+    def __init__(self, f, start: int, size: int):
+        self.f, self.at, self.end = f, start, start + size
+        self.held, self.used = memoryview(b""), 0
+
+    def piece(self) -> bytes:
+        if self.used == len(self.held):
+            n = min(READ, self.end - self.at)
+            self.held, self.used = memoryview(self.f.read_at(n, self.at) if n > 0 else b""), 0
+            self.at += len(self.held)
+        out = bytes(self.held[self.used : self.used + PIECE])
+        self.used += len(out)
+        return out
+
+
+def _index_lines(f, m: Member) -> Iterator[str]:
+    """Lines of an index, gzip or plain, however long it is."""
+    w, unzip, rest = _Window(f, data_start(f, m), m.size), None, b""
+    while piece := w.piece():
+        if m.name.endswith(".gz"):
+            plain = b""
+            while piece:
+                unzip = unzip or zlib.decompressobj(31)
+                plain += unzip.decompress(piece)
+                piece, unzip = (unzip.unused_data, None) if unzip.eof else (b"", unzip)
+        else:
+            plain = piece
+        *whole, rest = (rest + plain).split(b"\n")
+        yield from (x.decode() for x in whole)
+    yield rest.decode()
+
+
+def _entries(f, members: list[Member]) -> Iterator[tuple[Member, int, int, bool]]:
+    """(member, offset, length, whether it is one record) by the indexes; without any, each member as a whole."""
     archives = {m.name: m for m in members if m.name.startswith("archive/") and m.name.endswith((".warc", ".warc.gz"))}
     indexes = [m for m in members if m.name.startswith("indexes/") and m.name.endswith((".cdxj", ".cdxj.gz"))]
     if not indexes:
-        yield from ((m, 0, m.size) for m in archives.values())
+        yield from ((m, 0, m.size, False) for m in archives.values())
         return
     for m in indexes:
-        raw = f.read_at(m.size, data_start(f, m))
-        for line in (gzip.decompress(raw) if m.name.endswith(".gz") else raw).decode().splitlines():
+        for line in _index_lines(f, m):
             if line.strip() and not line.startswith("!"):
                 e = json.loads(line.split(" ", 2)[2])
-                yield archives["archive/" + e["filename"]], int(e["offset"]), int(e["length"])
-
-
-def _unpacked(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, length, record) of each record in the bytes, gzip members or plain."""
-    at = 0
-    while at < len(raw):
-        if raw[at : at + 2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            plain = z.decompress(raw[at:] if at else raw)
-            used = len(raw) - at - len(z.unused_data)
+                member = archives.get("archive/" + e["filename"])
+                if member is None:
+                    raise ValueError(f"{m.name} names {e['filename']}, which the archive does not have")
+                if int(e["offset"]) + int(e["length"]) > member.size:
+                    raise ValueError(f"{m.name} names a record behind the end of {e['filename']}")
+                yield member, int(e["offset"]), int(e["length"]), True
+
+
+def _unpacked(w: _Window) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of each record in a range, gzip members or plain. One record is held at a time."""
+    at, held = 0, w.piece()
+    while held:
+        while len(held) < 2 and (more := w.piece()):
+            held += more
+        if held[:2] == b"\x1f\x8b":
+            z, parts, used = zlib.decompressobj(31), [], 0
+            while True:
+                parts.append(z.decompress(held))
+                used += len(held) - len(z.unused_data)
+                if z.eof:
+                    break
+                if not (held := w.piece()):
+                    raise ValueError("a record is cut off")
+            held, plain = z.unused_data, b"".join(parts)
         else:
-            head = raw.index(b"\r\n\r\n", at) + 4
-            n = next(int(x.partition(b":")[2]) for x in raw[at:head].split(b"\r\n") if x.lower().startswith(b"content-length:"))
-            used = head + n + 4 - at
-            plain = raw[at : at + used]
+            while (end := held.find(b"\r\n\r\n")) < 0:
+                if not (more := w.piece()):
+                    raise ValueError("no WARC record here" if at == 0 else "a record is cut off")
+                held += more
+            lengths = [int(x.partition(b":")[2]) for x in held[:end].split(b"\r\n") if x.lower().startswith(b"content-length:")]
+            if not lengths:
+                raise ValueError("a record without a length")
+            used, parts, n = end + 4 + lengths[0] + 4, [held], len(held)
+            while n < used and (more := w.piece()):
+                parts.append(more)
+                n += len(more)
+            if n < used - 4:
+                raise ValueError("a record is cut off")
+            held = b"".join(parts)
+            used = min(used, len(held))
+            plain, held = held[:used], held[used:]
         yield at, used, plain
         at += used
+        held = held or w.piece()
+
+
+def _runs(entries: Iterable[tuple[int, int]], gap: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of ranges that touch, put together up to `gap` bytes; entries are sorted, repeats count once."""
+    start = end = None
+    for offset, length in entries:
+        if start is not None and offset == end and end + length - start <= gap:
+            end += length
+        elif start is None or offset >= end:
+            if start is not None:
+                yield start, end - start
+            start, end = offset, offset + length
+    if start is not None:
+        yield start, end - start
 
 
 def read_archive(fs: pafs.FileSystem, at: str, gap: int = 1 << 20) -> Iterator[tuple[str, int, int, dict]]:
     """(member, offset, length, fields) of every record; ranges that touch are read together, up to `gap` bytes."""
     with fs.open_input_file(at) as f:
-        members = directory(f, f.size())
-        entries = sorted(_entries(f, members), key=lambda e: (e[0].header, e[1]))
-        starts = {m: data_start(f, m) for m in {e[0] for e in entries}}
-        i = 0
-        while i < len(entries):
-            m, offset, length = entries[i]
-            j, end = i + 1, offset + length
-            while j < len(entries) and entries[j][0] == m and entries[j][1] == end and end + entries[j][2] - offset <= gap:
-                end += entries[j][2]
-                j += 1
-            raw = f.read_at(end - offset, starts[m] + offset)
-            for _, o, n in entries[i:j]:
-                for q, used, plain in _unpacked(raw[o - offset : o - offset + n]):
-                    yield m.name, o + q, used, parse_record(plain)
-            i = j
+        entries = sorted(_entries(f, directory(f, f.size())), key=lambda e: (e[0].header, e[1]))
+        for m, own in groupby(entries, lambda e: e[0]):
+            start = data_start(f, m)
+            for offset, length in _runs((e[1:3] for e in own), gap):
+                for o, used, plain in _unpacked(_Window(f, start + offset, length)):
+                    yield m.name, offset + o, used, parse_record(plain)
 
 
 # ---- on the cluster
@@ -264,25 +334,66 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     return table(rows.mapInArrow(run, "path string, records bigint"), "manifest")
 
 
-def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
-    """Every record of the archives named in manifest (path), payloads included (see RECORDS)."""
+def read(spark: SparkSession, manifest: DataFrame, folder: str, gap: int = 1 << 20) -> DataFrame:
+    """Every record of the archives named in manifest (path), payloads included (see RECORDS).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = arrow_schema(RECORDS)
+    Directories and indexes are read first, a row for each record; then the records of a span of SPAN bytes of a member
+    are one task's work, so an archive of any size is read by many. A member that no index describes has no marks to
+    start from, and is streamed by one task. An archive that is broken or has a compressed member is an error that
+    names it.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = arrow_schema("path string, member string, start bigint, offset bigint, length bigint, known boolean")
         fs, _ = pafs.FileSystem.from_uri(folder)
         for b in batches:
             for path in b.column(0).to_pylist():
-                held, size = [], 0
-                for member, offset, length, fields in read_archive(fs, path):
-                    held.append({"path": path, "member": member, "offset": offset, "length": length} | fields)
-                    size += len(fields["payload"])
-                    if size >= 8 << 20 or len(held) >= 2000:
-                        yield pa.RecordBatch.from_pylist(held, schema=out)
-                        held, size = [], 0
-                yield pa.RecordBatch.from_pylist(held, schema=out)
+                held: list[tuple] = []
+                with _naming(path), fs.open_input_file(path) as f:
+                    starts: dict[Member, int] = {}
+                    for m, offset, length, known in _entries(f, directory(f, f.size())):
+                        if m not in starts:
+                            starts[m] = data_start(f, m)
+                        held.append((path, m.name, starts[m], offset, length, known))
+                        if len(held) == 10_000:
+                            yield batch(out, **dict(zip(out.names, zip(*held, strict=True), strict=True)))
+                            held = []
+                if held:
+                    yield batch(out, **dict(zip(out.names, zip(*held, strict=True), strict=True)))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = arrow_schema(RECORDS)
+        fs, _ = pafs.FileSystem.from_uri(folder)
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        held, size = [], 0
+        for (path, member, start, _), own in groupby(each, lambda r: r[:4]):
+            with _naming(path), fs.open_input_file(path) as f:
+                for offset, length in _runs((r[4:6] for r in own), gap):
+                    for o, used, plain in _unpacked(_Window(f, start + offset, length)):
+                        fields = parse_record(plain)
+                        held.append({"path": path, "member": member, "offset": offset + o, "length": used} | fields)
+                        size += len(fields["payload"])
+                        if size >= 8 << 20 or len(held) >= 2000:
+                            yield pa.RecordBatch.from_pylist(held, schema=out)
+                            held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=out)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(n, F.xxhash64("path")).mapInArrow(run, RECORDS)
+    span = F.when(F.col("known"), F.floor(F.col("offset") / SPAN)).otherwise(0)
+    paths = manifest.select("path").distinct().repartition(n, F.xxhash64("path"))
+    spans = paths.mapInArrow(listed, "path string, member string, start bigint, offset bigint, length bigint, known boolean")
+    spans = spans.select("path", "member", "start", span.alias("span"), "offset", "length").repartition(n, "path", "member", "span")
+    return spans.sortWithinPartitions("path", "member", "start", "span", "offset").mapInArrow(records, RECORDS)
+
+
+@contextmanager
+def _naming(path: str):
+    """Errors of a broken archive name it."""
+    try:
+        yield
+    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        raise ValueError(f"{path}: {e}") from e
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
