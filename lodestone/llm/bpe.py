@@ -42,7 +42,7 @@ class Codec:
     """Ranks of a tiktoken-style file, with the memos of one Python worker: words holds the ids of a space and the
     word after it, memo those of pieces that start otherwise."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 100_000):
         self.ranks = ranks
         self.longest = max(map(len, ranks), default=0)
         self.split = regex.compile(pattern).findall
@@ -317,7 +317,7 @@ def _coded(df: DataFrame, ranks_path: str, pattern: str, text: str, made: dict[s
         codec, out = codec_of(), arrow_schema(schema)
         try:
             for b in batches:
-                for lo, hi in slices(b.column(text), 4 << 20, 1 << 20):
+                for lo, hi in slices(b.column(text), 2 << 20, 1 << 20):
                     part = b.slice(lo, hi - lo)
                     texts = [t or "" for t in part.column(text).to_pylist()]
                     codec.prepare(texts)
