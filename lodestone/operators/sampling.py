@@ -236,9 +236,10 @@ def shard_cuts(df: DataFrame, order: str, size: Column, shard_size: int, block_r
     chunk = lambda c: F.floor(F.col(c) / chunk_size)
     jumps = table(_successors(blocks, shard_size).filter(F.col("b") < n).withColumn("chunk_", chunk("a")), "jumps")
     by_chunk = lambda df: df.repartition("chunk_").sortWithinPartitions("chunk_", "a")
-    exits = table(by_chunk(jumps).select("chunk_", "a", "b").mapInArrow(lambda b: _exits(b, chunk_size), "a bigint, b bigint"), "exits")
     entries, reached = df.sparkSession.createDataFrame([(0,)], "start_ bigint"), 1
-    while reached <= n // CHUNK:
+    if n > chunk_size:
+        exits = table(by_chunk(jumps).select("chunk_", "a", "b").mapInArrow(lambda b: _exits(b, chunk_size), "a bigint, b bigint"), "exits")
+    while reached <= n // chunk_size:
         more = entries.join(exits, F.col("start_") == F.col("a")).select(F.col("b").alias("start_"))
         entries = table(entries.unionByName(more), "entries")
         found = entries.count()
