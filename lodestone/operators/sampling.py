@@ -239,7 +239,7 @@ def shard_cuts(df: DataFrame, order: str, size: Column, shard_size: int, block_r
     entries, reached = df.sparkSession.createDataFrame([(0,)], "start_ bigint"), 1
     if n > chunk_size:
         exits = table(by_chunk(jumps).select("chunk_", "a", "b").mapInArrow(lambda b: _exits(b, chunk_size), "a bigint, b bigint"), "exits")
-    while reached <= n // chunk_size:
+    while reached <= (n - 1) // chunk_size:
         more = entries.join(exits, F.col("start_") == F.col("a")).select(F.col("b").alias("start_"))
         entries = table(entries.unionByName(more), "entries")
         found = entries.count()

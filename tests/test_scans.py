@@ -146,7 +146,7 @@ def test_the_budget_reaches_the_scan(spark, tmp_path):
 # ---- shards
 
 
-@pytest.mark.parametrize("chunk", [3, 16, 65_536])
+@pytest.mark.parametrize("chunk", [3, 20, 65_536])
 @pytest.mark.parametrize("seed", range(4))
 def test_cuts_are_the_fold(spark, monkeypatch, seed, chunk):
     monkeypatch.setattr(sampling, "CHUNK", chunk)
@@ -165,6 +165,13 @@ def test_cuts_are_the_fold(spark, monkeypatch, seed, chunk):
     assert got == want
 
 
+def test_cuts_of_one_whole_chunk(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "CHUNK", 6)
+    for n, shards in ((6, [0, 0, 1, 1, 2, 2]), (7, [0, 0, 1, 1, 2, 2, 3]), (12, [i // 2 for i in range(12)])):
+        df = spark.createDataFrame([(i, 1) for i in range(n)], "id int, size int")
+        assert [r["shard"] for r in sampling.shard_cuts(df, "id", F.col("size"), 2, 1).orderBy("id").collect()] == shards
+
+
 def test_cuts_of_nothing(spark):
     df = spark.createDataFrame([], "id int, size int")
     assert sampling.shard_cuts(df, "id", F.col("size"), 5, 2).count() == 0
