@@ -2,85 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a folder
-    of its own; on any other each machine would write to its own disk, so there it is an error."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir is unset: no folder is known that all executors of {master} share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        base = _OWN[app]
-    if ":" not in base:  # a bare path is on the default file system, which other readers have to be told
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        base = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    if base.startswith("file:/") and not base.startswith("file://"):
-        base = "file://" + base[5:]
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may be gone by now
-        pass
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage and survives lost executors."""
-    return Tables(df.sparkSession)(df, name)
-
-
-class Tables:
-    """The tables that one operator writes; those that its result does not read go when it is done with them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
-
-    def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        path = scratch(self.spark, name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = out, path
-        return out
-
-    def drop(self, *done: DataFrame) -> None:
-        for df in done:
-            _remove(self.spark, self.paths.pop(id(df))[1])
-
-    def drop_but(self, *kept: DataFrame) -> None:
-        held = {id(df) for df in kept}
-        self.drop(*[df for k, (df, _) in list(self.paths.items()) if k not in held])
-
+from lodestone.sources.shared import Tables, scratch, shared_dir, table  # noqa: F401
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 
