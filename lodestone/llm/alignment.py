@@ -26,6 +26,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -82,7 +83,7 @@ class Aligner:
         words = first == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not any("▁" in p.lstrip("▁") for p in pieces)
         lines = words and self.b.is_byte(self.b.piece_to_id("<0x0A>")) and not any("\n" in p for p in pieces)
         #: where a text is cut: before a space, or a line's end, that follows other than white space and precedes a word
-        self.cut = re.compile(r"(?<=\S)[ \n](?=\s*\S)" if lines else r"(?<=\S) (?=\s*\S)") if words else None
+        self.cut = re.compile(r"(?<=\S)(?=[ \n]\s*\S)" if lines else r"(?<=\S)(?= \s*\S)") if words else None
         self.groups: dict[str, str] = {}
         self.new: dict[str, Unit | None] = {}
         self.old: dict[str, Unit | None] = {}
@@ -93,8 +94,7 @@ class Aligner:
         text = " " + text
         if self.cut is None:
             return [text]
-        at = [0, *[m.start() for m in self.cut.finditer(text)], len(text)]
-        return [text[lo:hi] for lo, hi in zip(at, at[1:], strict=False)]
+        return self.cut.split(text)
 
     def _name(self, group: str) -> str:
         return self.groups.setdefault(group, group) if len(group) <= LONGEST else group
@@ -172,22 +172,13 @@ class Aligner:
         """n_a, n_b, n_groups, n_links, digest of the groups, and how often each group stands in the text, by text."""
         cut = [self.units(t) if t else [] for t in texts]
         known = self.known(set().union(*cut))
+        lost = {u for u, x in known.items() if x is None}
         for units in cut:
-            n_a = n_b = n_groups = n_links = 0
-            freq: Counter = Counter()
-            text = {}
-            for u, n in Counter(units).items():
-                if (x := known[u]) is None:
-                    break
-                text[u] = x.text
-                n_a, n_b, n_links, n_groups = n_a + n * x.n_a, n_b + n * x.n_b, n_links + n * x.n_links, n_groups + n * len(x.groups)
-                for g in x.groups:
-                    freq[g] += n
-            else:
-                if units:
-                    yield n_a, n_b, n_groups, n_links, hashlib.sha256(";".join([text[u] for u in units]).encode()).hexdigest(), freq
-                    continue
-            yield 0, 0, 0, 0, "", Counter()
+            if not units or not lost.isdisjoint(units):
+                yield 0, 0, 0, 0, "", Counter()
+                continue
+            n_a, n_b, n_links, text, groups = zip(*map(known.__getitem__, units), strict=True)
+            yield sum(n_a), sum(n_b), sum(map(len, groups)), sum(n_links), hashlib.sha256(";".join(text).encode()).hexdigest(), Counter(chain.from_iterable(groups))
 
     def again(self, groups: Counter) -> Iterator[tuple[str, int]]:
         """Pairs that stand in several distinct groups of a document, and in how many beyond the first."""
