@@ -4,7 +4,9 @@ Candidates are values after an assignment, the parts of such values and of URLs
 runs of key characters, and every known form of a key. They may lie in each other. Each is described by its
 length, its character transitions, how much of it a dictionary covers, marks of the path that its text
 came from, and the words around it; a forest of randomised trees, trained from labelled findings, says
-how likely it is a secret.
+how likely it is a secret. The dictionary is counted from documents: the words that most of them hold, as many as
+`MOST_WORDS`, so it has a bound and is sent to all tasks; the few fixed words that placeholders are made of are in it
+always. Where no findings are labelled, `planted_findings` sets drawn values among the words of given documents.
 
 The forest is fitted on a bounded set of findings (at most `MOST_FINDINGS`, those first in a fixed
 order). Without labels of both kinds it gives every candidate the share of ones that it saw, or 0.5.
@@ -24,12 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm._common import arrow_schema, batch
 
 MOST_FINDINGS = 20_000
+#: Words of a dictionary, at most, the documents that each is in, at least, and their lengths.
+MOST_WORDS, LEAST_DOCS, SHORTEST, LONGEST = 50_000, 5, 4, 16
 #: Words that made-up or descriptive values are put together from.
 DICTIONARY = tuple("example sample test dummy placeholder changeme your password secret token key api value string user admin default none null true false insert here replace redacted hidden development production config local host server client access private public auth login name path file http https www com org net the and for with this that from into over under about table index version release build module package function return class import object number array list map set get put post delete update select where".split())
 SECRET_WORDS = re.compile(r"token|secret|passw|pwd|api.?key|auth|credential|private|bearer|access.?key|signature", re.I)
@@ -79,7 +84,31 @@ _VOWELS = frozenset("aeiouyAEIOUY")
 FEATURES = ("length", "transitions", "longest_run", "digits", "upper", "lower", "other", "vowels", "hex", "distinct", "entropy", "pairs", "coverage", "known", "secret_before", "benign_before", "benign_after", "assigned", "quoted", "path_test", "path_config")
 
 
-def features(text: str, start: int, end: int, path: str | None, dictionary: tuple[str, ...] = DICTIONARY) -> list[float]:
+def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
+    """The words of SHORTEST to LONGEST letters a-z that stand in most documents, in LEAST_DOCS at least; of words in
+    equally many the first by letters. Every document counts, however long."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w).between(SHORTEST, LONGEST)))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    return frozenset(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect())
+
+
+def coverage(low: str, words: frozenset[str]) -> np.ndarray:
+    """Which characters of a value in lower case lie in a word of the dictionary."""
+    covered = np.zeros(len(low), bool)
+    for w in DICTIONARY:
+        at = low.find(w) if len(w) >= 3 else -1
+        while at >= 0:
+            covered[at : at + len(w)] = True
+            at = low.find(w, at + 1)
+    if words:
+        for n in range(SHORTEST, min(LONGEST, len(low)) + 1):
+            for at in range(len(low) - n + 1):
+                if low[at : at + n] in words:
+                    covered[at : at + n] = True
+    return covered
+
+
+def features(text: str, start: int, end: int, path: str | None, words: frozenset[str] = frozenset()) -> list[float]:
     """FEATURES of one candidate."""
     s = text[start:end]
     n = len(s)
@@ -91,12 +120,8 @@ def features(text: str, start: int, end: int, path: str | None, dictionary: tupl
     freq = np.unique([ord(c) for c in s], return_counts=True)[1] / n
     # consonant-vowel alternation is what the transitions of words have and those of keys lack
     pairs = sum((a in _VOWELS) != (b in _VOWELS) for a, b in zip(s, s[1:], strict=False) if a.isalpha() and b.isalpha()) / max(n - 1, 1)
-    low, covered = s.lower(), np.zeros(n, bool)
-    for w in dictionary:
-        at = low.find(w) if len(w) >= 3 else -1
-        while at >= 0:
-            covered[at : at + len(w)] = True
-            at = low.find(w, at + 1)
+    low = s.lower()
+    covered = coverage(low if len(low) == n else s, words)
     before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
     head = before.rstrip(" \t\"'`")
     return [
@@ -110,9 +135,11 @@ def features(text: str, start: int, end: int, path: str | None, dictionary: tupl
 
 @dataclass
 class Forest:
-    """Trees as arrays of (feature, cut, low, high, share of ones); feature -1 is a leaf."""
+    """Trees as arrays of (feature, cut, low, high, share of ones); feature -1 is a leaf. words is the dictionary that
+    they were trained with."""
 
     trees: list[tuple[np.ndarray, ...]]
+    words: frozenset[str] = frozenset()
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x))
@@ -171,19 +198,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 48, depth: int = 12, least: i
     return Forest(out)
 
 
-def train(findings: DataFrame) -> Forest:
-    """A forest from labelled findings: text, start_at, end_at (of the value), path, label 0 or 1."""
+def train(findings: DataFrame, words: frozenset[str] = frozenset()) -> Forest:
+    """A forest from labelled findings: text, start_at, end_at (of the value), path, label 0 or 1; words is a dictionary
+    of `dictionary`."""
     rows = findings.select("text", "start_at", "end_at", "path", "label").filter("text is not null and label in (0, 1) and start_at >= 0 and end_at > start_at and end_at <= length(text)").distinct()
     got = rows.orderBy("text", "start_at", "end_at", "path", "label").limit(MOST_FINDINGS).collect()
-    x = np.array([features(r["text"], r["start_at"], r["end_at"], r["path"]) for r in got], float).reshape(len(got), len(FEATURES))
-    return fit(x, np.array([r["label"] for r in got], float))
+    x = np.array([features(r["text"], r["start_at"], r["end_at"], r["path"], words) for r in got], float).reshape(len(got), len(FEATURES))
+    forest = fit(x, np.array([r["label"] for r in got], float))
+    forest.words = words
+    return forest
 
 
 def scan(df: DataFrame, forest: Forest, threshold: float = 0.5, text: str = "text", path: str | None = "source", secrets: str = "secrets", n_candidates: str = "n_candidates") -> DataFrame:
     """df with n_candidates, and secrets: array of (start, end, score) of those scored at the threshold or above."""
     kind = T._parse_datatype_string("array<struct<start:int,end:int,score:double>>")
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in (secrets, n_candidates)), T.StructField(n_candidates, T.IntegerType()), T.StructField(secrets, kind)])
-    model = df.sparkSession.sparkContext.broadcast(forest)  # its size is set by the number and depth of trees
+    model = df.sparkSession.sparkContext.broadcast(forest)  # its size is set by the number and depth of trees, and MOST_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = arrow_schema(schema)
@@ -191,7 +221,7 @@ def scan(df: DataFrame, forest: Forest, threshold: float = 0.5, text: str = "tex
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             paths = b.column(b.schema.get_field_index(path)).to_pylist() if path else [None] * len(texts)
             spans = [candidates(t) if t else [] for t in texts]
-            x = np.array([features(t, s, e, p) for t, p, each in zip(texts, paths, spans, strict=True) for s, e in each], float).reshape(-1, len(FEATURES))
+            x = np.array([features(t, s, e, p, model.value.words) for t, p, each in zip(texts, paths, spans, strict=True) for s, e in each], float).reshape(-1, len(FEATURES))
             scores = iter(model.value.predict(x).tolist())
             scored = [[(s, e, next(scores)) for s, e in each] for each in spans]
             found = [[{"start": s, "end": e, "score": v} for s, e, v in settled([x for x in each if x[2] >= threshold])] for each in scored]
@@ -254,3 +284,21 @@ def example_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, int, int,
             spans.append((address.index("://") + 1, rest, 0))
         out += [(text, at + i, at + i + len(x), path, label) for i, x, label in spans if len(x) >= 8]
     return out
+
+
+def planted_findings(docs: DataFrame, n: int = 2000, seed: int = 5, text: str = "text", path: str | None = "source") -> DataFrame:
+    """Labelled findings in the words of documents: of the n documents first by the hash of seed and text, each gets one
+    of `example_findings`, value and what it is assigned to, between two of its words, and its own path."""
+    drawn = example_findings(n, seed)
+    made = [(k, t[max(0, t.rfind(" ", 0, s - 24), t.rfind("\n", 0, s)) + 1 : s], t[s:e], y) for k, (t, s, e, _, y) in enumerate(drawn[:n])]
+    values = docs.sparkSession.createDataFrame(made, "k int, head string, value string, label int")
+    own = F.col(path).cast("string") if path else F.lit(None).cast("string")
+    some = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), own.alias("path")).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("t")).cast("binary")), "path").limit(n)
+    some = some.withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("t")).cast("binary")), "path")) - 1)  # n rows
+    at = F.pmod(F.xxhash64("t"), F.length("t")).cast("int")
+    before = F.regexp_replace(F.substring("t", F.greatest(at - 80, F.lit(1)), F.lit(80)), r"\S*$", "")
+    after = F.regexp_replace(F.substring("t", at + 1, F.lit(80)), r"^\S*", "")
+    met = some.select("k", "path", before.alias("before"), after.alias("after")).join(values, "k")
+    met = met.withColumn("start_at", F.length(F.concat("before", "head")))
+    quote = F.regexp_extract("head", "([\"'])$", 1)
+    return met.select(F.concat("before", "head", "value", quote, "after").alias("text"), "start_at", (F.col("start_at") + F.length("value")).alias("end_at"), "path", "label")
