@@ -1,6 +1,7 @@
 """Conversations, rollouts, sampling, tokenizer, packing, evaluation and logs on hand-made inputs."""
 
 import difflib
+import os
 import random
 
 import pytest
@@ -179,6 +180,13 @@ def test_merges_on_executors_are_those_of_the_driver(spark, monkeypatch, named):
         assert K.learn_merges_apart(df, 150) == K.learn_merges({w.encode(): n for w, n in counts.items()}, 150)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_merges_on_executors_are_those_of_the_driver_for_documents(spark):
+    counts = K.chunk_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    local = {r["chunk"].encode(): r["n"] for r in counts.collect() if r["chunk"]}
+    assert len(local) > 20_000 and K.learn_merges_apart(counts, 2000) == K.learn_merges(local, 2000)
+
+
 def test_training_beyond_the_bound_stays_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(K, "DRIVER_PIECES", 3)
     docs = spark.createDataFrame([("one two three four five six seven",), ("one three five",)], "text string")
