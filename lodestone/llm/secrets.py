@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm._common import arrow_schema, batch
+from lodestone.llm._common import arrow_schema, batch, table
 
 MOST_FINDINGS = 20_000
 #: Words of a dictionary, at most, the documents that each is in, at least, and their lengths.
@@ -85,11 +85,14 @@ FEATURES = ("length", "transitions", "longest_run", "digits", "upper", "lower",
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> frozenset[str]:
-    """The words of SHORTEST to LONGEST letters a-z that stand in most documents, in LEAST_DOCS at least; of words in
-    equally many the first by letters. Every document counts, however long."""
+    """The words of SHORTEST to LONGEST letters a-z that stand in most documents, in LEAST_DOCS at least: those in as many
+    as the smallest number that no more than MOST_WORDS words reach. Every document counts, however long."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w).between(SHORTEST, LONGEST)))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    return frozenset(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect())
+    counts = table(counts, "words")
+    reach = F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")))  # a row a count
+    least = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).withColumn("reach", reach).filter(F.col("reach") <= MOST_WORDS).agg(F.min("n")).first()[0]
+    return frozenset(r["word"] for r in counts.filter(F.col("n") >= least).select("word").collect()) if least is not None else frozenset()
 
 
 def coverage(low: str, words: frozenset[str]) -> np.ndarray:
@@ -288,17 +291,22 @@ def example_findings(n: int = 4000, seed: int = 17) -> list[tuple[str, int, int,
 
 def planted_findings(docs: DataFrame, n: int = 2000, seed: int = 5, text: str = "text", path: str | None = "source") -> DataFrame:
     """Labelled findings in the words of documents: of the n documents first by the hash of seed and text, each gets one
-    of `example_findings`, value and what it is assigned to, between two of its words, and its own path."""
+    of `example_findings`, value and what it is assigned to, between two of its words, and its own path. (Where very many
+    documents are copies of few, it may be somewhat fewer.)"""
     drawn = example_findings(n, seed)
     made = [(k, t[max(0, t.rfind(" ", 0, s - 24), t.rfind("\n", 0, s)) + 1 : s], t[s:e], y) for k, (t, s, e, _, y) in enumerate(drawn[:n])]
     values = docs.sparkSession.createDataFrame(made, "k int, head string, value string, label int")
     own = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    some = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), own.alias("path")).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("t")).cast("binary")), "path").limit(n)
-    some = some.withColumn("k", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("t")).cast("binary")), "path")) - 1)  # n rows
-    at = F.pmod(F.xxhash64("t"), F.length("t")).cast("int")
+    some = docs.filter(F.length(text) > 0).select(F.col(text).alias("t"), own.alias("path"))
+    at, order = F.pmod(F.xxhash64("t"), F.length("t")).cast("int"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("t")).cast("binary"))
     before = F.regexp_replace(F.substring("t", F.greatest(at - 80, F.lit(1)), F.lit(80)), r"\S*$", "")
     after = F.regexp_replace(F.substring("t", at + 1, F.lit(80)), r"^\S*", "")
-    met = some.select("k", "path", before.alias("before"), after.alias("after")).join(values, "k")
+    # a share of the hashes that holds about half as many again goes to the one place where the first n are told
+    share = 1.5 * n / max(1, some.count())
+    some = some.select(order.alias("order"), "path", before.alias("before"), after.alias("after")).filter(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") < share * float(1 << 32))
+    some = some.orderBy("order", "path", "before").limit(n)
+    some = some.withColumn("k", F.row_number().over(Window.orderBy("order", "path", "before")) - 1)  # n rows
+    met = some.select("k", "path", "before", "after").join(values, "k")
     met = met.withColumn("start_at", F.length(F.concat("before", "head")))
     quote = F.regexp_extract("head", "([\"'])$", 1)
     return met.select(F.concat("before", "head", "value", quote, "after").alias("text"), "start_at", (F.col("start_at") + F.length("value")).alias("end_at"), "path", "label")
