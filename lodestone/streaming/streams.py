@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from lodestone.operators import packing
 from lodestone.operators.packing import Cropped
 
+# the process that starts a stateful operator has none of the files that are sent to executors: what it runs goes with it
+for _module in (packing, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(_module)
+
 
 def documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
     """New parquet files of a folder, a few at a time."""
