@@ -194,3 +194,27 @@ def test_appends_once(spark, tmp_path):
     add((3, "a", "x"), (1, "a", "z"))
     go(str(tmp_path / "another"))  # another checkpoint: it reads all of the source again
     assert got() == key([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (None, "a")])
+
+
+def test_packing_and_encoding_keep_few_ids_in_python(spark, monkeypatch):
+    """A batch of many documents is mapped by slices, and what waits are arrays that keep no batch in memory."""
+    import pyarrow as pa
+    from lodestone.operators import tokenizer as K
+
+    b = pa.RecordBatch.from_pydict({"pos": [1, 2, 3, 4], "tokens": pa.array([[1, 2], None, [], [3, None]], pa.list_(pa.int64()))})
+    rows = list(P._rows(b.slice(0), ["tokens"]))
+    assert [None if r["tokens"] is None else r["tokens"].tolist() for r in rows] == [[1, 2], None, [], [3, None]]
+    assert all(r["tokens"].base is None for r in rows if r["tokens"] is not None)
+    assert [r["tokens"].tolist() for r in P._rows(b.slice(2, 2), ["tokens"])] == [[], [3, None]]
+
+    t = K.Tokenizer({bytes([i]): i for i in range(256)})
+    monkeypatch.setattr(K, "SLICE", 64)
+    docs = spark.range(0, 100, 1, 1).select("id", F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
+    docs = docs.withColumn("text", F.when(F.col("id") != 7, F.col("text")))
+    sizes = K._mapped(docs, t, "text", {"n": pa.int64()}, "id long, text string, n long", lambda t, v: (None if v is None else len(v),))
+    seen = sizes.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"rows": [b.num_rows]}) for b in bs), "rows long").collect()
+    assert sizes.select(F.sum("n")).first()[0] == 4950 - 7
+    back = K.decoded(K.encoded(docs, t), t)
+    assert back.filter(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0 and back.count() == 100 and seen
+    got = P.packed_rows(K.encoded(docs, t).select(F.col("id").alias("pos"), "ids"), 10, world=2)
+    assert {tuple(r["tokens"]) for r in got.collect()} == {(120,) * 10}
