@@ -22,3 +22,10 @@ def test_instructions_are_written_by_as_many_tasks_as_the_table_needs(spark, tmp
         for k, v in old.items():
             spark.conf.set(k, v)
     assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(160)]
+
+
+def test_small_shards_share_tasks(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    sinks.write_shards(rows, f"{tmp_path}/s", "doc_id", shard_chars=1, row_group=8)
+    files = list(Path(tmp_path, "s").glob("*/*.parquet"))
+    assert len(files) == 50 and len({f.name.split("-")[1] for f in files}) <= 4
