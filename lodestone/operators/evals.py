@@ -102,9 +102,11 @@ def masked_sequences(df: DataFrame, tokenizer: Tokenizer, max_len: int, prompt:
 
 
 def collated(df: DataFrame, minibatch: int, pad: int, pos: str = "seq", ids: str = "ids", mask: str = "mask") -> DataFrame:
-    """Sequences padded to the bucket of the longest of their minibatch."""
+    """Sequences padded to the bucket of the longest of their minibatch. df is read twice: the longest are found from
+    sizes alone, and sequences pass their join without a sort, which would hold a task's share of them in memory."""
     rows = df.withColumn("batch_id", F.floor(F.col(pos) / minibatch))
-    rows = rows.withColumn("length", A.bucket(F.max(F.size(ids)).over(Window.partitionBy("batch_id"))))
+    longest = rows.groupBy(F.col("batch_id").alias("batch_")).agg(A.bucket(F.max(F.size(ids))).alias("length"))
+    rows = rows.join(longest.hint("shuffle_hash"), F.col("batch_id").eqNullSafe(F.col("batch_"))).drop("batch_")
     return rows.withColumns({ids: A.pad(F.col(ids), F.col("length"), pad), mask: A.pad(F.col(mask), F.col("length"), 0)})
 
 

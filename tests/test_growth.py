@@ -29,3 +29,12 @@ def test_small_shards_share_tasks(spark, tmp_path):
     sinks.write_shards(rows, f"{tmp_path}/s", "doc_id", shard_chars=1, row_group=8)
     files = list(Path(tmp_path, "s").glob("*/*.parquet"))
     assert len(files) == 50 and len({f.name.split("-")[1] for f in files}) <= 4
+
+
+def test_sequences_are_collated_without_a_sort(spark):
+    rows = spark.createDataFrame([(0, 3), (1, 130), (2, 5), (3, 4000), (4, 9), (None, 600)], "seq int, n int")
+    got = evals.collated(rows.select("seq", F.array_repeat(F.lit(7), F.col("n")).alias("ids"), F.array_repeat(F.lit(1), F.col("n")).alias("mask")), 2, -1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "ShuffledHashJoin" in plan
+    sizes = {r["seq"]: (len(r["ids"]), len(r["mask"]), sum(r["mask"])) for r in got.collect()}
+    assert sizes == {0: (256, 256, 3), 1: (256, 256, 130), 2: (4096, 4096, 5), 3: (4096, 4096, 4000), 4: (128, 128, 9), None: (1024, 1024, 600)}
