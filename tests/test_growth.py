@@ -1,8 +1,9 @@
 """What must not grow with the tables: rows of one task, tasks of small shards, sequences that a task holds."""
 
+import random
 from pathlib import Path
 
-from lodestone.operators import evals
+from lodestone.operators import evals, tokenizer
 from lodestone.plans import derived
 from lodestone.sources import sinks
 from pyspark.sql import functions as F
@@ -38,3 +39,26 @@ def test_sequences_are_collated_without_a_sort(spark):
     assert "Window" not in plan and "ShuffledHashJoin" in plan
     sizes = {r["seq"]: (len(r["ids"]), len(r["mask"]), sum(r["mask"])) for r in got.collect()}
     assert sizes == {0: (256, 256, 3), 1: (256, 256, 130), 2: (4096, 4096, 5), 3: (4096, 4096, 4000), 4: (128, 128, 9), None: (1024, 1024, 600)}
+
+
+def test_training_holds_runs_of_the_best_pairs_alone(spark, monkeypatch):
+    """Pieces stay on the executors whatever their number; a round cuts them at all but the best pairs, and learns many merges."""
+    rng = random.Random(3)
+    parts = ["th", "he", "an", "in", "er", "qu", "ié", "zo"]
+    counts = {"".join(rng.choices(parts, k=rng.randint(2, 7))): rng.randint(1, 50) for _ in range(3000)}
+    held, learned = [], tokenizer._learned
+    want = learned([[bytes([b]) for b in w.encode()] for w in counts], list(counts.values()), 400)
+    monkeypatch.setattr(tokenizer, "_learned", lambda words, *a: held.append(len(words)) or learned(words, *a))
+    monkeypatch.setattr(tokenizer, "DRIVER_PIECES", 600)
+    monkeypatch.setattr(tokenizer, "NAMED", 8)
+    assert tokenizer.learn_merges_apart(spark.createDataFrame([*counts.items()], "chunk string, n long"), 400) == want
+    assert max(held) <= 600 and len(held) < 40
+
+
+def test_a_merge_is_certain_above_all_pairs_that_were_cut():
+    best = [(b"a", b"b"), (b"c", b"d")]
+    certain = tokenizer.Certain(best, 5, {b"a", b"b", b"c", b"d", b"cd"})
+    assert not certain(4, (b"a", b"b"), [])  # a pair that was cut may count more
+    assert certain(5, (b"a", b"b"), []) and not certain(5, (b"c", b"e"), [])  # beyond the last of the best
+    assert not certain(5, (b"b", b"a"), [])  # (ab, y) may tie with a pair (b, y) that was cut
+    assert certain(6, (b"c", b"d"), []) and not certain(9, (b"a", b"c"), [])  # cd is there already
