@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 from lodestone.operators import evals, tokenizer
 from lodestone.plans import derived
 from lodestone.sources import sinks
@@ -62,3 +63,18 @@ def test_a_merge_is_certain_above_all_pairs_that_were_cut():
     assert certain(5, (b"a", b"b"), []) and not certain(5, (b"c", b"e"), [])  # beyond the last of the best
     assert not certain(5, (b"b", b"a"), [])  # (ab, y) may tie with a pair (b, y) that was cut
     assert certain(6, (b"c", b"d"), []) and not certain(9, (b"a", b"c"), [])  # cd is there already
+
+
+def test_ids_are_mapped_without_numbers_of_python(spark, monkeypatch):
+    texts = ["hello <|bos|> é🙂", None, "", "hello " * 50, "é"]
+    t = tokenizer.Tokenizer({bytes([i]): i for i in range(256)} | {b"he": 256, b"ll": 257})
+    ids = [None if v is None else t.encode(v, "<|bos|>", "<|user_end|>") for v in texts]
+    cut = [[t.bos, 0xC3], None, [], [0xF0, 0x9F, 256], [t.bos]]
+    back = [[None if v is None else t.decode(v) for v in x] for x in (ids, cut)]
+    monkeypatch.setattr(tokenizer.Tokenizer, "encode", None)
+    monkeypatch.setattr(tokenizer.Tokenizer, "decode", None)
+    got = tokenizer._ids(t, pa.array(["x", *texts], pa.string()).slice(1), "<|bos|>", "<|user_end|>")
+    assert got.to_pylist() == ids
+    for lists, want in zip((ids, cut), back, strict=True):
+        assert tokenizer._texts(t, pa.array([[1], *lists], pa.list_(pa.int32())).slice(1)).to_pylist() == want
+    assert tokenizer._texts(t, pa.array([], pa.list_(pa.int32()))).to_pylist() == []
