@@ -12,11 +12,17 @@ IGNORE = -1
 
 def common_length(sequences: Column, from_right: bool = False) -> Column:
     """Length of the common prefix, or suffix, of an array of arrays."""
-    rows = F.transform(sequences, F.reverse) if from_right else sequences
-    least = F.array_min(F.transform(rows, F.size))
-    first = rows[0]
-    differ = F.filter(F.sequence(F.lit(0), least), lambda i: (i == least) | F.exists(rows, lambda r: ~F.get(r, i).eqNullSafe(F.get(first, i))))
-    return F.when(F.size(rows) > 0, F.array_min(differ))
+
+    def of(rows: Column) -> Column:
+        whole = lambda r: F.coalesce(r, F.array())
+        least = F.array_min(F.transform(rows, F.size))
+        # a shorter one ends in nulls here, which the least size makes good
+        differ = F.transform(rows, lambda r: F.array_position(F.zip_with(whole(rows[0]), whole(r), lambda x, y: x.eqNullSafe(y)), F.lit(False)))
+        first = (F.array_min(F.filter(differ, lambda i: i > 0)) - 1).cast("int")
+        return F.when(F.size(rows) > 0, F.when(least.isNotNull(), F.least(first, least)))
+
+    # the variable of a lambda function is a value; the sequences themselves would be made anew for each element
+    return F.get(F.transform(F.array(F.transform(sequences, F.reverse) if from_right else sequences), of), F.lit(0))
 
 
 def choice_mask(ids: Column, prefix: Column) -> Column:

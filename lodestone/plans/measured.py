@@ -79,12 +79,14 @@ SELECT k, [0 FOR i IN range(len(l) - 1)] || [1, 1] AS choice, [0, 0] || [1 FOR i
        [0 FOR i IN range(len(l))] || [1, 1] AS continuation FROM v""")
 def arr2_masks(spark, d):
     """Sequences that differ at their ends, at their starts, and by what one has more."""
-    each = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"].cast("int"))
+    each = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey")))["l_suppkey"].cast("array<int>")
     v = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(each.alias("l"))
     head, tail, one = F.expr("slice(l, 1, size(l) - 1)"), F.expr("slice(l, 2, size(l) - 1)"), lambda *x: F.array(*[F.lit(i) for i in x])
     ends = F.array(F.concat(head, one(-1, 5)), F.concat(head, one(-2, 5)))
     starts = F.array(F.concat(one(5, -1), tail), F.concat(one(5, -2), tail))
-    return v.select("k", A.choice_mask(ends[0], A.common_length(ends)).alias("choice"), A.suffix_mask(starts[0], A.common_length(starts, from_right=True)).alias("suffix"), A.continuation_mask(F.col("l"), F.concat("l", one(7, 8))).alias("continuation"))
+    v = v.select("k", "l", ends.alias("ends"), starts.alias("starts"))
+    v = v.withColumns({"prefix": A.common_length(F.col("ends")), "suffix_": A.common_length(F.col("starts"), from_right=True)})
+    return v.select("k", A.choice_mask(F.col("ends")[0], F.col("prefix")).alias("choice"), A.suffix_mask(F.col("starts")[0], F.col("suffix_")).alias("suffix"), A.continuation_mask(F.col("l"), F.concat("l", one(7, 8))).alias("continuation"))
 
 
 @query(f"SELECT doc_id, list_min([b FOR b IN [{', '.join(map(str, A.BUCKETS))}] IF b >= n_chars])::INT AS bucket FROM documents")

@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import pyarrow as pa
+from lodestone.functions import arrays
 from lodestone.operators import evals, tokenizer
 from lodestone.plans import derived
 from lodestone.sources import sinks
@@ -78,3 +79,13 @@ def test_ids_are_mapped_without_numbers_of_python(spark, monkeypatch):
     for lists, want in zip((ids, cut), back, strict=True):
         assert tokenizer._texts(t, pa.array([[1], *lists], pa.list_(pa.int32())).slice(1)).to_pylist() == want
     assert tokenizer._texts(t, pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+
+
+def test_common_length_makes_its_sequences_once(spark):
+    rows = [[[1, 2, 3], [1, 2, 4]], [[1, None, 3], [1, None, 3, 4]], [[1], [1, None]], [[], [1]], [[1, 2], None], [None, [1]], [None, None], [[1, 2]], [], None, [[1, 2], [1, 2]], [[None], [None]], [[9, 2, 3], [8, 2, 3], [2, 3]]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r array<array<int>>")
+    got = df.select("i", arrays.common_length(F.col("r")).alias("a"), arrays.common_length(F.col("r"), from_right=True).alias("b")).orderBy("i").collect()
+    assert [g["a"] for g in got] == [2, 3, 1, 0, 0, 0, None, 2, None, None, 2, 1, 0]
+    assert [g["b"] for g in got] == [0, 0, 0, 0, 0, 0, None, 2, None, None, 2, 1, 2]
+    made = arrays.common_length(F.array(F.concat(F.col("r")[0], F.array(F.lit(-77))), F.col("r")[1]))
+    assert df.select(made)._jdf.queryExecution().logical().toString().count("-77") == 1
