@@ -57,6 +57,20 @@ def test_training_holds_runs_of_the_best_pairs_alone(spark, monkeypatch):
     assert max(held) <= 600 and len(held) < 40
 
 
+def test_training_writes_words_as_blocks(spark, monkeypatch):
+    """Each round reads and writes some rows of many words, and widens while few runs are left."""
+    rng = random.Random(4)
+    counts = {"".join(rng.choices("abcdeé", k=rng.randint(2, 12))): rng.randint(1, 50) for _ in range(3000)} | {"x" * 5000: 2, "": 9, "y": 1}
+    want = tokenizer.learn_merges({w.encode(): n for w, n in counts.items() if w}, 300)
+    written, rounds, learned, write = [], [], tokenizer._learned, tokenizer.Tables.__call__
+    monkeypatch.setattr(tokenizer.Tables, "__call__", lambda self, df, name: written.append(write(self, df, name)) or written[-1])
+    monkeypatch.setattr(tokenizer.Tables, "drop", lambda *_: None)
+    monkeypatch.setattr(tokenizer, "_learned", lambda *a: rounds.append(1) or learned(*a))
+    monkeypatch.setattr(tokenizer, "NAMED", 2)
+    assert tokenizer.learn_merges_apart(spark.createDataFrame([*counts.items()], "chunk string, n long").repartition(4), 300) == want
+    assert len(written) > 2 and max(t.count() for t in written) <= 4 and len(rounds) < 8
+
+
 def test_a_merge_is_certain_above_all_pairs_that_were_cut():
     best = [(b"a", b"b"), (b"c", b"d")]
     certain = tokenizer.Certain(best, 5, {b"a", b"b", b"c", b"d", b"cd"})
