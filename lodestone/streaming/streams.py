@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+import zlib
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -26,31 +28,73 @@ def documents(spark: SparkSession, path: str, schema, files_per_trigger: int = 8
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: Keys of a shelf, at most on average.
+SHELF = 128
+
+
 class Unseen(StatefulProcessor):
-    """Rows whose key has not been seen: the keys are a map in state, in buckets, so a batch looks up its own keys
-    alone. What a sink holds when a run begins is put into the state once, as initial state."""
+    """Rows whose key has not been seen, in buckets of keys. What a sink holds when a run begins is put into the state
+    once, as initial state.
+
+    A bucket keeps its keys on shelves, by hash: a batch reads and writes the shelves of its own keys alone, and asks
+    the state once for each shelf, not for each key. A bucket of more than SHELF keys a shelf has each shelf dealt to
+    two, one after the other. So a batch of few keys handles some SHELF for each of them, and one of many keys each
+    shelf once, however large the sink is.
+    """
 
     def __init__(self, columns: list[str]):
         self.columns = columns
 
     def init(self, handle) -> None:
-        self.seen = handle.getMapState("seen", "key string", "n int")
+        self.shelves = handle.getMapState("shelves", "shelf int", "keys string")
+        self.size = handle.getValueState("size", "n long, shelves int")
 
     def close(self) -> None:
         pass
 
+    def _shelf(self, i: int) -> list[str]:
+        return self.shelves.getValue((i,))[0].split("\n")[1:]
+
+    def _keep(self, i: int, keys: Iterable[str]) -> None:
+        self.shelves.updateValue((i,), ("".join(f"\n{k}" for k in keys),))  # a key is JSON, so no line ends in it
+
+    def add(self, keys: list[str]) -> list[bool]:
+        """Whether each key is new; from now on none is."""
+        n, shelves = self.size.get() if self.size.exists() else (0, 0)
+        before, fresh = (n, shelves), not shelves
+        if fresh:
+            shelves = 1 << max(0, -(-len(keys) // SHELF) - 1).bit_length()
+        met = defaultdict(list)
+        for at, k in enumerate(keys):
+            met[zlib.crc32(k.encode()) & (shelves - 1)].append(at)
+        new = [False] * len(keys)
+        for i in range(shelves) if fresh else met:
+            held = dict.fromkeys(() if fresh else self._shelf(i))
+            had = len(held)
+            for at in met.get(i, ()):
+                new[at] = keys[at] not in held
+                held[keys[at]] = None
+            n += len(held) - had
+            if fresh or len(held) > had:
+                self._keep(i, held)
+        while n > SHELF * shelves:
+            for i in range(shelves):
+                halves = [], []
+                for k in self._shelf(i):
+                    halves[bool(zlib.crc32(k.encode()) & shelves)].append(k)
+                self._keep(i, halves[0])
+                self._keep(i + shelves, halves[1])
+            shelves *= 2
+        if (n, shelves) != before:
+            self.size.update((n, shelves))
+        return new
+
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803  Spark's names
-        for k in initialState["key_"]:
-            self.seen.updateValue((k,), (1,))
+        self.add(initialState["key_"].tolist())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for b in rows:
-            new = []
-            for k in b["key_"]:
-                new.append(not self.seen.containsKey((k,)))
-                if new[-1]:
-                    self.seen.updateValue((k,), (1,))
-            yield b.loc[new, self.columns]
+            yield b.loc[self.add(b["key_"].tolist()), self.columns]
 
 
 #: Buckets of keys of a sink: a task of a batch holds some of them at a time.

@@ -3,11 +3,13 @@
 import random
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from lodestone.functions import arrays
 from lodestone.operators import evals, tokenizer
 from lodestone.plans import derived
 from lodestone.sources import sinks
+from lodestone.streaming import streams
 from pyspark.sql import functions as F
 
 
@@ -103,3 +105,61 @@ def test_common_length_makes_its_sequences_once(spark):
     assert [g["b"] for g in got] == [0, 0, 0, 0, 0, 0, None, 2, None, None, 2, 1, 2]
     made = arrays.common_length(F.array(F.concat(F.col("r")[0], F.array(F.lit(-77))), F.col("r")[1]))
     assert df.select(made)._jdf.queryExecution().logical().toString().count("-77") == 1
+
+
+class _State:
+    """Map and value state in memory, which counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return _State()
+
+    def _called(self):
+        self.calls += 1
+        return self.held
+
+    def containsKey(self, k):  # noqa: N802
+        return k in self._called()
+
+    def getValue(self, k):  # noqa: N802
+        return self._called()[k]
+
+    def updateValue(self, k, v):  # noqa: N802
+        self._called()[k] = v
+
+    def exists(self):
+        return () in self.held
+
+    def get(self):
+        return self.held[()]
+
+    def update(self, v):
+        self.held[()] = v
+
+
+def test_keys_of_a_sink_are_asked_for_by_shelves():
+    """Batches of keys that repeat in them, before and in the sink: the first row of each new key, with few calls to the
+    state for a batch of many keys and few keys handled for a batch of one."""
+    rng, state = random.Random(6), _State()
+    u = streams.Unseen(["key_", "at"])
+    u.init(state)
+    key = lambda i: f'{{"k":"é\\\\n{i}"}}'
+    seen = {key(i) for i in range(0, 3000, 3)}
+    u.handleInitialState((0,), pd.DataFrame({"key_": sorted(seen)}), None)
+    n = len(seen)
+    for size in (1, 40, 0, 9000, 1, 20_000, 500):
+        keys = [key(rng.randrange(30_000)) for _ in range(size)]
+        got = [tuple(r) for b in u.handleInputRows((0,), iter([pd.DataFrame({"key_": keys, "at": range(size)}, columns=["key_", "at"])]), None) for r in b.itertuples(index=False)]
+        first = {k: at for at, k in reversed(list(enumerate(keys)))}
+        assert got == sorted(((k, at) for k, at in first.items() if k not in seen), key=lambda r: r[1])
+        seen |= set(keys)
+        n += size
+    assert state.calls < n // 10
+    state.calls = 0
+    assert [len(b) for b in u.handleInputRows((0,), iter([pd.DataFrame({"key_": [key(-1)], "at": [0]})]), None)] == [1]
+    assert state.calls <= 2 and max(len(str(v)) for v in state.held.values()) < 40 * 4 * streams.SHELF
