@@ -52,7 +52,8 @@ def preference(chosen: Column, rejected: Column, chosen_ref: Column, rejected_re
 
 
 def compression_ratio(text: Column, n_tokens: Column) -> Column:
-    return F.octet_length(text) / n_tokens
+    """Bytes a token; null without tokens."""
+    return F.try_divide(F.octet_length(text), n_tokens)
 
 
 def relative_difference(base: Column, ours: Column) -> Column:

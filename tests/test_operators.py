@@ -194,6 +194,25 @@ def test_training_beyond_the_bound_stays_off_the_driver(spark, monkeypatch):
     assert b" three" in K.train(docs, 300).ranks
 
 
+def test_encoded_documents_may_be_empty_or_long_blanks(spark, tmp_path):
+    """A text without tokens has no ratio, and a run of blanks beyond tiktoken's stack is one piece like any other."""
+    from lodestone.plans.queries import QUERIES
+
+    run = " " * 1_200_000
+    rows = [(i, f"some words {i} here") for i in range(20)] + [(20, ""), (21, None), (22, run + "x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_tokens"], r["ratio"]) for r in QUERIES["tok3_encode"](spark, str(tmp_path)).collect()}
+    assert got[20] == (1, None) and got[21] == (None, None) and len(got) == 23
+    assert all(got[i][1] == round(len(t.encode()) / (got[i][0] - 1), 6) for i, t in rows if t)
+
+    t = K.Tokenizer({bytes([i]): i for i in range(256)} | {b" " * 2**k: 255 + k for k in range(1, 12)})
+    for text in (run + "x", "a\n" + run, f"x.{run}\n{run} \u00e9"):
+        assert t.decode(t.encode(text)) == text
+    short = "it's  1234 a\n\n \t b\u3000c   "
+    assert [i for p in K.split_python(short) for i in t.encoding._encode_single_piece(p)] == t.encode(short)
+    assert t.encode("a\ud800b") == t.encode("a\ufffdb")
+
+
 def test_registered_tokenizer_learns_from_documents(spark, tmp_path):
     from lodestone.plans.queries import QUERIES
 
