@@ -218,3 +218,32 @@ def test_packing_and_encoding_keep_few_ids_in_python(spark, monkeypatch):
     assert back.filter(~F.col("decoded").eqNullSafe(F.col("text"))).count() == 0 and back.count() == 100 and seen
     got = P.packed_rows(K.encoded(docs, t).select(F.col("id").alias("pos"), "ids"), 10, world=2)
     assert {tuple(r["tokens"]) for r in got.collect()} == {(120,) * 10}
+
+
+def test_ids_are_cells_until_rows_are_done(spark):
+    """Neither the shuffles nor the tables of packing hold lists of numbers, and its rows are not shuffled to be numbered."""
+    import numpy as np
+    import pyarrow as pa
+
+    some = [np.arange(-3, 700, dtype=np.int32), np.zeros(0, np.int32), np.array([2**31 - 1, -(2**31)], np.int32), np.array([3, None, 0], object), np.array([None], object)]
+    assert [P._uncell(P._cell(a)).tolist() for a in some] == [a.tolist() for a in some]
+    assert len(P._cell(np.ones(4096, np.int32))) < 100
+    assert P._lists([np.array([1, 2], np.int32), None, np.array([None, 4], object)]).to_pylist() == [[1, 2], None, [None, 4]]
+
+    df = frame(spark, [3, 0, 700, 5]).withColumn("ids", F.when(F.col("pos") != 3, F.col("ids")))
+    cells = P.pressed(df, "ids")
+    assert dict(cells.dtypes)["ids"] == "binary" and dict(P.loosened(cells, "ids").dtypes) == dict(df.dtypes)
+    assert sorted(P.loosened(cells, "ids").collect()) == sorted(df.collect())
+    long = spark.createDataFrame([(None, [1, None]), (1, [2**31 - 1])], "pos long, ids array<bigint>")
+    assert sorted(r["ids"] for r in P.loosened(P.pressed(long, "ids"), "ids").collect() if r["pos"]) == [[2**31 - 1]]
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = P.padded_rows(frame(spark, [3, 9, 700, 5] * 9).withColumn("mask", F.col("ids")), 9, 0, world=2, buffer=3)
+        assert rows.count() and dict(rows.dtypes)["mask"] == "array<int>"
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "tokens:binary,mask:binary" in plan
+    assert pa.types.is_binary(P._cells([None]).type)
